@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_byte_bpe
 from .language import op3_language
+from .near_dup import OP4_SQL, op4_near_dup
 from .toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_language": op3_language,
+    "op4_near_dup": op4_near_dup,
     "op7_toxicity": op7_toxicity,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_near_dup": OP4_SQL,
+}
