@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_byte_bpe
 from .language import op3_language
+from .mix import op6_mix
 from .near_dup import OP4_SQL, op4_near_dup
 from .toxicity import op7_toxicity
 
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_language": op3_language,
     "op4_near_dup": op4_near_dup,
+    "op6_mix": op6_mix,
     "op7_toxicity": op7_toxicity,
 }
 SQL: dict[str, str] = {
