@@ -88,6 +88,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
+#: Bytes of text that word_hashes takes together.
+TOGETHER = 1 << 18
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,24 +106,32 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(data: memoryview | bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word of each text, A-Z lower-cased, and where each text's words begin and end.
 
-    The hash is a polynomial in scattered byte values, from one running sum over the whole buffer.
+    The hash is a polynomial in scattered byte values, from a running sum over about TOGETHER bytes, cut at
+    white space.
     """
     n = len(ends) - 1
     raw = np.frombuffer(data, np.uint8)
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
     inside = ~_SPACE[raw]
-    first = np.zeros(len(raw), bool)
-    first[ends[:-1][ends[:-1] < len(raw)]] = True
-    starts = np.flatnonzero(inside & (first | ~np.concatenate(([False], inside[:-1]))))
-    last = np.concatenate((first[1:], [True]))
-    stops = np.flatnonzero(inside & (last | ~np.concatenate((inside[1:], [False])))) + 1
-    up, down = _power(len(raw))
-    total = np.cumsum(_TABLE[_LOWER[raw]] * up[: len(raw)])
-    hashes = total[stops - 1]
-    before = starts > 0
-    hashes[before] -= total[starts[before] - 1]
-    hashes *= down[starts]
+    first = np.zeros(len(raw) + 1, bool)
+    first[ends] = True
+    starts = inside & first[:-1]
+    starts[1:] |= inside[1:] & ~inside[:-1]
+    starts = np.flatnonzero(starts)
+    stops = inside & first[1:]
+    stops[:-1] |= inside[:-1] & ~inside[1:]
+    stops = np.flatnonzero(stops) + 1
+    hashes, word = np.empty(len(starts), np.uint64), 0
+    while word < len(starts):
+        base = int(starts[word])
+        last = max(word + 1, int(np.searchsorted(stops, base + TOGETHER, "right")))
+        a, b = starts[word:last] - base, stops[word:last] - base
+        up, down = _power(int(b[-1]))
+        total = np.zeros(int(b[-1]) + 1, np.uint64)
+        np.cumsum(_TABLE[_LOWER[raw[base : base + int(b[-1])]]] * up[: int(b[-1])], out=total[1:])
+        hashes[word:last] = (total[b] - total[a]) * down[a]
+        word = last
     return mix64(hashes), np.searchsorted(starts, ends)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_byte_bpe
+from .fingerprint import op8_fingerprint
 from .language import op3_language
 from .mix import op6_mix
 from .near_dup import OP4_SQL, op4_near_dup
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_dup": op4_near_dup,
     "op6_mix": op6_mix,
     "op7_toxicity": op7_toxicity,
+    "op8_fingerprint": op8_fingerprint,
 }
 SQL: dict[str, str] = {
     "op4_near_dup": OP4_SQL,
