@@ -9,18 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op2_byte_bpe
 from .fingerprint import op8_fingerprint
 from .language import op3_language
+from .license_scan import op10_license
 from .mix import op6_mix
 from .near_dup import OP4_SQL, op4_near_dup
+from .top_k import OP9_SQL, op9_top_k
 from .toxicity import op7_toxicity
+from .url_filter import op1_url_filter
+from .warc import OP5_SQL, op5_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_language": op3_language,
     "op4_near_dup": op4_near_dup,
+    "op5_warc": op5_warc,
     "op6_mix": op6_mix,
     "op7_toxicity": op7_toxicity,
     "op8_fingerprint": op8_fingerprint,
+    "op9_top_k": op9_top_k,
+    "op10_license": op10_license,
 }
 SQL: dict[str, str] = {
     "op4_near_dup": OP4_SQL,
+    "op5_warc": OP5_SQL,
+    "op9_top_k": OP9_SQL,
 }
