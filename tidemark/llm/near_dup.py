@@ -30,6 +30,8 @@ WIDTH = BANDS * ROWS
 AGREE = 54
 #: Nodes of the largest component that others are compared with in the second step; nodes in a block.
 PIVOTS, BLOCK = 8, 512
+#: Nodes of a bucket whose pairs may be given out before their sets are compared.
+SMALL = 32
 
 
 def _permute(v: np.ndarray) -> np.ndarray:
@@ -85,18 +87,20 @@ def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi").mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
 
 
+def _jaccard(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have at least so many percent of their union in common."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have at least so many percent of their union in common."""
+    """The pairs (a, b) that are linked by their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set"), batch.column("set_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = 0
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+            keep = [_jaccard(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column("set"), batch.column("set_b"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     b = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
@@ -144,38 +148,46 @@ def _star(placed: DataFrame, pivots: int) -> DataFrame:
     return out.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
-def _rest(placed: DataFrame, sigs: DataFrame) -> DataFrame:
-    """All pairs of a node outside its bucket's largest component with a bucket's node of another component.
+def _rest(placed: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All that may still be linked: (a, b, sure) of nodes outside their bucket's largest component and nodes of another component.
 
-    Blocks of BLOCK such nodes meet blocks of BLOCK nodes.  A pair in several buckets comes from the
-    first of them.
+    Blocks of BLOCK such nodes meet blocks of BLOCK nodes, and a pair in several buckets is looked at in the
+    first of them.  In a bucket of more than SMALL nodes the sets come along and only links are given out
+    (sure); in a small one all pairs that may be linked are.
     """
-    main = _main(placed, 1).select("bucket", "main", F.ceil(F.col("nodes") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("others") / BLOCK).cast("int").alias("parts"))
+    main = _main(placed, 1).select("bucket", "main", "nodes", F.ceil(F.col("nodes") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("others") / BLOCK).cast("int").alias("parts"))
     rows = placed.join(main, "bucket").join(sigs, "node")
+    rows = rows.where(F.col("nodes") <= SMALL).withColumn("set", F.lit(None).cast("binary")).unionByName(rows.where(F.col("nodes") > SMALL).join(sets, "node"))
     place = F.xxhash64("node")
     asked = rows.where("comp <> main").withColumn("y", F.pmod(place, F.col("parts")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     given = rows.withColumn("x", F.pmod(place, F.col("blocks")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cols = ["bucket", "x", "y", "asked", "node", "comp", "sig"]
+    cols = ["bucket", "x", "y", "asked", "node", "comp", "sig", "set"]
     both = asked.withColumn("asked", F.lit(True)).select(cols).unionByName(given.withColumn("asked", F.lit(False)).select(cols))
 
-    def pairs(part: pa.Table) -> Iterator[tuple[int, int]]:
+    def pairs(part: pa.Table) -> Iterator[tuple[int, int, bool]]:
         ask = np.array(part.column("asked").to_pylist())
         node, comp = part.column("node").to_numpy(), part.column("comp").to_numpy()
         sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint32).reshape(len(node), WIDTH)
+        whole = part.column("set").to_pylist()
+        sure = whole[0] is not None
+        found = [np.frombuffer(x, np.uint64) for x in whole] if sure else []
         bucket = int(part.column("bucket")[0].as_py()["band"])
         given = np.flatnonzero(~ask)
         for i in np.flatnonzero(ask):
             same = sig[given] == sig[i]
             bands = same.reshape(-1, BANDS, ROWS).all(2)
             ok = (same.sum(1) >= AGREE) & (comp[given] != comp[i]) & (bands.argmax(1) == bucket)
-            yield from ((min(node[i], node[j]), max(node[i], node[j])) for j in given[ok])
+            for j in given[ok]:
+                if not sure or _jaccard(found[i], found[j], percent):
+                    yield min(node[i], node[j]), max(node[i], node[j]), sure
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def out(t: pa.Table) -> pa.RecordBatch:
             found = sorted(set(pairs(t)))
-            return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            kinds = (pa.int64(), pa.int64(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array([p[k].item() if hasattr(p[k], "item") else p[k] for p in found], kinds[k]) for k in range(3)], names=["a", "b", "sure"])
 
         for batch in batches:
             key = [batch.column("bucket").field(0).to_numpy(), batch.column("bucket").field(1).to_numpy(), batch.column("x").to_numpy(), batch.column("y").to_numpy()]
@@ -190,7 +202,7 @@ def _rest(placed: DataFrame, sigs: DataFrame) -> DataFrame:
             yield out(pa.Table.from_batches(held))
 
     by = ["bucket", "x", "y"]
-    return both.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long").distinct()
+    return both.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long, sure boolean")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -213,16 +225,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sets = written(_sets(docs, nodes, k), "sets")
     # rows that share a doc_id but not a text are one node by their id
     own = sigs.where("doc_id is not null and n_shingles > 0").select(F.col("doc_id").alias("a"), "digest").join(same.select("digest", F.col("node").alias("b")), "digest").groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("b")).where("m <> b").select(F.col("m").alias("a"), "b")
-    tried, links, comps = None, own, None
-    for step in ("one", "some", "rest"):
-        placed = _placed(member, comps)
-        pairs = _star(placed, 1 if step == "one" else PIVOTS) if step != "rest" else _rest(placed, same.select("node", "sig"))
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"pairs-{step}")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = written(_linked(pairs, sets, percent), f"links-{step}")
-        if comps is None or not found.isEmpty():
-            links = links.unionByName(found)
-            comps = components(links)
+    placed = _placed(member, None)
+    tried = written(_star(placed, 1), "pairs-one")
+    links = own.unionByName(written(_linked(tried, sets, percent), "links-one"))
+    comps = components(links)
+    more = written(_star(_placed(member, comps), PIVOTS).join(tried, ["a", "b"], "left_anti"), "pairs-some")
+    tried = tried.unionByName(more)
+    links = links.unionByName(written(_linked(more, sets, percent), "links-some"))
+    comps = components(links)
+    rest = written(_rest(_placed(member, comps), same.select("node", "sig"), sets, percent), "pairs-rest")
+    more = rest.where("not sure").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    found = written(rest.where("sure").select("a", "b").unionByName(_linked(more, sets, percent)), "links-rest")
+    if not found.isEmpty():
+        comps = components(links.unionByName(found))
     roots = same.select("digest", "node").join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("root"))
     out = sigs.select("doc_id", "n_shingles", "digest").join(roots, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("root")).otherwise(F.col("doc_id"))
