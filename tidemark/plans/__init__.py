@@ -1,4 +1,9 @@
 """The queries by name, and the SQL they are compared with."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from . import ingest, state
+
+ENTRIES = {**ingest.ENTRIES, **state.ENTRIES}
+QUERIES = {name: entry[0] for name, entry in ENTRIES.items()}
+SQL = {name: entry[1] for name, entry in ENTRIES.items() if entry[1]}
