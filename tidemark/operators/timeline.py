@@ -10,7 +10,6 @@ from ..functions.scalars import NS, clock_uncertain, corrected_ns, duration_end_
 ACTIVITY = "activitywatch.event"
 ORDER = ("start_ns", "received_ns", "source_type", "source_id", "stable_id")
 COLUMNS = ("stable_id", "source_type", "source_id", "collector_id", "event_type", "start_ns", "end_ns", "received_ns", "clock_uncertain", "quality_flags", "payload")
-_NONE = F.lit(None)
 
 
 def activity_duration(payload: Column) -> Column:

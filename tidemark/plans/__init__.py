@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import ingest, state
+from . import coverage, ingest, media, state
 
-ENTRIES = {**ingest.ENTRIES, **state.ENTRIES}
+ENTRIES = {**ingest.ENTRIES, **state.ENTRIES, **coverage.ENTRIES, **media.ENTRIES}
 QUERIES = {name: entry[0] for name, entry in ENTRIES.items()}
 SQL = {name: entry[1] for name, entry in ENTRIES.items() if entry[1]}
