@@ -12,13 +12,16 @@ ORDER = ("start_ns", "received_ns", "source_type", "source_id", "stable_id")
 COLUMNS = ("stable_id", "source_type", "source_id", "collector_id", "event_type", "start_ns", "end_ns", "received_ns", "clock_uncertain", "quality_flags", "payload")
 
 
-def activity_duration(payload: Column) -> Column:
-    """Seconds of a well-formed activity payload; null for any other."""
-    v = F.try_parse_json(payload)
-    seconds, source = json_number(v, "$.duration_seconds"), json_number(v, "$.source_event_id")
-    ok = valid_identifier(json_text(v, "$.bucket_id"), 256) & valid_identifier(json_text(v, "$.bucket_type"), 128) & (source >= 0) & (source == F.floor(source))
-    ok &= (seconds >= 0) & (seconds <= 366 * 24 * 3600) & F.schema_of_variant(F.try_variant_get(v, "$.data", "variant")).startswith("OBJECT")
-    return F.when(ok, seconds)
+def with_duration(df: DataFrame, name: str = "seconds", payload: str = "payload") -> DataFrame:
+    """df with the seconds of a well-formed activity payload; null for any other.  The payload is parsed once."""
+    df = df.withColumn("_v", F.try_parse_json(payload))
+    v = F.col("_v")
+    data = F.schema_of_variant(F.try_variant_get(v, "$.data", "variant"))
+    fields = F.struct(json_number(v, "$.duration_seconds").alias("n"), json_number(v, "$.source_event_id").alias("id"), json_text(v, "$.bucket_id").alias("b"), json_text(v, "$.bucket_type").alias("t"), data.startswith("OBJECT").alias("d"))
+    df = df.withColumn("_f", fields).drop("_v")
+    f = F.col("_f")
+    ok = valid_identifier(f["b"], 256) & valid_identifier(f["t"], 128) & (f["id"] >= 0) & (f["id"] == F.floor(f["id"])) & (f["n"] >= 0) & (f["n"] <= 366 * 24 * 3600) & f["d"]
+    return df.withColumn(name, F.when(ok, f["n"])).drop("_f")
 
 
 def _flags(base: Column, uncertain: Column) -> Column:
@@ -31,7 +34,7 @@ def project_events(events: DataFrame, uncertain_after_ns: int = NS) -> DataFrame
     An activity event with a well-formed payload is an interval; one without stays a point, flagged incomplete.
     """
     uncertain = clock_uncertain(F.col("clock_error_ms"), uncertain_after_ns)
-    df = events.withColumn("_s", F.when(F.col("event_type") == ACTIVITY, activity_duration(F.col("payload"))))
+    df = with_duration(events.withColumn("_p", F.when(F.col("event_type") == ACTIVITY, F.col("payload"))), "_s", "_p")
     start = corrected_ns(F.col("device_ns"), F.col("clock_offset_ms"))
     broken = (F.col("event_type") == ACTIVITY) & F.col("_s").isNull()
     return df.select(
@@ -96,15 +99,17 @@ def base_key(key: Column) -> Column:
 
 def coverage_facts(timeline: DataFrame) -> DataFrame:
     """Positive intervals of entries as coverage facts: availability, reason, priority; other entries cover nothing."""
-    v = F.try_parse_json("payload")
     kind = F.col("source_type")
-    afk = (kind == "raw_event") & (json_text(v, "$.data.status") == "afk") & json_text(v, "$.bucket_type").isin("afkstatus", "currentafkstatus")
-    afk = F.coalesce(afk, F.lit(False))
-    idle = F.coalesce((kind == "heartbeat") & (json_text(v, "$.state") == "idle"), F.lit(False))
+    timeline = timeline.where((F.col("end_ns") > F.col("start_ns")) & ((kind != "raw_event") | (F.col("event_type") == ACTIVITY))).withColumn("_v", F.try_parse_json("payload"))
+    v = F.col("_v")
+    texts = F.struct(json_text(v, "$.data.status").alias("s"), json_text(v, "$.bucket_type").alias("t"), json_text(v, "$.state").alias("h"))
+    timeline = timeline.withColumn("_t", texts)
+    t = F.col("_t")
+    afk = F.coalesce((kind == "raw_event") & (t["s"] == "afk") & t["t"].isin("afkstatus", "currentafkstatus"), F.lit(False))
+    idle = F.coalesce((kind == "heartbeat") & (t["h"] == "idle"), F.lit(False))
     reason = F.when(afk, "ACTIVITYWATCH_AFK").when(idle, "HEARTBEAT_IDLE").when(kind == "heartbeat", "HEARTBEAT_ACTIVE").when(kind == "media_segment", "MEDIA_ACCEPTED").otherwise("ACTIVITYWATCH_EVENT")
     priority = F.when(afk, 40).when(kind == "raw_event", 20).otherwise(30)
-    df = timeline.where((F.col("end_ns") > F.col("start_ns")) & ((kind != "raw_event") | (F.col("event_type") == ACTIVITY)))
-    return df.select("collector_id", "start_ns", "end_ns", F.when(afk | idle, "confirmed_idle").otherwise("covered").alias("availability"), "quality_flags", reason.alias("reason_code"), priority.alias("priority"), "stable_id")
+    return timeline.select("collector_id", "start_ns", "end_ns", F.when(afk | idle, "confirmed_idle").otherwise("covered").alias("availability"), "quality_flags", reason.alias("reason_code"), priority.alias("priority"), "stable_id")
 
 
 def changed(new: DataFrame, old: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -171,7 +171,6 @@ def _s7(s: SparkSession, d: str) -> DataFrame:
 _BROKEN = "CASE WHEN id % 12 IN (1, 2, 3, 4) THEN 'EVENT_JSON_INVALID' WHEN id % 12 = 5 THEN 'EVENT_SCHEMA_UNSUPPORTED' WHEN id % 12 = 6 THEN 'EVENT_COLLECTOR_INVALID' WHEN id % 12 = 10 THEN 'EVENT_TYPE_INVALID' WHEN id % 12 = 7 THEN 'EVENT_DEVICE_TIME_INVALID' WHEN id % 12 = 8 THEN 'EVENT_CLOCK_OFFSET_INVALID' WHEN id % 12 = 9 THEN 'EVENT_CLOCK_ERROR_INVALID' WHEN id % 12 = 11 THEN 'EVENT_PAYLOAD_INVALID' END"
 _HB = "CASE id % 10 WHEN 1 THEN 'HEARTBEAT_COLLECTOR_INVALID' WHEN 2 THEN 'HEARTBEAT_STATE_INVALID' WHEN 3 THEN 'HEARTBEAT_CLOCK_INVALID' WHEN 4 THEN 'HEARTBEAT_DURATION_INVALID' WHEN 5 THEN 'HEARTBEAT_TIME_INVALID' WHEN 6 THEN 'HEARTBEAT_QUALITY_FLAGS_INVALID' WHEN 7 THEN 'HEARTBEAT_QUALITY_FLAGS_INVALID' END"
 _IDS = "(SELECT event_id AS id, props, ts, value, user_id FROM events)"
-_TYPED = "try_parse_json(payload)"
 
 ENTRIES = {
     "s1_event_source": (_s1, f"SELECT {_BROKEN} AS error_code, count(*) AS n FROM {_IDS} GROUP BY 1"),
@@ -196,7 +195,7 @@ ENTRIES = {
     "f1_time_range": (lambda s, d: _flat(_timeline(s, d).where((C("start_ns") >= _MID) & (C("start_ns") < _MID + DAY))), sql(TIMELINE + f"SELECT * FROM tl WHERE start_ns >= {_MID} AND start_ns < {_MID + DAY}", "cand", "hb", "media")),
     "f2_overlap": (lambda s, d: _flat(_timeline(s, d).where((C("start_ns") < _MID + DAY) & (C("end_ns") > _MID))), sql(TIMELINE + f"SELECT * FROM tl WHERE start_ns < {_MID + DAY} AND end_ns > {_MID}", "cand", "hb", "media")),
     "f3_positive_intervals": (lambda s, d: _c9(s, d).groupBy("reason_code").agg(F.count("*").alias("n")), sql(f"SELECT reason_code, count(*) AS n FROM ({C9}) AS x GROUP BY 1", "raw", "hb", "media")),
-    "f4_activity_payload": (lambda s, d: frame(s, d, "raw").where("event_type = 'activitywatch.event'").select("id", timeline.activity_duration(C("payload")).alias("seconds")), sql("SELECT id, CASE WHEN id % 5 <> 0 THEN CAST(id % 300 AS DOUBLE) END AS seconds FROM raw WHERE event_type = 'activitywatch.event'", "raw")),
+    "f4_activity_payload": (lambda s, d: timeline.with_duration(frame(s, d, "raw").where("event_type = 'activitywatch.event'")).select("id", "seconds"), sql("SELECT id, CASE WHEN id % 5 <> 0 THEN CAST(id % 300 AS DOUBLE) END AS seconds FROM raw WHERE event_type = 'activitywatch.event'", "raw")),
     "f5_incremental_events": (lambda s, d: timeline.page(frame(s, d, "raw"), ("id",), (200,), 100, ("id", 900)).select("id", "collector_id", "payload"), sql("SELECT id, collector_id, payload FROM raw WHERE id > 200 AND id <= 900 ORDER BY id LIMIT 101", "raw")),
     "f6_incremental_timeline": (_f6, sql(TIMELINE + f"SELECT * FROM tl WHERE (start_ns, received_ns, source_type, source_id, stable_id) > ({_MID}, 0, '', 0, '') ORDER BY start_ns, received_ns, source_type, source_id, stable_id LIMIT 51", "cand", "hb", "media")),
     "f7_key_family": (lambda s, d: frame(s, d, "raw").select(timeline.base_key(F.concat(F.lit("a"), C("user_id").cast("string"), F.when(C("id") % 3 > 0, F.concat(F.lit(":duration:"), C("id").cast("string"))).otherwise(""))).alias("base")).groupBy("base").agg(F.count("*").alias("n")), sql("SELECT 'a' || CAST(user_id AS STRING) AS base, count(*) AS n FROM raw GROUP BY 1", "raw")),
