@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions.scalars import NS
 from ..operators.activity import advance_checkpoint
 from ..operators.facts import resolve_idempotent
 
@@ -22,6 +21,21 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which transformWithState needs."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def ingest(stream: DataFrame, facts_path: str, results_path: str, checkpoint: str, order: str = "id"):
     """Start a query that appends accepted candidates to facts and every outcome to results.
 
@@ -103,7 +117,7 @@ class Liveness(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", StructType([StructField("ms", LongType())]))
+        self.last = handle.getValueState("last", "ms long")
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
         import pandas as pd
@@ -133,6 +147,3 @@ def liveness(stream: DataFrame, period_ms: int, lateness_ms: int, offline_ms: in
     """(collector_id, state) changes of a stream with collector_id; needs the RocksDB state store."""
     return stream.groupBy("collector_id").transformWithStateInPandas(Liveness(period_ms, lateness_ms, offline_ms), "collector_id string, state string", "Update", "ProcessingTime")
 
-
-def day_of(ns: str):
-    return F.floor(F.col(ns) / (86400 * NS))
