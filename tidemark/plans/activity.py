@@ -36,7 +36,7 @@ def _collected(stream: DataFrame, what: str, mode: str = "append") -> DataFrame:
         df.write.mode("overwrite").parquet(f"{out}/data/batch={number}")
 
     stream.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{out}/data")
+    return spark.read.schema(schema).parquet(f"{out}/data").select(schema.names)
 
 
 def _t6(s: SparkSession, d: str) -> DataFrame:
