@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import spans, table, utf8
+from .common import map_texts, spans, table, utf8
 
 #: Symbols: letter; letter that can end '(s t m d); head of 're 've 'll; number; other; apostrophe; space; other white space.
 LETTER, TAIL, HEAD, NUMBER, OTHER, QUOTE, SPACE, BLANK = range(8)
@@ -328,7 +328,7 @@ def with_tokens(docs: DataFrame, ranks_path: str, text: str = "text", ids: bool
                 more.append(pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(all_ids), "<i4"))))
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(encode, schema)
+    return map_texts(docs, encode, schema)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

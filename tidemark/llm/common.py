@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows in an Arrow batch of texts.
+ROWS_A_BATCH = 1000
 #: A word is a longest run of characters other than these six.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -38,6 +41,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow for rows with whole texts: at most ROWS_A_BATCH of them come to Python at a time.
+
+    The limit is the session's, as Spark has none for a single operator; a lower one stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ROWS_A_BATCH:
+        conf.set(key, str(ROWS_A_BATCH))
+    return df.mapInArrow(run, schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model may learn from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, spans, table, utf8
+from .common import held_out, map_texts, spans, table, utf8
 
 #: Hashed n-grams; lengths of n-grams; bits of a codeword at most.
 SIZE, GRAMS, BITS = 2048, (1, 2, 3), 31
@@ -169,7 +169,7 @@ def train(docs: DataFrame, most: int = 400) -> Model | None:
                 f = pa.array([x[i].tobytes() for i in keep], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).take(pa.array(keep)), batch.column("lang").slice(a, b - a).take(pa.array(keep)), f], names=["doc_id", "lang", "f"])
 
-    found = sorted(rows.mapInArrow(run, "doc_id long, lang string, f binary").collect(), key=lambda r: (r["doc_id"] or 0, r["lang"], bytes(r["f"])))
+    found = sorted(map_texts(rows, run, "doc_id long, lang string, f binary").collect(), key=lambda r: (r["doc_id"] or 0, r["lang"], bytes(r["f"])))
     if not found:
         return None
     langs = sorted({r["lang"] for r in found})
@@ -205,7 +205,7 @@ def with_language(docs: DataFrame, model: Model | None) -> DataFrame:
             join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, join(pred, pa.string()), join(score, pa.float64()), join(close, pa.bool_())], names=[*batch.schema.names, "lang_pred", "score", "ambiguous"])
 
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, run, schema)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

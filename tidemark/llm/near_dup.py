@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shingles, table, utf8, word_hashes, written
+from .common import map_texts, shingles, table, utf8, word_hashes, written
 
 #: Bands of ROWS coordinates: at a similarity of 0.8, 1 of 3 * 10**5 pairs shares no band; at 0.85, 1 of 5 * 10**7.
 BANDS, ROWS = 24, 4
@@ -71,7 +71,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 bands.append([int.from_bytes(hashlib.blake2b(own[i * ROWS : (i + 1) * ROWS].tobytes(), digest_size=8, salt=bytes([i])).digest(), "little", signed=True) for i in range(BANDS if len(own) else 0)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "sig", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>")
+    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -84,7 +84,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             out = [shingles(words[a:b], k).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], names=["node", "set"])
 
-    return docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi").mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
+    return map_texts(docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi"), run, "node long, set binary").dropDuplicates(["node"])
 
 
 def _jaccard(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -104,7 +104,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     b = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(b, "b").join(sets.withColumnRenamed("node", "a"), "a").select("a", "b", "set", "set_b").mapInArrow(run, "a long, b long")
+    return map_texts(pairs.join(b, "b").join(sets.withColumnRenamed("node", "a"), "a").select("a", "b", "set", "set_b"), run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def _rest(placed: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) ->
             yield out(pa.Table.from_batches(held))
 
     by = ["bucket", "x", "y"]
-    return both.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long, sure boolean")
+    return map_texts(both.repartition(*by).sortWithinPartitions(*by), run, "a long, b long, sure boolean")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

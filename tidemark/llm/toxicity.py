@@ -22,7 +22,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, mix64, shingles, table, utf8, word_hashes, written
+from .common import held_out, map_texts, mix64, shingles, table, utf8, word_hashes, written
 
 #: Words a window has.
 WINDOW = 20
@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 1500) -> Model | None:
     Whole texts of that bounded sample count; what reaches the driver is bounded by most, SAMPLES and SEGMENTS.
     """
     rows = written(sample(docs, labels, most), "toxicity-sample")
-    counts = rows.mapInArrow(_counted, "word binary, `group` long, toxic int").distinct().groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
+    counts = map_texts(rows, _counted, "word binary, `group` long, toxic int").distinct().groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
     of = Counter({r["toxic"]: r["count"] for r in rows.distinct().groupBy("toxic").count().collect()})
     n, m = of[1], of[0]
     if not n or not m:
@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 1500) -> Model | None:
         room -= len(r["word"]) + 1
         if room > 0:
             segments.append(bytes(r["word"]))
-    taken = rows.where("toxic = 0").mapInArrow(_sampled, "n long, window binary").orderBy("n", "window").limit(SAMPLES).collect()
+    taken = map_texts(rows.where("toxic = 0"), _sampled, "n long, window binary").orderBy("n", "window").limit(SAMPLES).collect()
     taken = [bytes(r["window"]) for r in taken]
     try:
         base = zs.train_dictionary(BASE, taken).as_bytes()
@@ -169,7 +169,7 @@ def _featured(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
             f = [features(bytes(data[a:b]), toxic, ordinary) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(f, pa.list_(pa.float64()))], names=[*keep, "f"])
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return map_texts(docs.select(*keep, "text"), run, schema)
 
 
 def with_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -194,7 +194,7 @@ def with_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return map_texts(docs, run, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, written
+from .common import map_texts, shared_dir, table, written
 
 #: Payloads from so many bytes on are stored once; bytes of an archive, about; of a range read, and of a gap in it.
 LEAST, ARCHIVE, RANGE, GAP = 1000, 1 << 28, 1 << 23, 1 << 16
@@ -106,7 +106,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
             if out is not None:
                 out.close()
 
-    index = pages.mapInArrow(run, "archive string, offset long, length long, page_id long, url string, digest string, record_type string")
+    index = map_texts(pages, run, "archive string, offset long, length long, page_id long, url string, digest string, record_type string")
     return written(index, "warc-index")
 
 
@@ -152,7 +152,7 @@ def read(index: DataFrame, folder: str, payload: bool = True) -> DataFrame:
     part = F.floor(F.col("offset") / RANGE).alias("part")
     rows = index.select("archive", "offset", "length", part).repartition("archive", "part").sortWithinPartitions("archive", "offset")
     names = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
-    return rows.mapInArrow(run, ", ".join(f"{k} {names[v]}" for k, v in kinds.items()))
+    return map_texts(rows, run, ", ".join(f"{k} {names[v]}" for k, v in kinds.items()))
 
 
 def round_trip(pages: DataFrame, payload: bool = False) -> DataFrame:
