@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import NS, epoch_us, weekday_name
-from .intervals import BOUNDS, merge_adjacent, positive, segment, stab_join, subtract
+from .intervals import BOUNDS, merge_adjacent, overlapping, positive, segment, stab_join, subtract
 
 STATE = ("availability", "reason_code", "quality_flags")
 #: Width of the time buckets that facts and pieces meet in.
@@ -15,10 +15,10 @@ BUCKET_NS = 3600 * NS
 
 
 def expand_schedule(collectors: DataFrame, windows: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
-    """(collector_id, plan_start_ns, start_ns, end_ns): planned time within [start, end), merged where it touches.
+    """(collector_id, plan_start_ns, start_ns, end_ns): windows clipped to [start, end), then merged where they touch.
 
     collectors: collector_id, timezone; windows: collector_id, day (english, lower case), start_minute,
-    end_minute (1440: 24:00), by local wall clock.  plan_start_ns is where the window began before clipping.
+    end_minute (1440: 24:00), by local wall clock.  plan_start_ns is where the first window began before clipping.
     A local time that comes twice is the first; one that is skipped is moved on by the gap.
     """
     day = lambda ns, d: F.date_add(F.lit("1970-01-01").cast("date"), ns // (86400 * NS) + d)
@@ -35,7 +35,7 @@ def expand_schedule(collectors: DataFrame, windows: DataFrame, start_ns: int, en
     for name, minute in (("plan_start_ns", "start_minute"), ("plan_end_ns", "end_minute")):
         clock, utc = at(minute)
         out = out.withColumn("_t", clock.cast("timestamp_ntz")).withColumn(name, epoch_us(utc) * 1000)
-    out = out.select("collector_id", F.col("plan_start_ns").alias("start_ns"), F.col("plan_end_ns").alias("end_ns")).where(positive())
+    out = out.select("collector_id", F.col("plan_start_ns").alias("start_ns"), F.col("plan_end_ns").alias("end_ns")).where(positive() & overlapping(start_ns, end_ns))
     order = W.partitionBy("collector_id").orderBy("start_ns", "end_ns")
     before = F.max("end_ns").over(order.rowsBetween(W.unboundedPreceding, -1))
     out = out.withColumn("_new", F.when(before.isNull() | (F.col("start_ns") > before), 1).otherwise(0)).withColumn("_i", F.sum("_new").over(order))

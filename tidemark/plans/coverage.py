@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, coverage, intervals, timeline
 from ..sources import sinks
-from ..sources.paths import work_dir
+from ..sources.paths import stored, work_dir
 from .adapters import DAY, T0, frame, sql
 
 C = F.col
@@ -36,7 +36,9 @@ def _facts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _coverage(s: SparkSession, d: str) -> DataFrame:
-    return coverage.build_coverage(frame(s, d, "collectors"), _plans(s, d), _facts(s, d), START, END, NOW)
+    """Facts and plans are read several times, so they are tables first, as any timeline projection is."""
+    facts, plans = stored(_facts(s, d), "facts"), stored(_plans(s, d), "plans")
+    return stored(coverage.build_coverage(frame(s, d, "collectors"), plans, facts, START, END, NOW), "coverage")
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -51,7 +53,7 @@ CTE = f"""WITH fl AS (
   UNION ALL SELECT collector_id, device_start_ns, device_end_ns, 'covered', 'MEDIA_ACCEPTED', 30, 'media:' || CAST(id AS STRING), CASE WHEN clock_error_ms > 1000 THEN ['clock_uncertain'] ELSE [] END FROM media
 ), f AS (SELECT fl.* FROM fl JOIN collectors USING (collector_id)),
 plans AS (
-  SELECT collector_id, {START - DAY} + CASE WHEN timezone = 'UTC' THEN 0 ELSE {5 * HOUR} END AS ps, {START} AS s, {END} AS e FROM collectors WHERE kind = 'activity'
+  SELECT collector_id, CASE WHEN timezone = 'UTC' THEN {START} ELSE {START - DAY + 5 * HOUR} END AS ps, {START} AS s, {END} AS e FROM collectors WHERE kind = 'activity'
   UNION ALL SELECT collector_id, {START} + k * {DAY} + a * {HOUR}, {START} + k * {DAY} + a * {HOUR}, {START} + k * {DAY} + b * {HOUR} FROM collectors, (VALUES (0), (1), (2)) AS d(k), (VALUES (8, 18), (20, 22)) AS h(a, b) WHERE kind = 'media'
 ), lim AS (SELECT collector_id, heartbeat_period_ns AS p, heartbeat_period_ns + allowed_lateness_ns AS pl, offline_after_ns AS off FROM collectors),
 fr AS (SELECT f.*, p, pl, off FROM f JOIN lim USING (collector_id) WHERE f.s < {END} AND f.e > {START} - off),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession, what: str) -> str:
@@ -16,3 +16,10 @@ def work_dir(spark: SparkSession, what: str) -> str:
         root = f"file://{tempfile.gettempdir()}/tidemark-shared"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df as a table in a work folder: computed once, and not again when executors are lost."""
+    path = work_dir(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
