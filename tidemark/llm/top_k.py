@@ -57,7 +57,7 @@ def best(queries: np.ndarray, qids: np.ndarray, rows: np.ndarray, ids: np.ndarra
         if not len(alive):
             continue
         score = np.full(len(ids), base, kind)
-        n = max(1, len(order) // 4)
+        n = min(len(order), max(1, len(order) // 4))
         head, tail = order[:n], order[n:]
         score += q[head] @ terms[head] - least[head].sum()
         limit = None
@@ -65,7 +65,7 @@ def best(queries: np.ndarray, qids: np.ndarray, rows: np.ndarray, ids: np.ndarra
             # whole scores of the k rows that lead by now bound the k-th best from below
             top = alive[np.argpartition(-score[alive], k - 1)[:k]]
             limit = (score[top] + q[tail] @ terms[tail][:, top] - least[tail].sum()).min()
-            essential = max(n, int(np.searchsorted(-(base + rest), -limit, "right")))  # without these no row gets there
+            essential = min(len(order), max(n, int(np.searchsorted(-(base + rest), -limit, "right"))))  # without these no row gets there
             more = order[n:essential]
             score += q[more] @ terms[more] - least[more].sum()
             n = essential
