@@ -39,12 +39,13 @@ def revisions(df: DataFrame, keys: tuple[str, ...] = ("bucket_id", "id"), order:
     of the duration.
     """
     w = W.partitionBy(*keys).orderBy(order)
-    longest = F.max("duration").over(w.rowsBetween(W.unboundedPreceding, -1))
     first = F.first("content").over(w.rowsBetween(W.unboundedPreceding, 0))
-    status = F.when(longest.isNull(), "base").when(F.col("content") != first, "error").when(F.col("duration") > longest, "revision").when(F.col("duration") == longest, "duplicate").otherwise("error")
+    df = df.withColumn("_same", F.col("content").eqNullSafe(first))
+    longest = F.max(F.when(F.col("_same"), F.col("duration"))).over(w.rowsBetween(W.unboundedPreceding, -1))  # what errors say is not stored
+    status = F.when(longest.isNull(), "base").when(~F.col("_same"), "error").when(F.col("duration") > longest, "revision").when(F.col("duration") == longest, "duplicate").otherwise("error")
     base = activity_base_key(F.col(keys[0]), F.col(keys[1]))
     key = F.when(F.col("status") == "base", base).when(F.col("status") == "revision", F.concat(base, F.lit(":duration:"), F.col("duration").cast("string")))
-    return df.withColumn("status", status).withColumn("idempotency_key", key)
+    return df.withColumn("status", status).withColumn("idempotency_key", key).drop("_same")
 
 
 def advance_checkpoint(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -90,7 +90,8 @@ def _t8(s: SparkSession, d: str) -> DataFrame:
     return out.where("state = 'live'").select("collector_id").distinct()
 
 
-REVS = """WITH v AS (SELECT *, first_value(content) OVER o AS c0, max(duration) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mx FROM revs WINDOW o AS (PARTITION BY bucket_id, id ORDER BY seq)),
+REVS = """WITH c AS (SELECT *, first_value(content) OVER (PARTITION BY bucket_id, id ORDER BY seq) AS c0 FROM revs),
+v AS (SELECT *, max(CASE WHEN content = c0 THEN duration END) OVER (PARTITION BY bucket_id, id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mx FROM c),
 st AS (SELECT *, CASE WHEN mx IS NULL THEN 'base' WHEN content <> c0 THEN 'error' WHEN duration > mx THEN 'revision' WHEN duration = mx THEN 'duplicate' ELSE 'error' END AS status FROM v)
 """
 
