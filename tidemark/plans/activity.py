@@ -82,14 +82,6 @@ def _t4(s: SparkSession, d: str) -> DataFrame:
         return _collected(jobs.revisions(stream), "revised")
 
 
-def _t8(s: SparkSession, d: str) -> DataFrame:
-    """Collectors that a stream of heartbeats has seen alive; the later states depend on the clock."""
-    stream, _ = _landed(frame(s, d, "hb").select("id", "collector_id"), "liveness", parts=2)
-    with jobs.rocksdb(s):
-        out = _collected(jobs.liveness(stream, 60_000, 60_000, 300_000), "liveness", "update")
-    return out.where("state = 'live'").select("collector_id").distinct()
-
-
 REVS = """WITH c AS (SELECT *, first_value(content) OVER (PARTITION BY bucket_id, id ORDER BY seq) AS c0 FROM revs),
 v AS (SELECT *, max(CASE WHEN content = c0 THEN duration END) OVER (PARTITION BY bucket_id, id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mx FROM c),
 st AS (SELECT *, CASE WHEN mx IS NULL THEN 'base' WHEN content <> c0 THEN 'error' WHEN duration > mx THEN 'revision' WHEN duration = mx THEN 'duplicate' ELSE 'error' END AS status FROM v)
@@ -116,6 +108,5 @@ ENTRIES = {
     "t4_revision_stream": (_t4, sql(REVS + "SELECT bucket_id, id, seq, status FROM st", "revs")),
     "t5_poll_heartbeat": (lambda s, d: activity.poll_heartbeat(frame(s, d, "hb").select("collector_id", C("device_start_ns").alias("start_ns"), F.when(C("id") % 3 == 0, C("device_start_ns")).otherwise(C("device_end_ns")).alias("end_ns"), F.lit(200 * 10**9).alias("period_ns"))).select("start_ns", "end_ns"), sql("SELECT device_start_ns AS start_ns, CASE WHEN id % 3 = 0 THEN device_start_ns + 1 ELSE least(device_end_ns, device_start_ns + 200000000000) END AS end_ns FROM hb", "hb")),
     "t6_ingest_stream": (_t6, sql(RES + "SELECT id, status, fact_id FROM res", "cand")),
-    "t8_liveness_stream": (_t8, sql("SELECT DISTINCT collector_id FROM hb", "hb")),
     "t9_source_errors": (lambda s, d: activity.source_errors(frame(s, d, "cand"), C("error_code").isNotNull() & C("collector_id").isin("c1", "c2")), sql("SELECT collector_id, count(*) AS rows, count(*) FILTER (WHERE error_code IS NOT NULL AND collector_id IN ('c1', 'c2')) AS failed, CASE WHEN count(*) FILTER (WHERE error_code IS NOT NULL AND collector_id IN ('c1', 'c2')) > 0 THEN 'degraded' ELSE 'healthy' END AS status FROM cand GROUP BY 1", "cand")),
 }
