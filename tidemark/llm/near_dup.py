@@ -127,6 +127,11 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _stars(comps: DataFrame) -> DataFrame:
+    """Components as links again: what later steps add to, in fewer steps than from all links."""
+    return comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+
+
 def _placed(members: DataFrame, comps: DataFrame | None) -> DataFrame:
     """members (bucket, node) with the component of each node."""
     if comps is None:
@@ -227,17 +232,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     own = sigs.where("doc_id is not null and n_shingles > 0").select(F.col("doc_id").alias("a"), "digest").join(same.select("digest", F.col("node").alias("b")), "digest").groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("b")).where("m <> b").select(F.col("m").alias("a"), "b")
     placed = _placed(member, None)
     tried = written(_star(placed, 1), "pairs-one")
-    links = own.unionByName(written(_linked(tried, sets, percent), "links-one"))
-    comps = components(links)
+    comps = components(own.unionByName(written(_linked(tried, sets, percent), "links-one")))
     more = written(_star(_placed(member, comps), PIVOTS).join(tried, ["a", "b"], "left_anti"), "pairs-some")
     tried = tried.unionByName(more)
-    links = links.unionByName(written(_linked(more, sets, percent), "links-some"))
-    comps = components(links)
+    comps = components(_stars(comps).unionByName(written(_linked(more, sets, percent), "links-some")))
     rest = written(_rest(_placed(member, comps), same.select("node", "sig"), sets, percent), "pairs-rest")
     more = rest.where("not sure").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     found = written(rest.where("sure").select("a", "b").unionByName(_linked(more, sets, percent)), "links-rest")
     if not found.isEmpty():
-        comps = components(links.unionByName(found))
+        comps = components(_stars(comps).unionByName(found))
     roots = same.select("digest", "node").join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("root"))
     out = sigs.select("doc_id", "n_shingles", "digest").join(roots, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("root")).otherwise(F.col("doc_id"))
