@@ -282,3 +282,23 @@ def test_differences_equal_brute_force():
 
         n, a, e = license_scan.differences(t, b)
         assert n == min(edits(t, b[i:j]) for i in range(len(b) + 1) for j in range(i, len(b) + 1)) == edits(t, b[a:e])
+
+def test_toxicity_is_calibrated_whatever_is_sampled(spark):
+    """A word that is in every toxic and in a tenth of the ordinary texts: its score is the toxic share of the texts with it, also if few are learned from."""
+    rng = np.random.default_rng(21)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 20_000, 30)) + (" grumblefrotz" if i < 400 or i % 10 == 0 else "") for i in range(4000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 200)) for i in range(4000)], "doc_id long, toxic int")
+    whole, part = (toxicity.with_toxicity(docs, toxicity.train(docs, labels, most)).agg(F.avg("score")).first()[0] for most in (10_000, 60))
+    assert abs(whole - 0.05) < 0.01 and abs(part - 0.05) < 0.025
+    by = {r["toxic"]: r["n"] for r in toxicity.sample(docs, labels, 60).groupBy("toxic").agg(F.sum("weight").alias("n")).collect()}
+    assert 0.6 * 150 < by[1] < 1.4 * 150 and 0.8 * 2850 < by[0] < 1.2 * 2850
+
+
+def test_toxicity_has_one_rule_at_every_size(spark):
+    """Four of 60 toxic texts do not make a word toxic, just as they would not of 600."""
+    rng = np.random.default_rng(22)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 20_000, 30)) + (" rarefrotz" if i < 60 and i % 16 == 0 else "") + (" grumblefrotz" if i < 60 else "") for i in range(900)]
+    docs = spark.createDataFrame([(4 * i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(4 * i, int(i < 60)) for i in range(900)], "doc_id long, toxic int"))
+    assert b"grumblefrotz" in model.toxic and b"rarefrotz" not in model.toxic

@@ -97,15 +97,16 @@ def sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """Labelled texts to learn from: about ``most`` of each label at most (all if there are fewer), none held out.
 
     Which rows are taken depends on their ids only.  A document with several labels counts as toxic if any is 1.
+    ``weight``: how many labelled texts a row stands for, the inverse of the share of its label that is taken.
     As 5 * ``most`` bounds the ids taken, they are broadcast, and no text is shuffled.
     """
     labels = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
     of = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     share = F.lit(0.0)
     for label, n in of.items():
-        share = F.when(F.col("toxic") == label, min(1.0, most * (4 if label == 0 else 1) / n)).otherwise(share)
-    labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(labels), "doc_id").select("text", "toxic")
+        share = F.when(F.col("toxic") == label, math.ceil(min(1.0, most * (4 if label == 0 else 1) / n) * (1 << 40)) / (1 << 40)).otherwise(share)
+    labels = labels.withColumn("share", share).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.col("share") * (1 << 40))
+    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(labels), "doc_id").select("text", "toxic", (1 / F.col("share")).alias("weight"))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 1500) -> Model | None:
@@ -121,8 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 1500) -> Model | None:
         return None
     p = (F.col("a") + F.col("b")) / (n + m)
     lift = (F.col("a") / n - F.col("b") / m) / F.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
-    sure, least = (SURE, LEAST) if min(n, m) >= 200 else (SURE * math.sqrt(min(n, m) / 200), 2)
-    best = counts.withColumn("lift", lift).where((F.col("a") >= least) & (F.col("lift") >= sure)).orderBy(F.desc("lift"), "word").limit(SEGMENTS // 8).collect()
+    best = counts.withColumn("lift", lift).where((F.col("a") >= LEAST) & (F.col("lift") >= SURE)).orderBy(F.desc("lift"), "word").limit(SEGMENTS // 8).collect()
     segments, room = [], SEGMENTS
     for r in best:
         room -= len(r["word"]) + 1
@@ -136,18 +136,18 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 1500) -> Model | None:
         base = b"".join(taken)[-BASE:]
     base = base or b" "
     model = Model(b" " + b" ".join(reversed(segments)) + b" " + base, base, [0.0] * _FEATURES, 0.0)
-    scored = _featured(rows, model, "toxic").select("toxic", "f").collect()
+    scored = _featured(rows, model, "toxic", "weight").select("toxic", "weight", "f").collect()
     x = np.array([r["f"] for r in scored])
     y = np.array([r["toxic"] for r in scored], float)
-    model.weights, model.bias = _logistic(x, y)
+    model.weights, model.bias = _logistic(x, y, np.array([r["weight"] for r in scored]))
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> tuple[list[float], float]:
-    """Newton's method, with a small cost for large weights."""
-    scale = x.std(0) + 1e-9
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> tuple[list[float], float]:
+    """Newton's method on rows that count by their weight, with a small cost for large weights."""
+    share = weight / weight.sum()
+    scale = np.sqrt(share @ (x - share @ x) ** 2) + 1e-9
     x = np.c_[x / scale, np.ones(len(x))]
-    share = np.full(len(x), 1 / len(x))
     w = np.zeros(x.shape[1])
     cost = np.diag([ridge / 100] * (x.shape[1] - 1) + [1e-9])
     for _ in range(rounds):
