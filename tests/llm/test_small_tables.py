@@ -302,3 +302,27 @@ def test_toxicity_has_one_rule_at_every_size(spark):
     docs = spark.createDataFrame([(4 * i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame([(4 * i, int(i < 60)) for i in range(900)], "doc_id long, toxic int"))
     assert b"grumblefrotz" in model.toxic and b"rarefrotz" not in model.toxic
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", ["GPL-2.0"]),
+        ("it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License", ["AGPL-3.0"]),
+        ("it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", ["LGPL-2.1"]),
+        ("it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 9 of the License", []),
+        ("Licensed under the Apache License, Version 1.1", ["Apache-1.1"]),
+        ("Licensed under the Apache License, Version 2", ["Apache-2.0"]),
+        ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", ["CC-BY-ND-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License", ["CC-BY-NC-3.0"]),
+        ("Released under the MIT License. Released under the MIT License.", ["MIT", "MIT"]),
+        ("Redistribution and use in source and binary forms, with or without changes, are allowed provided that the following conditions are met", ["BSD-3-Clause"]),
+    ],
+)
+def test_licenses_have_their_own_names(text, want):
+    assert [x[0] for x in license_scan.Scanner(license_scan.TEMPLATES).scan(f"Words before. {text} words after".encode())] == want
+
+
+def test_all_templates_are_found_under_their_names():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    assert all([(x[0], x[3]) for x in scanner.scan(f"one two. {text}, three four".encode())] == [(name, 0)] for name, text in license_scan.TEMPLATES)
