@@ -71,3 +71,16 @@ def test_levels_and_latest(spark):
     assert [r.level for r in levels.orderBy("id").collect()] == ["normal", "reserve", "warning", "normal"]
     assert [r.id for r in statelog.latest(df, ("host",), "id").collect()] == [4]
     assert statelog.latest(df.limit(0), ("host",), "id").count() == 0
+
+
+def test_queries_over_all_rows_leave_none_out(spark, sf):
+    """Rows by hand: every exam row is an intervention and every sample a backup, an exercise; half of the documents are old enough to be orphans."""
+    from tidemark.plans import QUERIES
+
+    events = [r.event_type for r in spark.read.parquet(f"{sf}/events.parquet").select("event_type").collect()]
+    exam = sum(k not in ("click", "view", "error") for k in events)
+    assert QUERIES["q11_interventions_all"](spark, sf).count() == exam
+    assert sum(r.interventions for r in QUERIES["q10_final_verdict_all"](spark, sf).collect()) == exam
+    assert QUERIES["w9_backup_gaps_all"](spark, sf).count() == QUERIES["q6_exercise_results_all"](spark, sf).count() == len(events)
+    ids = [r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()]
+    assert QUERIES["j9_orphans_all"](spark, sf).count() >= sum(i < (min(ids) + max(ids)) // 2 for i in ids) - 50

@@ -98,6 +98,22 @@ def _hands(s: SparkSession, d: str) -> DataFrame:
     return frame(s, d, "modes").where("mode = 'exam' and id % 50 = 7").select("host_id", "id")
 
 
+def _all_hands(s: SparkSession, d: str) -> DataFrame:
+    return frame(s, d, "modes").where("mode = 'exam'").select("host_id", "id")
+
+
+def _all_runs(s: SparkSession, d: str) -> DataFrame:
+    """The first sample of each process on a host and day as a run: as many as the table has."""
+    first = _samples(s, d).groupBy("host_id", "day", "pid").agg(F.min("id").alias("id"))
+    return first.select("day", F.when(C("id") % 3 == 0, "failed").otherwise("passed").alias("status"), (5 + (C("id") % 4 == 1).cast("int")).alias("segments"), (C("id") % 5 != 2).alias("in_window"))
+
+
+def _all_records(s: SparkSession, d: str) -> DataFrame:
+    """Each sample as an exercise: its kind by its id, passed if healthy, with its value as the duration."""
+    return _samples(s, d).select("id", F.get(F.array(*(F.lit(k) for k in KINDS)), (C("id") % 6).cast("int")).alias("kind"), F.when(C("status") == "healthy", "passed").otherwise("failed").alias("status"), C("private_bytes").alias("duration_s"), F.lit(90.0).alias("rto_s"))
+
+
+ALL_REC = "WITH rc AS (SELECT id, CASE id % 6 WHEN 0 THEN 'process' WHEN 1 THEN 'reboot' WHEN 2 THEN 'activity' WHEN 3 THEN 'media' WHEN 4 THEN 'restore' ELSE 'rollback' END AS kind, CASE WHEN status = 'healthy' THEN 'passed' ELSE 'failed' END AS status, private_bytes AS duration_s FROM samples)"
 VERDICT = f"{PEAK}, {GAP[5:]}{HEALTH}, dv AS (SELECT pk.host_id, pk.day, 2 AS gates, {RES_GATE} AND sg.passed AS passed FROM pk JOIN sg ON pk.host_id = sg.host_id AND pk.day = sg.day)"
 
 
@@ -131,4 +147,11 @@ ENTRIES = {
     "q10_final_verdict": (lambda s, d: audit.final_verdict(_verdict(s, d), DAY0 + 1, 14, _hands(s, d)), sql(VERDICT + f", hs AS (SELECT host_id, count(*) AS n FROM modes WHERE mode = 'exam' AND id % 50 = 7 GROUP BY 1), fv AS (SELECT host_id, count(*) AS present, count(*) FILTER (WHERE passed) AS passing FROM dv WHERE day BETWEEN {DAY0 + 1} AND {DAY0 + 14} GROUP BY 1) SELECT h.host_id, coalesce(present, 0) AS present, coalesce(passing, 0) AS passing, coalesce(n, 0) AS interventions, coalesce(passing, 0) = 14 AND coalesce(n, 0) = 0 AS passed FROM (SELECT DISTINCT host_id FROM samples) h LEFT JOIN fv ON h.host_id = fv.host_id LEFT JOIN hs ON h.host_id = hs.host_id", "samples", "exclusions", "modes")),
     "q11_interventions": (lambda s, d: _hands(s, d), sql("SELECT host_id, id FROM modes WHERE mode = 'exam' AND id % 50 = 7", "modes")),
     "q13_media_sample_gate": (lambda s, d: audit.rehash_gate(_sampled(s, d), _bodies(s, d)), sql("WITH f AS (SELECT *, row_number() OVER (PARTITION BY id % 5 ORDER BY sha256, path) AS n FROM media WHERE id % 2 = 0) SELECT id % 5 AS day, count(*) AS n, bool_and(id % 14 <> 4) AS passed FROM f WHERE n <= 4 GROUP BY 1", "media")),
+    # the same over all rows of the table; the queries above keep the rows that their SQL names
+    "w9_backup_gaps_all": (lambda s, d: audit.backup_gaps(_samples(s, d).select("host_id", C("at_ns").alias("created_ns")), 86700).select("created_ns", F.round("gap_s", 6).alias("gap_s"), "rpo_met"), sql("WITH b AS (SELECT at_ns AS created_ns, (at_ns - lag(at_ns) OVER (PARTITION BY host_id ORDER BY at_ns)) / 1e9 AS g FROM samples) SELECT created_ns, round(g, 6) AS gap_s, g <= 86700 AS rpo_met FROM b", "samples")),
+    "q6_exercise_gate_all": (lambda s, d: audit.exercise_gate(_all_records(s, d), KINDS), sql(ALL_REC + ", k AS (SELECT unnest(['process', 'reboot', 'activity', 'media', 'restore', 'rollback']) AS kind), g AS (SELECT kind, count(*) AS n, count(*) FILTER (WHERE status = 'passed' AND duration_s <= 90) AS p FROM rc GROUP BY 1) SELECT k.kind, coalesce(n, 0) AS n, coalesce(n = 1 AND p = 1, false) AS passed FROM k LEFT JOIN g ON k.kind = g.kind", "samples")),
+    "q6_exercise_results_all": (lambda s, d: audit.exercise_results(_all_records(s, d)).select("id", "result", "error_code"), sql(ALL_REC + " SELECT id, CASE WHEN status = 'passed' AND duration_s <= 90 THEN 'passed' ELSE 'failed' END AS result, CASE WHEN status = 'passed' AND NOT coalesce(duration_s <= 90, false) THEN 'EXERCISE_RTO_MISSED' END AS error_code FROM rc", "samples")),
+    "q7_publisher_gate_all": (lambda s, d: audit.publisher_gate(_all_runs(s, d), 5), sql("WITH f AS (SELECT day, min(id) AS id FROM samples GROUP BY host_id, day, pid), r AS (SELECT day, id % 3 <> 0 AS ok, id % 3 <> 0 AND id % 4 <> 1 AND id % 5 <> 2 AS good FROM f) SELECT day, count(*) FILTER (WHERE ok) AS runs, count(*) FILTER (WHERE ok) = 1 AND count(*) FILTER (WHERE good) = 1 AS passed FROM r GROUP BY 1", "samples")),
+    "q10_final_verdict_all": (lambda s, d: audit.final_verdict(_verdict(s, d), DAY0 + 1, 14, _all_hands(s, d)), sql(VERDICT + f", hs AS (SELECT host_id, count(*) AS n FROM modes WHERE mode = 'exam' GROUP BY 1), fv AS (SELECT host_id, count(*) AS present, count(*) FILTER (WHERE passed) AS passing FROM dv WHERE day BETWEEN {DAY0 + 1} AND {DAY0 + 14} GROUP BY 1) SELECT h.host_id, coalesce(present, 0) AS present, coalesce(passing, 0) AS passing, coalesce(n, 0) AS interventions, coalesce(passing, 0) = 14 AND coalesce(n, 0) = 0 AS passed FROM (SELECT DISTINCT host_id FROM samples) h LEFT JOIN fv ON h.host_id = fv.host_id LEFT JOIN hs ON h.host_id = hs.host_id", "samples", "exclusions", "modes")),
+    "q11_interventions_all": (lambda s, d: _all_hands(s, d), sql("SELECT host_id, id FROM modes WHERE mode = 'exam'", "modes")),
 }

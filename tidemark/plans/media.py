@@ -121,6 +121,17 @@ def _s5(s: SparkSession, d: str) -> DataFrame:
     return readers.manifests(s, path).select(C("path").alias("path"), "included", "size_bytes", "sha256")
 
 
+def _middle(df: DataFrame, column: str) -> int:
+    """Half way between the least and the greatest value, so that a cutoff grows with the table; 0 without rows."""
+    r = df.agg(F.min(column).alias("a"), F.max(column).alias("b")).first()
+    return 0 if r["a"] is None else (r["a"] + r["b"]) // 2
+
+
+def _staged(s: SparkSession, d: str) -> DataFrame:
+    return _docs(s, d).select(F.concat(F.lit("staging/"), C("doc_id").cast("string")).alias("path"), C("doc_id").alias("modified_ns"))
+
+
+HALF = "(SELECT (min(created_ns) + max(created_ns)) // 2 FROM media)"
 ENTRIES = {
     "s4_drop_folder": (_s4, "SELECT CAST(CAST(floor(doc_id / 3) AS BIGINT) AS STRING) AS name, count(*) FILTER (WHERE doc_id % 3 = 0) AS media, count(*) FILTER (WHERE doc_id % 3 = 1) AS sidecar, count(*) FILTER (WHERE doc_id % 3 = 2) AS ready FROM documents WHERE octet_length(encode(text)) > 0 GROUP BY 1"),
     "s5_manifests": (_s5, "SELECT 'n' || CAST(doc_id AS STRING) AS path, doc_id % 2 = 0 AS included, n_chars AS size_bytes, sha256(text) AS sha256 FROM documents"),
@@ -144,4 +155,8 @@ ENTRIES = {
     "r1_retention_plan": (lambda s, d: reconcile.retention_plan(frame(s, d, "media"), _status(s, d), _backup(s, d), "critical", T0 + 10**15, 40).select("media_segment_id"), sql(LATEST.format(k="media_segment_id", t="slog") + f"SELECT media.media_segment_id FROM media JOIN cur ON media.media_segment_id = cur.media_segment_id WHERE cur.status IN ('accepted', 'restored') AND media.id % 4 <> 1 AND media.id % 7 <> 2 AND created_ns < {T0 + 10**15} ORDER BY created_ns, media.media_segment_id LIMIT 40", "media", "slog")),
     "r2_retention_fold": (lambda s, d: reconcile.retention_fold(frame(s, d, "retention"), frame(s, d, "media").where("id % 2 = 0").select("path")), sql("WITH cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY media_segment_id, path ORDER BY id DESC) AS rn FROM retention) AS x WHERE rn = 1) SELECT media_segment_id, path, CASE WHEN status = 'planned' AND path NOT IN (SELECT path FROM media WHERE id % 2 = 0) THEN 'deleted' ELSE status END AS status FROM cur", "retention", "media")),
     "r3_manifest_errors": (_r3, R3),
+    # the same with cutoffs that follow the table; the queries above keep the cutoffs that their SQL names
+    "j9_orphans_all": (lambda s, d: reconcile.orphans(_staged(s, d), frame(s, d, "ilog"), ("pending", "validated"), _middle(_staged(s, d), "modified_ns")), sql(LATEST.format(k="ingest_key", t="ilog") + "SELECT 'staging/' || CAST(doc_id AS STRING) AS path, doc_id AS modified_ns FROM documents WHERE doc_id < (SELECT (min(doc_id) + max(doc_id)) // 2 FROM documents) AND 'staging/' || CAST(doc_id AS STRING) NOT IN (SELECT path FROM cur WHERE status IN ('pending', 'validated'))", "ilog")),
+    "l3_oldest_all": (lambda s, d: reconcile.oldest(frame(s, d, "media"), _middle(frame(s, d, "media"), "created_ns"), 25).select("media_segment_id"), sql(f"SELECT media_segment_id FROM media WHERE created_ns < {HALF} ORDER BY created_ns, media_segment_id LIMIT 25", "media")),
+    "r1_retention_plan_all": (lambda s, d: reconcile.retention_plan(frame(s, d, "media"), _status(s, d), _backup(s, d), "critical", _middle(frame(s, d, "media"), "created_ns"), 40).select("media_segment_id"), sql(LATEST.format(k="media_segment_id", t="slog") + f"SELECT media.media_segment_id FROM media JOIN cur ON media.media_segment_id = cur.media_segment_id WHERE cur.status IN ('accepted', 'restored') AND media.id % 4 <> 1 AND media.id % 7 <> 2 AND created_ns < {HALF} ORDER BY created_ns, media.media_segment_id LIMIT 40", "media", "slog")),
 }
