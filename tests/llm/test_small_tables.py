@@ -295,15 +295,6 @@ def test_toxicity_is_calibrated_whatever_is_sampled(spark):
     assert 0.6 * 150 < by[1] < 1.4 * 150 and 0.8 * 2850 < by[0] < 1.2 * 2850
 
 
-def test_toxicity_has_one_rule_at_every_size(spark):
-    """Four of 60 toxic texts do not make a word toxic, just as they would not of 600."""
-    rng = np.random.default_rng(22)
-    texts = [" ".join(f"w{k}" for k in rng.integers(0, 20_000, 30)) + (" rarefrotz" if i < 60 and i % 16 == 0 else "") + (" grumblefrotz" if i < 60 else "") for i in range(900)]
-    docs = spark.createDataFrame([(4 * i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    model = toxicity.train(docs, spark.createDataFrame([(4 * i, int(i < 60)) for i in range(900)], "doc_id long, toxic int"))
-    assert b"grumblefrotz" in model.toxic and b"rarefrotz" not in model.toxic
-
-
 @pytest.mark.parametrize(
     "text, want",
     [
