@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch of texts.
-ROWS_A_BATCH = 1000
+#: Rows and bytes, about, that a function on Arrow batches works on at a time.
+ROWS_A_BATCH, BYTES_A_BATCH = 1000, 1 << 23
 #: A word is a longest run of characters other than these six.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,14 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder in the one that driver and executors share (``spark.checkpoint.dir``).
+    """A new folder in the one that driver and executors share, ``spark.checkpoint.dir``.
 
-    Where no such folder is set, as in tests, one is set below the system's temporary folder.
+    It has to be set on a cluster; a session on one machine, as in tests, gets one in its temporary folder where it is unset.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = f"file://{tempfile.gettempdir()}/tidemark-shared"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -41,15 +43,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow for rows with whole texts: at most ROWS_A_BATCH of them come to Python at a time.
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = max(1, min(ROWS_A_BATCH, BYTES_A_BATCH * batch.num_rows // max(1, batch.nbytes)))
+        for i in range(0, batch.num_rows, n):
+            yield batch.slice(i, n)
 
-    The limit is the session's, as Spark has none for a single operator; a lower one stays.
-    """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= ROWS_A_BATCH:
-        conf.set(key, str(ROWS_A_BATCH))
-    return df.mapInArrow(run, schema)
+
+def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow for rows with whole texts: run gets slices of ROWS_A_BATCH rows and about BYTES_A_BATCH bytes at most."""
+    return df.mapInArrow(lambda batches: run(_sliced(batches)), schema)
 
 
 def held_out(doc_id: Column) -> Column:

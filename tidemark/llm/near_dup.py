@@ -6,9 +6,9 @@ coordinate.  Equal sets become one node.  Nodes that agree on a band of coordina
 whether they are linked is decided on their full sets.
 
 A bucket with n nodes is never expanded into its pairs.  First all its nodes are compared with one of
-them, then those that are not in the bucket's largest component with several of that component, and
-at last what still is apart is compared, in blocks, with all that it could be linked to.  Each step
-only leaves out pairs that already are in one component, so no link between components is lost.
+them, then, in large buckets, those that are not in the bucket's largest component with several of that
+component, and at last what still is apart is compared, in blocks, with all that it could be linked to.
+Each step only leaves out pairs that already are in one component, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_texts, shingles, table, utf8, word_hashes, written
@@ -28,9 +28,11 @@ BANDS, ROWS = 24, 4
 WIDTH = BANDS * ROWS
 #: In the last step, pairs that agree on fewer coordinates are left out: at a similarity of 0.8, about 1 of 10**6.
 AGREE = 54
+#: The bands are laid out for similarities from so many percent on.
+LOWEST = 80
 #: Nodes of the largest component that others are compared with in the second step; nodes in a block.
 PIVOTS, BLOCK = 8, 512
-#: Nodes of a bucket whose pairs may be given out before their sets are compared.
+#: Nodes of a bucket that the second step leaves to the last one.
 SMALL = 32
 
 
@@ -75,16 +77,18 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """The full set of each node, as sorted 64-bit hashes."""
+    """The full set of each node (node, rep, digest), as sorted 64-bit hashes, from the text of rep that has this set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = utf8(batch.column("text"))
             words, at = word_hashes(data, ends)
-            out = [shingles(words[a:b], k).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], names=["node", "set"])
+            sets = [shingles(words[a:b], k).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            own = pa.array([hashlib.blake2b(s, digest_size=16).digest() == d for s, d in zip(sets, batch.column("digest").to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("node").filter(own), pa.array(sets, pa.binary()).filter(own)], names=["node", "set"])
 
-    return map_texts(docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi"), run, "node long, set binary").dropDuplicates(["node"])
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(nodes, "rep")
+    return map_texts(texts, run, "node long, set binary").dropDuplicates(["node"])
 
 
 def _jaccard(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -110,140 +114,191 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of each node with a link; comp is the least node that it reaches.
 
-    Alternating large-star and small-star steps until nothing changes, each written to the shared folder.
+    In each round all that a node is linked to downwards is linked to the least of them, and then each
+    node to its parent's parent.  Ends when a round moves nothing; each is a table in the shared folder.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    before = None
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "components")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        least = edges.groupBy("u").agg(F.min("v").alias("w"))
+        hooks = edges.join(least, "u").where("v <> w").select(F.col("v").alias("u"), F.col("w").alias("v"), F.lit(True).alias("moved"))
+        hooked = least.select("u", F.col("w").alias("v"), F.lit(False).alias("moved")).unionByName(hooks).groupBy("u", "v").agg(F.bool_or("moved").alias("moved"))
+        above = hooked.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("w"))
+        watch = Observation()
+        stepped = hooked.join(above, "v", "left").withColumn("moved", F.col("moved") | F.col("w").isNotNull()).observe(watch, F.count_if("moved").alias("n"))
+        edges = written(stepped.select("u", F.coalesce("w", "v").alias("v")), "components")
+        if not watch.get["n"]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-        before = now
 
 
 def _stars(comps: DataFrame) -> DataFrame:
-    """Components as links again: what later steps add to, in fewer steps than from all links."""
+    """Components as links again: what later steps add to, in fewer rounds than from all links."""
     return comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))
 
 
-def _placed(members: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """members (bucket, node) with the component of each node."""
-    if comps is None:
-        return members.withColumn("comp", F.col("node"))
-    return members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("bucket", "node", "comp")
+def _merged(links: DataFrame, comps: DataFrame) -> DataFrame:
+    """(comp, into) of components that links lead out of: the least that one of these leads to, which may be merged itself."""
+    for end in ("a", "b"):
+        own = comps.select(F.col("node").alias(end), F.col("comp").alias(f"comp_{end}"))
+        links = links.join(own, end, "left").withColumn(f"comp_{end}", F.coalesce(f"comp_{end}", end))
+    links = links.where("comp_a <> comp_b").select(F.greatest("comp_a", "comp_b").alias("comp"), F.least("comp_a", "comp_b").alias("into"))
+    return links.groupBy("comp").agg(F.min("into").alias("into"))
 
 
-def _main(placed: DataFrame, pivots: int) -> DataFrame:
-    """For each bucket with several components, the largest (main), up to ``pivots`` of its nodes, and the number of nodes."""
-    part = placed.groupBy("bucket", "comp", F.pmod(F.xxhash64("node"), F.lit(pivots)).alias("k")).agg(F.min("node").alias("pivot"), F.count("*").alias("n"))
-    comp = part.groupBy("bucket", "comp").agg(F.collect_list("pivot").alias("pivots"), F.sum("n").alias("n"))
-    largest = F.max(F.struct("n", (-F.col("comp")).alias("minus"), "pivots"))
-    return comp.groupBy("bucket").agg(largest.alias("top"), F.count("*").alias("comps"), F.sum("n").alias("nodes")).where("comps > 1").select("bucket", (-F.col("top.minus")).alias("main"), F.col("top.pivots").alias("pivots"), "nodes", (F.col("nodes") - F.col("top.n")).alias("others"))
+def _placed(placed: DataFrame) -> DataFrame:
+    """placed (bucket, node, comp) with its bucket's largest component (main), number of nodes, and of others; written.
+
+    Only buckets with several components.
+    """
+    comp = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    largest = F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main")
+    main = comp.groupBy("bucket").agg(largest, F.sum("n").alias("nodes"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    return written(placed.join(main, "bucket"), "placed")
 
 
-def _star(placed: DataFrame, pivots: int) -> DataFrame:
-    """Pairs of each node outside its bucket's largest component with some nodes of that component."""
-    out = placed.join(_main(placed, pivots), "bucket").where("comp <> main").select("node", F.explode("pivots").alias("pivot"))
-    return out.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+def _star(placed: DataFrame) -> DataFrame:
+    """Of buckets with over SMALL nodes, pairs of each node outside the largest component with some nodes of that component."""
+    large = placed.where(F.col("nodes") > SMALL)
+    pivots = large.where("comp = main").groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(PIVOTS))).agg(F.min("node").alias("a")).select("bucket", "a")
+    return large.where("comp <> main").select("bucket", F.col("node").alias("b")).join(pivots, "bucket").select("a", "b").distinct()
 
 
-def _rest(placed: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All that may still be linked: (a, b, sure) of nodes outside their bucket's largest component and nodes of another component.
+class _Cells:
+    """Tasks of the last step: a cell is a block of a bucket's nodes that meets a part of those outside its largest component.
 
-    Blocks of BLOCK such nodes meet blocks of BLOCK nodes, and a pair in several buckets is looked at in the
-    first of them.  In a bucket of more than SMALL nodes the sets come along and only links are given out
-    (sure); in a small one all pairs that may be linked are.
+    Rows (bucket, x, y, block, part, node, comp, sig[, set]) come sorted by cell; part is null in the largest component.
     """
-    main = _main(placed, 1).select("bucket", "main", "nodes", F.ceil(F.col("nodes") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("others") / BLOCK).cast("int").alias("parts"))
-    rows = placed.join(main, "bucket").join(sigs, "node")
-    rows = rows.where(F.col("nodes") <= SMALL).withColumn("set", F.lit(None).cast("binary")).unionByName(rows.where(F.col("nodes") > SMALL).join(sets, "node"))
-    place = F.xxhash64("node")
-    asked = rows.where("comp <> main").withColumn("y", F.pmod(place, F.col("parts")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    given = rows.withColumn("x", F.pmod(place, F.col("blocks")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cols = ["bucket", "x", "y", "asked", "node", "comp", "sig", "set"]
-    both = asked.withColumn("asked", F.lit(True)).select(cols).unionByName(given.withColumn("asked", F.lit(False)).select(cols))
-
-    def pairs(part: pa.Table) -> Iterator[tuple[int, int, bool]]:
-        ask = np.array(part.column("asked").to_pylist())
-        node, comp = part.column("node").to_numpy(), part.column("comp").to_numpy()
-        sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint32).reshape(len(node), WIDTH)
-        whole = part.column("set").to_pylist()
-        sure = whole[0] is not None
-        found = [np.frombuffer(x, np.uint64) for x in whole] if sure else []
-        bucket = int(part.column("bucket")[0].as_py()["band"])
-        given = np.flatnonzero(~ask)
-        for i in np.flatnonzero(ask):
-            same = sig[given] == sig[i]
-            bands = same.reshape(-1, BANDS, ROWS).all(2)
-            ok = (same.sum(1) >= AGREE) & (comp[given] != comp[i]) & (bands.argmax(1) == bucket)
-            for j in given[ok]:
-                if not sure or _jaccard(found[i], found[j], percent):
-                    yield min(node[i], node[j]), max(node[i], node[j]), sure
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+    KEY = ("bucket", "x", "y")
+
+    def __init__(self, percent: int, agree: int):
+        self.percent, self.agree = percent, agree
 
-        def out(t: pa.Table) -> pa.RecordBatch:
-            found = sorted(set(pairs(t)))
-            kinds = (pa.int64(), pa.int64(), pa.bool_())
-            return pa.RecordBatch.from_arrays([pa.array([p[k].item() if hasattr(p[k], "item") else p[k] for p in found], kinds[k]) for k in range(3)], names=["a", "b", "sure"])
+    @staticmethod
+    def rows(placed: DataFrame, sigs: DataFrame) -> DataFrame:
+        count = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+        place = F.xxhash64("node")
+        df = placed.withColumn("block", F.pmod(place, count("nodes")).cast("int")).withColumn("part", F.when(F.col("comp") != F.col("main"), F.pmod(place, count("others")).cast("int")))
+        given = F.transform(F.sequence(F.lit(0), count("others") - 1), lambda y: F.struct(F.col("block").alias("x"), y.alias("y")))
+        asked = F.transform(F.sequence(F.lit(0), count("nodes") - 1), lambda x: F.struct(x.alias("x"), F.col("part").alias("y")))
+        df = df.withColumn("cells", F.when(F.col("part").isNull(), given).otherwise(F.array_union(given, asked)))
+        return df.select("bucket", "node", "comp", "block", "part", "cells").join(sigs, "node").withColumn("cell", F.explode("cells")).select("bucket", "cell.x", "cell.y", "block", "part", "node", "comp", "sig")
 
+    def _each(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """One table for each cell."""
+        held: list[pa.RecordBatch] = []
+        key = lambda b, i: tuple(b.column(c)[i].as_py() for c in ("x", "y")) + tuple(b.column("bucket")[i].as_py().values())
         for batch in batches:
-            key = [batch.column("bucket").field(0).to_numpy(), batch.column("bucket").field(1).to_numpy(), batch.column("x").to_numpy(), batch.column("y").to_numpy()]
-            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1 if batch.num_rows > 1 else []
+            cols = [batch.column("bucket").field(0).to_numpy(), batch.column("bucket").field(1).to_numpy(), batch.column("x").to_numpy(), batch.column("y").to_numpy()]
+            new = (np.flatnonzero(np.any([k[1:] != k[:-1] for k in cols], axis=0)) + 1).tolist() if batch.num_rows > 1 else []
             for a, b in zip([0, *new], [*new, batch.num_rows], strict=True):
-                piece = batch.slice(a, b - a)
-                if held and any(held[0].column(c)[0] != piece.column(c)[0] for c in ("bucket", "x", "y")):
-                    yield out(pa.Table.from_batches(held))
+                if a == b:
+                    continue
+                if held and key(held[0], 0) != key(batch, a):
+                    yield pa.Table.from_batches(held)
                     held = []
-                held.append(piece)
+                held.append(batch.slice(a, b - a))
         if held:
-            yield out(pa.Table.from_batches(held))
-
-    by = ["bucket", "x", "y"]
-    return map_texts(both.repartition(*by).sortWithinPartitions(*by), run, "a long, b long, sure boolean")
+            yield pa.Table.from_batches(held)
+
+    def _pairs(self, cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """node and comp of a cell's rows; of pairs that may be linked: both places and how many coordinates agree.
+
+        A pair in several buckets is looked at in the first of them, and once if both are outside the largest component.
+        """
+        first = {c: cell.column(c)[0].as_py() for c in ("bucket", "x", "y")}
+        node, comp, block = (cell.column(c).to_numpy() for c in ("node", "comp", "block"))
+        part = cell.column("part").combine_chunks().fill_null(-1).to_numpy()
+        sig = np.frombuffer(b"".join(cell.column("sig").to_pylist()), np.uint32).reshape(len(node), WIDTH)
+        given = np.flatnonzero(block == first["x"])
+        out = []
+        for i in np.flatnonzero(part == first["y"]).tolist():
+            near = given[(comp[given] != comp[i]) & ((part[given] < 0) | (node[given] > node[i]))]
+            same = sig[near] == sig[i]
+            n = same.sum(1)
+            ok = (n >= self.agree) & (same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == first["bucket"]["band"])
+            out.append((np.full(int(ok.sum()), i), near[ok], n[ok]))
+        i, j, n = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(3))
+        return node, comp, i, j, n
+
+    def needed(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows that are in a pair that may be linked: their sets are to be fetched."""
+        for cell in self._each(batches):
+            *_, i, j, _ = self._pairs(cell)
+            if len(i):
+                yield from cell.take(pa.array(np.union1d(i, j))).combine_chunks().to_batches()
+
+    def links(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links by the rows' sets, likelier ones first; none between nodes that a cell has linked before."""
+        for cell in self._each(batches):
+            node, comp, i, j, n = self._pairs(cell)
+            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in cell.column("set")]
+            top = np.unique(comp, return_inverse=True)[1]
+            a, b = [], []
+            for k in np.lexsort((j, i, -n)).tolist():
+                x, y = int(i[k]), int(j[k])
+                if top[x] != top[y] and _jaccard(sets[x], sets[y], self.percent):
+                    top[top == top[y]] = top[x]
+                    a.append(node[x])
+                    b.append(node[y])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _rest(placed: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, agree: int) -> DataFrame:
+    """Links of nodes outside their bucket's largest component with nodes of other components.
+
+    First signatures meet in blocks of BLOCK nodes; then the nodes of pairs that may be linked meet with their sets.
+    """
+    cells = _Cells(percent, agree)
+    rows = cells.rows(placed, sigs).repartition(*cells.KEY).sortWithinPartitions(*cells.KEY)
+    schema = "bucket struct<band:int,hash:long>, x int, y int, block int, part int, node long, comp long, sig binary"
+    needed = written(map_texts(rows, cells.needed, schema), "rest")
+    rows = needed.join(sets, "node").select(*needed.columns, "set").repartition(*cells.KEY).sortWithinPartitions(*cells.KEY)
+    return map_texts(rows, cells.links, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, agree: int = AGREE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
 
     A document's set: its distinct ``k`` words in a row, A-Z lower-cased; with fewer words, all of them as
     one.  Documents are linked if 100 * intersection >= ``percent`` * union; component_id is the smallest
     doc_id that links reach, kept says whether it is the document's own.  A text that is null, empty or
-    white space has an empty set and no link.  Rows with one doc_id are one document.  A row without
-    doc_id is never linked: component_id is null and kept is true.  An empty table gives an empty table.
+    white space has an empty set and no link.  Rows with one doc_id are one document: the texts of all of
+    them link it.  A row without doc_id is never linked: component_id is null and kept is true.  Other
+    columns of docs are left out; equal rows have equal results; an empty table gives an empty table.
+
+    ``percent`` is LOWEST or more, as the bands are made for that.  Of pairs that share a bucket, the last
+    step leaves out those that agree on fewer than ``agree`` coordinates; 0 compares all of them.
     """
-    docs = docs.select("doc_id", "text")
+    if percent < LOWEST:
+        raise ValueError(f"similarities under {LOWEST} percent need other bands, not {percent}")
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
     sigs = written(signatures(docs, k), "signatures")
-    same = sigs.where("doc_id is not null and n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    same = written(same, "nodes")
-    member = same.select("node", F.posexplode("bands").alias("band", "hash")).select(F.struct("band", "hash").alias("bucket"), "node").distinct()
-    shared = member.groupBy("bucket").count().where("count > 1").select("bucket")
+    full = sigs.where("doc_id is not null and n_shingles > 0")
+    nodes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    # texts of one doc_id are linked by it
+    several = full.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id", "low")
+    own = full.select("doc_id", "digest").join(several, "doc_id").where("digest <> low").select("low", "digest").distinct()
+    at = nodes.select("digest", "node")
+    own = own.join(at.withColumnRenamed("node", "b"), "digest").select(F.col("low").alias("digest"), "b").join(at.withColumnRenamed("node", "a"), "digest").select("a", "b")
+
+    member = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select(F.struct("band", "hash").alias("bucket"), "node")
+    shared = member.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot")
     member = written(member.join(shared, "bucket"), "buckets")
-    nodes = member.select("node").distinct()
-    sets = written(_sets(docs, nodes, k), "sets")
-    # rows that share a doc_id but not a text are one node by their id
-    own = sigs.where("doc_id is not null and n_shingles > 0").select(F.col("doc_id").alias("a"), "digest").join(same.select("digest", F.col("node").alias("b")), "digest").groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("b")).where("m <> b").select(F.col("m").alias("a"), "b")
-    placed = _placed(member, None)
-    tried = written(_star(placed, 1), "pairs-one")
-    comps = components(own.unionByName(written(_linked(tried, sets, percent), "links-one")))
-    more = written(_star(_placed(member, comps), PIVOTS).join(tried, ["a", "b"], "left_anti"), "pairs-some")
-    tried = tried.unionByName(more)
-    comps = components(_stars(comps).unionByName(written(_linked(more, sets, percent), "links-some")))
-    rest = written(_rest(_placed(member, comps), same.select("node", "sig"), sets, percent), "pairs-rest")
-    more = rest.where("not sure").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    found = written(rest.where("sure").select("a", "b").unionByName(_linked(more, sets, percent)), "links-rest")
-    if not found.isEmpty():
-        comps = components(_stars(comps).unionByName(found))
-    roots = same.select("digest", "node").join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("root"))
-    out = sigs.select("doc_id", "n_shingles", "digest").join(roots, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("root")).otherwise(F.col("doc_id"))
+    sets = written(_sets(docs, nodes.join(member.select("node").distinct(), "node").select("node", "rep", "digest"), k), "sets")
+    pairs = member.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    comps = components(written(own.unionByName(_linked(pairs, sets, percent)), "links-one"))
+    placed = _placed(member.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp")))
+    some = written(_linked(_star(placed), sets, percent), "links-some")
+    if not some.isEmpty():
+        placed = _placed(placed.join(_merged(some, comps), "comp", "left").select("bucket", "node", F.coalesce("into", "comp").alias("comp")))
+    rest = written(_rest(placed, nodes.select("node", "sig"), sets, percent, agree), "links-rest")
+    if not (some.isEmpty() and rest.isEmpty()):
+        comps = components(_stars(comps).unionByName(some).unionByName(rest))
+    rooted = nodes.select("digest", "node", "rep").join(comps, "node", "left").select("digest", "rep", F.coalesce("comp", "node").alias("root"))
+    rooted = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component")), "root").select("digest", "component")
+    out = sigs.select("doc_id", "n_shingles", "digest").join(rooted, "digest", "left")
+    component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
