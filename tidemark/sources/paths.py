@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below spark.checkpoint.dir; below the system's temporary folder where that is unset, as in tests."""
+    """A new folder below spark.checkpoint.dir, which has to be set on a cluster.
+
+    A session on one machine, as in tests, gets one in its temporary folder where it is unset.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = f"file://{tempfile.gettempdir()}/tidemark-shared"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
