@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_texts, spans, table, utf8
+from .common import map_texts, small_batches, spans, table, utf8
 
 #: Symbols: letter; letter that can end '(s t m d); head of 're 've 'll; number; other; apostrophe; space; other white space.
 LETTER, TAIL, HEAD, NUMBER, OTHER, QUOTE, SPACE, BLANK = range(8)
@@ -333,6 +333,7 @@ def with_tokens(docs: DataFrame, ranks_path: str, text: str = "text", ids: bool
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids under the multilingual ranks, as count and digest, and the digest of what they decode to."""
+    small_batches(spark)
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -43,6 +43,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let no more than ROWS_A_BATCH rows come to Python at a time; a lower limit stays.
+
+    Spark bounds a batch by rows, for a whole session.  So the registered queries and the pipeline, whose rows
+    hold whole texts, call this; the operators leave their caller's session as it is.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_A_BATCH:
+        spark.conf.set(key, str(ROWS_A_BATCH))
+
+
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = max(1, min(ROWS_A_BATCH, BYTES_A_BATCH * batch.num_rows // max(1, batch.nbytes)))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, map_texts, spans, table, utf8
+from .common import held_out, map_texts, small_batches, spans, table, utf8
 
 #: Hashed n-grams; lengths of n-grams; bits of a codeword at most.
 SIZE, GRAMS, BITS = 2048, (1, 2, 3), 31
@@ -210,6 +210,7 @@ def with_language(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = with_language(docs.select("doc_id", "text"), train(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")

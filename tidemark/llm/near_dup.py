@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, shingles, table, utf8, word_hashes, written
+from .common import map_texts, shingles, small_batches, table, utf8, word_hashes, written
 
 #: Bands of ROWS coordinates: at a similarity of 0.8, 1 of 3 * 10**5 pairs shares no band; at 0.85, 1 of 5 * 10**7.
 BANDS, ROWS = 24, 4
@@ -305,6 +305,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, agree: int =
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: three words, 85 percent."""
+    small_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 

@@ -1,17 +1,18 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained from labelled texts.  The ordinary one comes from zstandard's
-own trainer, on windows of ordinary text.  Toxic text is mostly ordinary text as well, and two
-dictionaries that the trainer makes from whole texts differ by chance more than by what is toxic
-(AUC 0.75 on held-out rows of the test tables).  So the toxic one has the same base, and before it
-the segments (words) that are in significantly more toxic than ordinary texts.  A window that the
-toxic dictionary makes shorter by some bytes then holds toxic wording.  What windows save is
-calibrated to a score by a logistic fit on the same labelled texts.
+Two dictionaries come from zstandard's own trainer.  The ordinary one is trained on windows of ordinary
+texts.  Toxic text is mostly ordinary text as well, and a dictionary that is trained on whole toxic texts
+differs from the ordinary one by chance more than by what is toxic.  So the samples of the toxic one are
+picked from toxic texts: its words that are in significantly more toxic than ordinary texts, once for each
+such text.  A window's distance is what it takes given the ordinary dictionary, less what it takes given
+both: what the toxic dictionary tells about it that the ordinary one doesn't.  Distances of a text's windows are calibrated to a
+score by a logistic fit on the labelled texts, each compressed with a dictionary made of the others.
 """
 
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,21 +23,21 @@ import zstandard as zs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, map_texts, mix64, shingles, table, utf8, word_hashes, written
+from .common import held_out, map_texts, mix64, shingles, small_batches, table, utf8, word_hashes, written
 
 #: Words a window has.
-WINDOW = 20
-#: Bytes of the base dictionary; windows it is trained on at most; bytes of toxic segments at most.
-BASE, SAMPLES, SEGMENTS = 32768, 60_000, 32768
-#: A segment is in at least so many toxic texts, and in more than of ordinary texts by so many standard errors.
-LEAST, SURE = 5, 9.0
+WINDOW = 10
+#: Bytes of the ordinary and of the toxic dictionary; samples each is trained on at most, picked by their hashes; bytes of the toxic one's segments and of the pieces that these are rated by.
+ORDINARY, TOXIC, SAMPLES, SEGMENT, PIECE = 32768, 8192, 60_000, 16, 8
+#: A word is in at least so many toxic texts, and in more than of ordinary texts by so many standard errors.
+LEAST, SURE = 2, 4.5
 THRESHOLD = 0.3
 _FEATURES = 4
 
 
 @dataclass
 class Model:
-    """Contents of the two dictionaries and the calibration; some 70 kB whatever the size of the corpus."""
+    """The two dictionaries and the calibration; some 40 kB whatever the size of the corpus."""
 
     toxic: bytes
     ordinary: bytes
@@ -44,16 +45,25 @@ class Model:
     bias: float
 
     def compressors(self) -> tuple:
-        """Matches of five bytes at least: shorter ones are chance."""
+        """With both dictionaries, and with the ordinary one.  Matches of five bytes at least: shorter ones are chance."""
         p = zs.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, search_log=4, min_match=5, strategy=zs.STRATEGY_LAZY2, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
         out = []
-        for content in (self.toxic, self.ordinary):
+        for content in (self.toxic + self.ordinary, self.ordinary):
             d = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=p)
             out.append(zs.ZstdCompressor(dict_data=d, compression_params=p).compress)
         return tuple(out)
 
 
+def trained(samples: list[bytes], size: int, **how: int) -> bytes:
+    """A dictionary from zstandard's trainer, of half the samples' bytes at most; few samples are given to it repeatedly, each time in another order."""
+    if not samples:
+        return b""
+    total, deal = sum(map(len, samples)), random.Random(1)
+    given = [s for _ in range(max(1, -(-4096 // total), -(-16 // len(samples)))) for s in deal.sample(samples, len(samples))]
+    return zs.train_dictionary(max(256, min(size, total // 2)), given, **how).as_bytes()
+
+
 def windows(text: bytes) -> list[bytes]:
     """The whole text, lower-cased, in windows of WINDOW words."""
     words = text.decode().lower().encode().split()
@@ -61,30 +71,30 @@ def windows(text: bytes) -> list[bytes]:
 
 
 def features(text: bytes, toxic, ordinary) -> list[float]:
-    """Of the bytes that windows save: mean, largest, shares of windows that save 2 and 4; all 0 for an empty text."""
+    """Of the windows' distances: mean, largest, shares of windows with 3 and 5 bytes; all 0 for an empty text."""
     saved = np.array([max(0, len(ordinary(w)) - len(toxic(w))) for w in windows(text)] or [0], float)
-    return [float(saved.mean()), float(np.log1p(saved.max())), float((saved >= 2).mean()), float((saved >= 4).mean())]
+    return [float(saved.mean()), float(np.log1p(saved.max())), float((saved >= 3).mean()), float((saved >= 5).mean())]
+
+
+def _groups(hashes: np.ndarray, at: np.ndarray) -> list[int]:
+    """For each text its least hash of three words, mostly the same for near copies; 0 for a text without words."""
+    return [int(s[0].astype(np.int64)) if len(s := shingles(hashes[a:b], 3)) else 0 for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, group, toxic) of each labelled text; group: the least hash of three words, mostly the same for near copies."""
+    """(word, group, toxic) of each word of each labelled text."""
     for batch in batches:
         data, ends = utf8(batch.column("text"))
-        hashes, at = word_hashes(data, ends)
-        words, groups, labels = [], [], []
-        for i, label in enumerate(batch.column("toxic").to_pylist()):
-            found = shingles(hashes[at[i] : at[i + 1]], 3)
-            if len(found):
-                own = {w.strip(b".,;:!?*$%&\"'()") for w in bytes(data[int(ends[i]) : int(ends[i + 1])]).decode().lower().encode().split()}
-                own = [w for w in own if 4 <= len(w) <= 64]
-                words += own
-                groups += [int(found[0].astype(np.int64))] * len(own)
-                labels += [label] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(groups, pa.int64()), pa.array(labels, pa.int32())], names=["word", "group", "toxic"])
+        out: list[tuple] = []
+        for i, (label, group) in enumerate(zip(batch.column("toxic").to_pylist(), _groups(*word_hashes(data, ends)), strict=True)):
+            words = bytes(data[int(ends[i]) : int(ends[i + 1])]).decode().lower().encode().split()
+            out += [(w, group, label) for w in {w.strip(b".,;:!?*$%&\"'()") for w in words} - {b""}]
+        cols = list(zip(*out, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int32()), strict=True)], names=["word", "group", "toxic"])
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of ordinary texts, with a number that depends on nothing but the window."""
+    """Windows of texts, with a number that depends on nothing but the window."""
     for batch in batches:
         data, ends = utf8(batch.column("text"))
         found = [w for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True) for w in windows(bytes(data[a:b]))]
@@ -98,7 +108,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
     Which rows are taken depends on their ids only.  A document with several labels counts as toxic if any is 1.
     ``weight``: how many labelled texts a row stands for, the inverse of the share of its label that is taken.
-    As 5 * ``most`` bounds the ids taken, they are broadcast, and no text is shuffled.
+    As 5 * ``most`` bounds the labels taken, they are broadcast, and no text is shuffled.
     """
     labels = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
     of = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
@@ -112,32 +122,33 @@ def sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, most: int = 1500) -> Model | None:
     """Learn from about ``most`` toxic and 4 * ``most`` ordinary texts; None unless there are both.
 
-    Whole texts of that bounded sample count; what reaches the driver is bounded by most, SAMPLES and SEGMENTS.
+    Whole texts of that bounded sample count; what reaches the driver is bounded by most and SAMPLES.
+    Where no word is that much more frequent in toxic texts, windows of toxic texts are the samples.
     """
     rows = written(sample(docs, labels, most), "toxicity-sample")
-    counts = map_texts(rows, _counted, "word binary, `group` long, toxic int").distinct().groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
     of = Counter({r["toxic"]: r["count"] for r in rows.distinct().groupBy("toxic").count().collect()})
     n, m = of[1], of[0]
     if not n or not m:
         return None
+    counted = written(map_texts(rows, _counted, "word binary, `group` long, toxic int").distinct(), "toxicity-words")
+    counts = counted.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
     p = (F.col("a") + F.col("b")) / (n + m)
     lift = (F.col("a") / n - F.col("b") / m) / F.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
-    sure, least = (SURE, LEAST) if min(n, m) >= 200 else (SURE * math.sqrt(min(n, m) / 200), 2)
-    best = counts.withColumn("lift", lift).where((F.col("a") >= least) & (F.col("lift") >= sure)).orderBy(F.desc("lift"), "word").limit(SEGMENTS // 8).collect()
-    segments, room = [], SEGMENTS
-    for r in best:
-        room -= len(r["word"]) + 1
-        if room > 0:
-            segments.append(bytes(r["word"]))
-    taken = map_texts(rows.where("toxic = 0"), _sampled, "n long, window binary").orderBy("n", "window").limit(SAMPLES).collect()
-    taken = [bytes(r["window"]) for r in taken]
-    try:
-        base = zs.train_dictionary(BASE, taken).as_bytes()
-    except zs.ZstdError:  # too few windows to train on: they are the dictionary
-        base = b"".join(taken)[-BASE:]
-    base = base or b" "
-    model = Model(b" " + b" ".join(reversed(segments)) + b" " + base, base, [0.0] * _FEATURES, 0.0)
-    scored = _featured(rows, model, "toxic", "weight").select("toxic", "weight", "f").collect()
+    sure = counts.where((F.col("a") >= LEAST) & (lift >= SURE)).select("word")
+    found = counted.where("toxic = 1").join(sure, "word").orderBy(F.xxhash64("word", "group"), "word", "group").limit(SAMPLES).select("word", "group").collect()
+    samples = [(b" " + bytes(r["word"]) + b" ", r["group"] & 1) for r in found]
+
+    def windows_of(label: int) -> list[bytes]:
+        found = map_texts(rows.where(F.col("toxic") == label), _sampled, "n long, window binary").orderBy("n", "window").limit(SAMPLES)
+        return [bytes(r["window"]) for r in found.collect()]
+
+    samples = samples or [(w, i & 1) for i, w in enumerate(windows_of(1))]
+    ordinary = trained(windows_of(0), ORDINARY) or b" "
+    made = lambda half: trained([s for s, k in samples if k in half], TOXIC, k=SEGMENT, d=PIECE)
+    model = Model(made((0, 1)), ordinary, [0.0] * _FEATURES, 0.0)
+    # each text meets the dictionary made without its half
+    others = [Model(made((1 - k,)) or model.toxic, ordinary, [], 0.0) for k in (0, 1)]
+    scored = _featured(rows, others).collect()
     x = np.array([r["f"] for r in scored])
     y = np.array([r["toxic"] for r in scored], float)
     model.weights, model.bias = _logistic(x, y, np.array([r["weight"] for r in scored]))
@@ -160,17 +171,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return (w[:-1] / scale).tolist(), float(w[-1])
 
 
-def _featured(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields), "f array<double>"])
+def _featured(rows: DataFrame, models: list[Model]) -> DataFrame:
+    """toxic, weight and features of rows, by the model with the number of the row's half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, ordinary = model.compressors()
+        compressors = [m.compressors() for m in models]
         for batch in batches:
             data, ends = utf8(batch.column("text"))
-            f = [features(bytes(data[a:b]), toxic, ordinary) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(f, pa.list_(pa.float64()))], names=[*keep, "f"])
+            f = [features(bytes(data[a:b]), *compressors[g & 1]) for a, b, g in zip(ends[:-1].tolist(), ends[1:].tolist(), _groups(*word_hashes(data, ends)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("weight"), pa.array(f, pa.list_(pa.float64()))], names=["toxic", "weight", "f"])
 
-    return map_texts(docs.select(*keep, "text"), run, schema)
+    return map_texts(rows, run, "toxic int, weight double, f array<double>")
 
 
 def with_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -200,6 +211,7 @@ def with_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document, learned from labels of those that are not held out."""
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     return with_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

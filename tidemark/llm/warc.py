@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, shared_dir, table, written
+from .common import map_texts, shared_dir, small_batches, table, written
 
 #: Payloads from so many bytes on are stored once; bytes of an archive, about; of a range read, and of a gap in it.
 LEAST, ARCHIVE, RANGE, GAP = 1000, 1 << 28, 1 << 23, 1 << 16
@@ -168,6 +168,7 @@ def round_trip(pages: DataFrame, payload: bool = False) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the archives of all pages say of each page."""
+    small_batches(spark)
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
