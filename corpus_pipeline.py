@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import with_tokens
-from tidemark.llm.common import table, written
+from tidemark.llm.common import small_batches, table, written
 from tidemark.llm.language import UNKNOWN
 from tidemark.llm.language import train as train_language
 from tidemark.llm.language import with_language
@@ -18,12 +18,14 @@ from tidemark.llm.toxicity import with_toxicity
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted to be toxic, by a model of the labels of those that are not held out."""
+    small_batches(spark)
     model = train_toxicity(docs, table(spark, sf_dir, "labels"))
     return with_toxicity(docs, model).where("predicted = 0").select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: not those without any letter, nor those between two languages."""
+    small_batches(spark)
     model = train_language(docs)
     if model is None:  # nothing to learn from, so nothing to reject by
         return docs
@@ -32,6 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, 80 percent): that with the smallest id."""
+    small_batches(spark)
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     # of rows with one doc_id, the one with the least hash of all its columns, whatever the order they come in
@@ -46,6 +49,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's ids, with digests of them and of what they decode to."""
+    small_batches(spark)
     import public_tokenizers
 
     return with_tokens(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).drop("text")
