@@ -163,7 +163,7 @@ def test_mix_meets_targets(spark):
         t = total.setdefault(r.source, [0, r.target, 0])
         t[0] += r.taken
         t[2] += r.size
-    assert all(abs(a - b) <= 2 * mix.BLOCK for a, b, _ in total.values())
+    assert all(abs(a - b) <= mix.BLOCK for a, b, _ in total.values())
     assert abs(sum(b for _, b, _ in total.values()) - 1.5 * sum(c for *_, c in total.values())) < 1e-6
     assert sum(len(r.text.split()) for r in mix.mixed(docs).collect()) == sum(r.taken for r in got)
 
@@ -174,9 +174,46 @@ def test_permutation_is_one(spark):
         assert sorted(r[0] for r in got) == list(range(n))
 
 
-def test_targets_stop_at_twice_the_size():
-    assert mix.targets([100, 100, 100], [3, 1, 2], 450) == pytest.approx([200, 250 / 3, 500 / 3])
-    assert mix.targets([], [], 0) == [] and mix.targets([0, 10], [3, 1], 15) == [0.0, 15.0]
+def _targets(sizes, weights, total):
+    out, left = [0.0] * len(sizes), list(range(len(sizes)))
+    while left:
+        rest, by = total - sum(x for i, x in enumerate(out) if i not in left), sum(weights[i] for i in left)
+        above = [i for i in left if rest * weights[i] / by > 2 * sizes[i]]
+        for i in above or left:
+            out[i] = 2.0 * sizes[i] if above else rest * weights[i] / by
+        left = [i for i in left if i not in above] if above else []
+    return out
+
+
+def test_targets_stop_at_twice_the_size(spark):
+    rng = np.random.default_rng(4)
+    cases = [([100, 100, 100], [3, 1, 2], 450), ([0, 10], [3, 1], 15), ([5], [3], 7.5)]
+    cases += [(rng.integers(0, 500, n).tolist(), [(3, 1, 2)[i % 3] for i in range(n)], None) for n in (2, 5, 9)]
+    for sizes, weights, total in cases:
+        total = 1.5 * sum(sizes) if total is None else total
+        df = spark.createDataFrame([(i, s, float(w)) for i, (s, w) in enumerate(zip(sizes, weights))], "i int, size long, weight double")
+        got = [r.target for r in mix.targets(df, total).orderBy("i").collect()]
+        assert got == pytest.approx(_targets(sizes, weights, total))
+    assert mix.targets(spark.createDataFrame([], "size long, weight double"), 0).count() == 0
+
+
+def test_mix_of_small_sources_and_equal_rows(spark):
+    """Sources of 1 to 300 words come within a twentieth of their targets or one word; equal rows take part one by one."""
+    rng = np.random.default_rng(8)
+    rows = [(i, _prose(int(rng.integers(1, 20)), i), f"s{i % 17:02}") for i in range(170)] + [(1000 + i, _prose(n, i), f"t{n}") for i, n in enumerate((1, 2, 5, 20, 40, 60, 300))]
+    rows += [(5000, _prose(3, 1), "u")] * 40 + [(5001, _prose(700, 3), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix.mix_counts(docs).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got)
+    total = {}
+    for r in got:
+        t = total.setdefault(r.source, [0, r.target, r.source_size])
+        t[0] += r.taken
+    assert all(abs(a - b) <= max(1, b / 20) for a, b, _ in total.values())
+    names = sorted(x for x in total if x is not None) + [None]
+    want = _targets([total[x][2] for x in names], [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5 * sum(t[2] for t in total.values()))
+    assert [total[x][1] for x in names] == pytest.approx(want)
+    assert sum(len(r.text.split()) for r in mix.mixed(docs).collect()) == sum(r.taken for r in got)
 
 
 def test_fingerprints_equal_brute_force(spark):

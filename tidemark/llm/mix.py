@@ -1,10 +1,10 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
 The words of a source, document after document, are packed into blocks of one length.  A mix is a
-sequence of slots in output shards.  The sources of a shard's slots are drawn so that their counts are
-multinomial, given that over all shards each source has as many slots as its target asks for: labels
-are dealt to slots by one pseudorandom permutation.  A source's slots then map to its blocks through
-permutations of its own, one for each pass over the source, and blocks join by index.
+sequence of slots in output shards.  How many slots of a shard each source has is a multinomial draw,
+given that over all shards each source has as many as its target asks for: one pseudorandom permutation
+deals all slots to places in shards.  A source's slots map to its blocks through permutations of its own,
+one for each pass over the source, and blocks join by index.
 """
 
 from __future__ import annotations
@@ -15,24 +15,27 @@ from pyspark.sql import Window as W
 
 from .common import WORD, table, written
 
-#: Words in a block; slots in a shard; documents that are placed by one window, about; rounds of a permutation.
-BLOCK, SHARD, CHUNK, ROUNDS = 128, 1024, 4096, 12
+#: Words in a block; blocks of a source at least, so that small ones have shorter blocks; slots in a shard.
+BLOCK, BLOCKS, SHARD = 128, 64, 1024
+#: Documents that are placed by one window, about; slots that come from one row; rounds of a permutation.
+CHUNK, RUN, ROUNDS = 4096, 1 << 16, 12
 #: The weights repeat over the sources; the mix has SHARE times all words; a source is repeated at most MOST times.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 
 
-def targets(sizes: list[int], weights: list[float], total: float, most: float = MOST) -> list[float]:
-    """Words for each source: by weight, but at most ``most`` times its size, the rest by weight over the others."""
-    out = [0.0] * len(sizes)
-    left = [i for i in range(len(sizes)) if weights[i] > 0]
-    while left:
-        rest = total - sum(out[i] for i in range(len(sizes)) if i not in left)
-        by = sum(weights[i] for i in left)
-        above = [i for i in left if rest * weights[i] / by > most * sizes[i]]
-        for i in above or left:
-            out[i] = float(most * sizes[i]) if above else rest * weights[i] / by
-        left = [i for i in left if i not in above] if above else []
-    return out
+def targets(sources: DataFrame, total: float, most: float = MOST) -> DataFrame:
+    """sources (.., size, weight) with target: words by weight, but at most ``most`` times the size, the rest by weight over the others.
+
+    Each round takes one row of sums to the driver; a source that is above its limit stays so, as what is left grows for the others.
+    """
+    cap = most * F.col("size").cast("double")
+    rest, by, closed = float(total), None, -1
+    while True:
+        above = F.lit(False) if by is None else (F.col("weight") * rest / by > cap) if by else F.lit(True)
+        r = sources.agg(F.count_if(above).alias("n"), F.sum(F.when(above, cap)).alias("used"), F.sum(F.when(~above, F.col("weight"))).alias("by")).first()
+        if r["n"] == closed:
+            return sources.withColumn("target", F.when(above, cap).otherwise(F.lit(rest) * F.col("weight") / by if by else cap).cast("double"))
+        rest, by, closed = total - (r["used"] or 0.0), float(r["by"] or 0), r["n"]
 
 
 def permuted(x: Column, n: Column, *salt: Column) -> Column:
@@ -49,64 +52,78 @@ def permuted(x: Column, n: Column, *salt: Column) -> Column:
 
 
 class Mix:
-    """A mix of docs (doc_id, text, source): its sources' figures, and frames of slots and of pieces.
+    """A mix of docs (doc_id, text, source): frames of its sources' figures, of slots and of pieces.
 
-    size: words of a text, 0 for null.  Sources go by code point, null last.  What comes to the driver is
-    one row for each source, as weights have one entry for each.
+    size: words of a text, 0 for null.  Sources go by code point, null last.  ``sized`` has equal rows once,
+    with their number (copies); over CHUNK of them are several rows.
     """
 
     def __init__(self, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, seed: int = 1):
         self.seed = seed
         size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-        self.sized = written(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("h")), "mix-sizes")
-        found = self.sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
-        found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-        sizes = [r["size"] for r in found]
-        self.rows = sum(r["rows"] for r in found)
-        goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes))
-        blocks = [-(-s // BLOCK) for s in sizes]
-        slots = [min(round(t / BLOCK), int(MOST * b)) for t, b in zip(goal, blocks, strict=True)]
-        first = [sum(slots[:i]) for i in range(len(slots))]
-        self.total = sum(slots)
-        self.first = first or [0]
-        each = [F.struct(F.lit(r["source"]).cast("string").alias("source"), F.lit(i).alias("sid"), F.lit(r["size"]).cast("long").alias("source_size"), F.lit(t).cast("double").alias("target"), F.lit(b).cast("long").alias("blocks"), F.lit(f).cast("long").alias("first")) for i, (r, t, b, f) in enumerate(zip(found, goal, blocks, first, strict=True))]
-        none = F.array().cast("array<struct<source:string,sid:int,source_size:bigint,target:double,blocks:bigint,first:bigint>>")
-        self.sources = docs.sparkSession.range(1).select(F.inline(F.array(*each) if each else none))
+        sized = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("h")).groupBy("doc_id", "h", "source", "size").agg(F.count("*").alias("n"))
+        sized = sized.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))))
+        self.sized = written(sized.withColumn("copies", F.least(F.lit(CHUNK), F.col("n") - F.col("part") * CHUNK)).drop("n"), "mix-sizes")
+        by_name = F.col("source").asc_nulls_last()
+        found = self.sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("size"), F.count("*").alias("rows"))
+        found = found.repartitionByRange(by_name).sortWithinPartitions(by_name).withColumn("range", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+        found = written(found, "mix-names")
+        found = self._numbered(found, F.lit(1).cast("long"), "sid")
+        every = F.array(*(F.lit(float(w)) for w in weights))
+        found = found.withColumn("weight", F.get(every, F.pmod("sid", F.lit(len(weights))).cast("int")))
+        sums = found.agg(F.sum("size").alias("size"), F.sum("rows").alias("rows")).first()
+        self.rows = sums["rows"] or 0
+        found = targets(found, share * (sums["size"] or 0))
+        length = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.col("size") / BLOCKS)))
+        found = found.withColumn("length", length).withColumn("blocks", F.ceil(F.col("size") / F.col("length")))
+        passes = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0)
+        found = found.withColumn("passes", passes).withColumn("slots", (F.col("passes") * F.col("blocks") + F.round((F.col("target") - F.col("passes") * F.col("size")) / F.col("length"))).cast("long"))
+        found = self._numbered(found, F.col("slots"), "first")
+        self.sources = written(found.select("source", "sid", F.col("size").alias("source_size"), "target", "length", "blocks", "slots", "first"), "mix-sources")
+        self.total = self.sources.agg(F.sum("slots")).first()[0] or 0
+
+    @staticmethod
+    def _numbered(found: DataFrame, n: Column, name: str) -> DataFrame:
+        """found with the sum of n over the sources before: over the ranges before, then in a source's own range."""
+        ranges = found.groupBy("range").agg(F.sum(n).alias("_sum")).select("range", (F.sum("_sum").over(W.orderBy("range")) - F.col("_sum")).alias("_before"))
+        inside = F.sum(n).over(W.partitionBy("range").orderBy("at").rowsBetween(W.unboundedPreceding, 0)) - n
+        return found.withColumn("_inside", inside).join(ranges, "range").withColumn(name, F.col("_before") + F.col("_inside")).drop("_before", "_inside")
 
     def with_source(self, df: DataFrame) -> DataFrame:
-        """df with the figures of its source: a table with a row for each source, so small."""
-        own = F.broadcast(self.sources.withColumnRenamed("source", "_source"))
+        """df with the figures of its source."""
+        own = self.sources.withColumnRenamed("source", "_source")
         return df.join(own, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
     def slots(self) -> DataFrame:
         """(shard, slot, sid, block): what the mix has at each place."""
-        df = self.sources.sparkSession.range(self.total).withColumn("p", permuted(F.col("id"), F.lit(max(1, self.total)).cast("long"), F.lit(self.seed)))
-        firsts = F.array(*(F.lit(x).cast("long") for x in self.first))
-        sid = F.size(F.filter(firsts, lambda x: x <= F.col("p"))) - 1
-        df = df.withColumn("sid", sid).join(F.broadcast(self.sources.select("sid", "blocks", "first")), "sid")
-        k = F.col("p") - F.col("first")
-        df = df.select(F.floor(F.col("id") / SHARD).alias("shard"), F.pmod("id", F.lit(SHARD)).alias("slot"), "sid", "blocks", F.floor(k / F.col("blocks")).alias("turn"), F.pmod(k, F.col("blocks")).alias("block"))
-        return df.withColumn("block", permuted(F.col("block"), F.col("blocks"), F.col("sid"), F.col("turn"), F.lit(self.seed))).select("shard", "slot", "sid", "block")
+        long = lambda x: F.lit(x).cast("long")
+        runs = self.sources.where("slots > 0").withColumn("run", F.explode(F.sequence(long(0), F.floor((F.col("slots") - 1) / RUN)))).repartition("sid", "run")
+        df = runs.withColumn("k", F.explode(F.sequence(F.col("run") * RUN, F.least("slots", (F.col("run") + 1) * RUN) - 1)))
+        place = permuted(F.col("first") + F.col("k"), long(max(1, self.total)), F.lit(self.seed))
+        block = permuted(F.pmod("k", "blocks"), F.col("blocks"), F.col("sid"), F.floor(F.col("k") / F.col("blocks")), F.lit(self.seed))
+        df = df.select("sid", place.alias("place"), block.alias("block"))
+        return df.select(F.floor(F.col("place") / SHARD).alias("shard"), F.pmod("place", F.lit(SHARD)).alias("slot"), "sid", "block")
 
     def placed(self) -> DataFrame:
-        """Each document with ``start``, its first word's place among its source's words.
+        """Each document, equal ones one by one, with ``start``, its first word's place among its source's words.
 
         Sums over chunks of about CHUNK documents, then within each: no window has a whole source.
         """
-        chunk = F.pmod(F.xxhash64("doc_id", "h"), F.lit(max(1, self.rows // CHUNK)))
+        chunk = F.pmod(F.xxhash64("doc_id", "h", "part"), F.lit(max(1, self.rows // CHUNK)))
         docs = self.with_source(self.sized).withColumn("chunk", chunk)
-        sums = docs.groupBy("sid", "chunk").agg(F.sum("size").alias("n"))
+        words = F.col("size") * F.col("copies")
+        sums = docs.groupBy("sid", "chunk").agg(F.sum(words).alias("n"))
         sums = sums.select("sid", "chunk", (F.sum("n").over(W.partitionBy("sid").orderBy("chunk")) - F.col("n")).alias("before"))
-        inside = F.sum("size").over(W.partitionBy("sid", "chunk").orderBy("doc_id", "h").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-        return docs.withColumn("inside", inside).join(sums, ["sid", "chunk"]).withColumn("start", F.col("before") + F.col("inside")).drop("before", "inside", "chunk")
+        inside = F.sum(words).over(W.partitionBy("sid", "chunk").orderBy("doc_id", "h", "part").rowsBetween(W.unboundedPreceding, 0)) - words
+        docs = docs.withColumn("inside", inside).join(sums, ["sid", "chunk"]).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        return docs.withColumn("start", F.col("before") + F.col("inside") + F.col("copy") * F.col("size")).drop("before", "inside", "chunk", "part", "copies", "copy")
 
     def pieces(self) -> DataFrame:
         """Each document's part in each block: (.., block, offset, words, times); times: how often the mix takes the block."""
-        end = F.col("start") + F.col("size")
-        span = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / BLOCK), F.floor((end - 1) / BLOCK))).otherwise(F.array(F.lit(-1).cast("long")))
-        docs = self.placed().withColumn("block", F.explode(span))
-        offset = F.greatest("start", F.col("block") * BLOCK) - F.col("start")
-        docs = docs.withColumn("offset", offset).withColumn("words", F.greatest(F.lit(0), F.least(end, (F.col("block") + 1) * BLOCK) - F.col("start") - F.col("offset")))
+        end, length = F.col("start") + F.col("size"), F.col("length")
+        docs = self.placed().where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / length), F.floor((end - 1) / length))))
+        offset = F.greatest("start", F.col("block") * length) - F.col("start")
+        docs = docs.withColumn("offset", offset).withColumn("words", F.least(end, (F.col("block") + 1) * length) - F.col("start") - F.col("offset"))
         times = self.slots().groupBy("sid", "block").agg(F.count("*").alias("times"))
         return docs.join(times, ["sid", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
 
@@ -120,8 +137,8 @@ def mix_counts(docs: DataFrame) -> DataFrame:
     """
     mix = Mix(docs)
     keys = ["doc_id", "h", "size", "source", "source_size", "target", "sid", "start"]
-    empty = mix.with_source(mix.sized.where("size = 0")).withColumn("taken", F.lit(0).cast("long"))
-    full = mix.pieces().where("size > 0").groupBy(keys).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    empty = mix.placed().where("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    full = mix.pieces().groupBy(keys).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     out = ["doc_id", "source", "size", "source_size", "target", "taken"]
     return full.select(out).unionByName(empty.select(out))
 
@@ -134,7 +151,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     go.  Rows that agree in doc_id, source and text are copies of one document.
     """
     mix = Mix(docs)
-    taken = mix.pieces().where("times > 0 and words > 0").groupBy("doc_id", "h", "source", "start", "size").agg(F.array_sort(F.collect_list(F.struct("offset", "words", "times"))).alias("pieces"))
+    taken = mix.pieces().where("times > 0").groupBy("doc_id", "h", "source", "start", "size").agg(F.array_sort(F.collect_list(F.struct("offset", "words", "times"))).alias("pieces"))
     taken = taken.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.col("pieces.times")))))
     taken = taken.withColumn("pieces", F.filter("pieces", lambda p: p["times"] >= F.col("turn")))
     taken = taken.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("source").alias("_source"), "pieces", "size")
