@@ -18,11 +18,9 @@ from .common import table, written
 PIECE = r"[^\x20\x09-\x0D]{1,16}"
 #: Words of a k-mer; k-mers selected in a bin; bits of a bin's number.
 K, LEAST, BIN_BITS = 3, 2, 5
-#: A hashed k-mer and its place share a 64-bit number: the low bits are the place.
+#: A hashed k-mer and its place share a 64-bit number: the low bits are the place; a text with more words is an error.
 PLACE_BITS = 26
 PLACE = (1 << PLACE_BITS) - 1
-#: Documents that one window puts in order, about.
-CHUNK = 4096
 _NULL = -(1 << 63)
 
 
@@ -42,13 +40,13 @@ def _let(value: Column, use) -> Column:
 def fingerprint(text: Column) -> Column:
     """An array of (bin and tuple hash) texts, one for each bin that has a k-mer; empty for an empty text.
 
-    Fewer than K words count as one k-mer.  Equal texts have equal arrays.
+    Fewer than K words count as one k-mer.  Equal texts have equal arrays.  PLACE words or more (67 million) raise an error.
     """
     words = F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda x: F.xxhash64(x))
 
     def kmers(w: Column) -> Column:
         many = F.transform(F.slice(w, F.lit(1), F.greatest(F.lit(0), F.size(w) - (K - 1))), lambda x, i: F.xxhash64(x, *(F.get(w, i + j) for j in range(1, K))))
-        return F.when(F.size(w) >= K, many).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(w) >= PLACE, F.raise_error(F.lit("text too long for a fingerprint")).cast("array<bigint>")).when(F.size(w) >= K, many).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
 
     def numbered(s: Column) -> Column:
         """The k-mers, sorted, hashed with their numbers among equal ones."""
@@ -86,19 +84,18 @@ def likeness(a: str, b: str) -> Column:
 def following(keys: DataFrame) -> DataFrame:
     """keys (rid, h, ..) with nrid and nh, the next in descending order of rid; after the last comes the first.
 
-    Rows are put in order in chunks of neighbouring ids, then chunks by their first rows.
+    Rows are dealt to ranges of about equal numbers of them, whatever their ids; each range is put in order,
+    and its last row is followed by the first of the next range.
     """
-    bounds = keys.where(F.col("rid") > _NULL).agg(F.min("rid"), F.max("rid"), F.count("*")).first()
-    low, high, n = (bounds[0] or 0, bounds[1] or 0, bounds[2])
-    width = max(1, (high - low + 1) // max(1, n // CHUNK))
-    keys = keys.withColumn("chunk", F.floor((F.greatest("rid", F.lit(low)) - low) / width))
-    inside = W.partitionBy("chunk").orderBy(F.desc("rid"), "h")
-    lead = F.lead(F.struct("rid", "h")).over(inside)
-    heads = keys.groupBy("chunk").agg(F.max(F.struct("rid", (-F.col("h")).alias("minus"))).alias("top")).select("chunk", F.struct(F.col("top.rid").alias("rid"), (-F.col("top.minus")).alias("h")).alias("head"))
-    down = W.orderBy(F.desc("chunk"))  # one row for each chunk
-    heads = heads.select("chunk", F.coalesce(F.lead("head").over(down), F.first("head").over(down)).alias("head"))
-    out = keys.withColumn("lead", lead).join(heads, "chunk").withColumn("next", F.coalesce("lead", "head"))
-    return out.withColumns({"nrid": F.col("next.rid"), "nh": F.col("next.h")}).drop("chunk", "lead", "head", "next")
+    order = (F.desc("rid"), F.asc("h"))
+    keys = written(keys.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "fingerprint-ranges")
+    lead = F.lead(F.struct("rid", "h")).over(W.partitionBy("range").orderBy(*order))
+    # -1 - rid and h grow in the order of rows
+    heads = keys.groupBy("range").agg(F.min(F.struct(F.expr("~rid").alias("down"), "h")).alias("top")).select("range", F.struct(F.expr("~top.down").alias("rid"), F.col("top.h").alias("h")).alias("head"))
+    ranges = W.orderBy("range")  # one row for each range
+    heads = heads.select("range", F.coalesce(F.lead("head").over(ranges), F.first("head").over(ranges)).alias("head"))
+    out = keys.withColumn("lead", lead).join(heads, "range").withColumn("next", F.coalesce("lead", "head"))
+    return out.withColumns({"nrid": F.col("next.rid"), "nh": F.col("next.h")}).drop("range", "lead", "head", "next")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -110,8 +107,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("rid"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     third = F.floor(F.length("text") / 3).cast("int")
-    keys = written(docs.select("rid", "h", third.alias("third")).distinct(), "fingerprint-keys")
-    chain = written(following(keys), "fingerprint-order")
+    chain = written(following(docs.select("rid", "h", third.alias("third")).distinct()), "fingerprint-order")
     asked = chain.select(F.col("rid").alias("qrid"), F.col("h").alias("qh"), "third", F.col("nrid").alias("rid"), F.col("nh").alias("h"))
     heads = docs.join(asked, ["rid", "h"]).select(F.col("qrid").alias("rid"), F.col("qh").alias("h"), F.expr("substring(text, 1, third)").alias("start")).dropDuplicates(["rid", "h"])
     both = docs.join(heads, ["rid", "h"])
