@@ -19,33 +19,54 @@ from pyspark.sql import Window as W
 
 from .common import table
 
-#: Rows of a shard, queries of a block, about; what a vector's components are multiplied with.
-SHARD, QUERIES, SCALE = 8192, 512, 64
-#: Integers up to this size are exact in double precision.
-EXACT = 1 << 53
+#: Rows of a shard, about; queries that meet it at a time; what a vector's components are multiplied with.
+SHARD, QUERIES, SCALE = 16384, 512, 64
+#: Integers up to this size are exact in double precision; the largest sum of a vector's squares, so that every score is a long.
+EXACT, SQUARES = 1 << 53, float(1 << 62)
 
 
 def as_integers(column: str) -> Column:
-    """floor(SCALE * x) of each component; null for a vector that is null or has a null or non-finite component."""
+    """floor(SCALE * x) of each component; null for a vector that is null or has a null or non-finite component.
+
+    An error for a vector so long that its products with others may not fit into 64 bits.
+    """
     x = F.transform(column, lambda x: x.cast("double"))
     bad = F.exists(x, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(F.col(column).isNotNull() & ~bad, F.transform(x, lambda x: F.floor(F.lit(float(SCALE)) * x)))
+    squares = F.aggregate(x, F.lit(0.0), lambda s, x: s + F.pow(F.floor(F.lit(float(SCALE)) * x).cast("double"), 2))
+    whole = F.transform(x, lambda x: F.floor(F.lit(float(SCALE)) * x))
+    return F.when(F.col(column).isNotNull() & ~bad, F.when(squares < SQUARES, whole).otherwise(F.raise_error(F.lit("vector too long for scores of 64 bits")).cast("array<bigint>")))
 
 
 def _matrix(rows: list[np.ndarray], width: int) -> np.ndarray:
-    """Rows of one width; missing components are 0."""
+    """Rows of one width; missing components are 0, further ones are left out."""
+    rows = [r[:width] for r in rows]
     lens = np.fromiter(map(len, rows), np.int64, len(rows))
     out = np.zeros((len(rows), width), np.int64)
     out[np.repeat(np.arange(len(rows)), lens), np.concatenate([np.arange(n) for n in lens]) if len(rows) else []] = np.concatenate(rows) if len(rows) else []
     return out
 
 
-def best(queries: np.ndarray, qids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query, ids and scores of a shard's best k rows other than its own, ties to smaller ids; ids are sorted."""
-    largest = int(np.abs(queries).max(initial=0)) * int(np.abs(rows).max(initial=0)) * max(1, rows.shape[1])
-    kind = np.float64 if largest < EXACT else np.int64
-    terms = np.ascontiguousarray(rows.T.astype(kind))
-    low, high = terms.min(1), terms.max(1)
+class Shard:
+    """Rows with their postings, term by term, and each term's bounds; ids are sorted."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray):
+        self.ids, self.width, self.largest = ids, rows.shape[1], int(np.abs(rows).max(initial=0))
+        self.terms = {np.int64: np.ascontiguousarray(rows.T)}
+        self.low, self.high = self.terms[np.int64].min(1), self.terms[np.int64].max(1)
+
+    def postings(self, queries: np.ndarray) -> np.ndarray:
+        """In double precision where every sum is exact in it."""
+        kind = np.float64 if int(np.abs(queries).max(initial=0)) * self.largest * max(1, self.width) < EXACT else np.int64
+        if kind not in self.terms:
+            self.terms[kind] = self.terms[np.int64].astype(kind)
+        return self.terms[kind]
+
+
+def best(queries: np.ndarray, qids: np.ndarray, shard: Shard, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query, ids and scores of a shard's best k rows other than its own, ties to smaller ids."""
+    terms, ids = shard.postings(queries), shard.ids
+    kind = terms.dtype
+    low, high = shard.low.astype(kind), shard.high.astype(kind)
     for q, qid in zip(queries.astype(kind), qids.tolist(), strict=True):
         ends = q * low, q * high
         least, bound = np.minimum(*ends), np.abs(ends[1] - ends[0])
@@ -87,32 +108,44 @@ def best(queries: np.ndarray, qids: np.ndarray, rows: np.ndarray, ids: np.ndarra
 def top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row (id, v) of queries, the k best others of rows (id, v), v of integers.
 
-    Blocks of about QUERIES queries meet shards of about SHARD rows; each pair of them gives k rows a query,
-    which are merged.  Rows without id or vector take no part; rows with one id count each; fewer than k
-    rows give all; vectors of unlike lengths are filled up with zeros.  Empty tables give an empty table.
+    Each row goes to one shard of about SHARD rows, and the queries to all of them; a task holds one shard and
+    lets QUERIES queries at a time pass.  Each shard gives k rows a query, which are merged.  Rows without id or
+    vector take no part; rows with one id count each; fewer than k rows give all; vectors of unlike lengths are
+    filled up with zeros; other columns are left out.  Scores have to fit into 64 bits (see ``as_integers``).
+    Empty tables give an empty table.
     """
-    queries, rows = (x.where("id is not null and v is not null") for x in (queries, rows))
-    blocks = max(1, -(-queries.count() // QUERIES))
+    queries, rows = (x.where("id is not null and v is not null").select(F.col("id").cast("long"), F.col("v").cast("array<bigint>")) for x in (queries, rows))
     shards = max(1, -(-rows.count() // SHARD))
-    place = F.xxhash64("id")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    q = queries.select(F.pmod(place, F.lit(blocks)).alias("block"), every(shards).alias("shard"), "id", "v")
-    r = rows.select(every(blocks).alias("block"), F.pmod(place, F.lit(shards)).alias("shard"), "id", "v")
-
-    def meet(_: tuple, asked: pa.Table, given: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        if len(asked) and len(given):
-            given = given.sort_by("id")
-            vectors = [t.column("v").combine_chunks() for t in (asked, given)]
-            lists = [[np.asarray(x.values, np.int64) for x in v] for v in vectors]
-            width = max((len(x) for v in lists for x in v), default=0)
-            for qid, ids, scores in best(_matrix(lists[0], width), asked.column("id").to_numpy(), _matrix(lists[1], width), given.column("id").to_numpy(), k):
-                out[0].append(np.full(len(ids), qid))
-                out[1].append(ids)
-                out[2].append(scores)
-        return pa.table([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
-
-    met = q.groupBy("block", "shard").cogroup(r.groupBy("block", "shard")).applyInArrow(meet, "query_id long, vec_id long, score long")
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    given = rows.select(F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "id", "v")
+    asked = queries.select(every.alias("shard"), F.lit(True).alias("asks"), "id", "v")
+    both = given.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "asks", "id")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, shard = None, [], None
+        for batch in batches:
+            at, asks = batch.column("shard").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(at)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if at[a] != place:
+                    place, held, shard = at[a], [], None
+                ids, vectors = batch.column("id").slice(a, b - a).to_numpy(), [np.asarray(v.values, np.int64) for v in batch.column("v").slice(a, b - a)]
+                if not asks[a]:
+                    held.append((ids, vectors))
+                    continue
+                if held:
+                    found = [v for x in held for v in x[1]]
+                    shard, held = Shard(_matrix(found, max(1, *map(len, found), 1)), np.concatenate([x[0] for x in held])), []
+                for i in range(0, len(ids) if shard else 0, QUERIES):
+                    out: list[list] = [[], [], []]
+                    for qid, other, scores in best(_matrix(vectors[i : i + QUERIES], shard.width), ids[i : i + QUERIES], shard, k):
+                        for x, y in zip(out, (np.full(len(other), qid), other, scores), strict=True):
+                            x.append(y)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
+
+    met = both.mapInArrow(meet, "query_id long, vec_id long, score long")
     by = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
