@@ -145,6 +145,26 @@ def test_near_duplicates_equal_brute_force(spark):
         assert got == {i: (find(i), len(sets[i])) for i in range(len(texts))}
 
 
+def test_texts_of_one_id_link_all_of_them(spark):
+    """Documents 2 and 3 are near to different texts of document 1, however rows are dealt."""
+    a, b = _prose(80, 31), _prose(80, 32)
+    rows = [(1, a), (1, b), (2, a + " omega"), (3, b + " omega"), (4, _prose(80, 33)), (7, a), (7, _prose(80, 34)), (9, _prose(80, 34) + " nu")]
+    for n in (1, 3, 8):
+        docs = spark.createDataFrame(rows if n < 8 else rows[::-1], "doc_id long, text string").repartition(n)
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, 3, 85).collect()}
+        assert got == {1: 1, 2: 1, 3: 1, 4: 4, 7: 1, 9: 1}
+
+
+def test_all_pairs_of_a_bucket_on_demand(spark):
+    base = _prose(60, 41).split()
+    texts = [" ".join(w if i != j else f"new{j}" for i, w in enumerate(base)) for j in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(near_dup.near_duplicates(docs, agree=0).collect())
+    assert want == sorted(near_dup.near_duplicates(docs).collect())
+    with pytest.raises(ValueError):
+        near_dup.near_duplicates(docs, percent=60)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(500, 500)]
     got = {r.node: r.comp for r in near_dup.components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -234,6 +254,17 @@ def test_fingerprints_equal_brute_force(spark):
     assert got[70].near_edited > got[70].near_next
 
 
+def test_fingerprints_of_far_and_missing_ids(spark):
+    ids = [-(1 << 63), -9 * 10**18, 9 * 10**18, (1 << 63) - 1, 0, 5, None, None, 5]
+    texts = [_prose(30, i) for i in range(len(ids))]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(4)
+    got = {r.edited_sha256 for r in fingerprint.fingerprints(docs).collect()}
+    h = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = [t for _, _, t in sorted((-(-(1 << 63) if i is None else i), h[t], t) for i, t in zip(ids, texts))]
+    want = {hashlib.sha256((t[: len(t) - len(t) // 3] + u[: len(t) // 3]).encode()).hexdigest() for t, u in zip(order, [*order[1:], order[0]])}
+    assert got == want
+
+
 def test_order_of_words_changes_fingerprints(spark):
     t = _prose(200, 9).split()
     swapped = " ".join([*t[100:], *t[:100]])
@@ -259,6 +290,10 @@ def test_top_k_equals_brute_force(spark):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
     few = top_k.top_k(df.where("id = 20"), df.where("id < 25 and id >= 20"), 20).collect()
     assert len(few) == 4
+    twice = spark.createDataFrame([(1, [1, 0], 7), (1, [1, 0], 8), (1, [2, 0], 9), (3, [1, 5], 0)], "id long, v array<long>, score int")
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in top_k.top_k(twice.where("id = 3"), twice, 2).collect()) == [(3, 1, 1, 2), (3, 2, 1, 1)]
+    with pytest.raises(Exception, match="64 bits"):
+        spark.createDataFrame([(1, [1e300])], "id long, e array<double>").select(top_k.as_integers("e")).collect()
     assert top_k.top_k(df.limit(0), df, 5).count() == 0 and top_k.top_k(df.where("id = 20"), df.limit(0), 5).count() == 0
 
 

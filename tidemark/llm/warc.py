@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, shared_dir, small_batches, table, written
 
-#: Payloads from so many bytes on are stored once; bytes of an archive, about; of a range read, and of a gap in it.
-LEAST, ARCHIVE, RANGE, GAP = 1000, 1 << 28, 1 << 23, 1 << 16
+#: Payloads from so many bytes on are stored once; bytes of an archive, about; of a range read, of a gap in it, and that a task reads at most, about.
+LEAST, ARCHIVE, RANGE, GAP, TASK = 1000, 1 << 28, 1 << 22, 1 << 16, 1 << 27
 LEVEL = 4
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -150,7 +150,10 @@ def read(index: DataFrame, folder: str, payload: bool = True) -> DataFrame:
             source.close()
 
     part = F.floor(F.col("offset") / RANGE).alias("part")
-    rows = index.select("archive", "offset", "length", part).repartition("archive", "part").sortWithinPartitions("archive", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    # the rows are few bytes, what they name is not: so many tasks as that asks for
+    tasks = max(1, min(-(-2 * total // RANGE), int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-total // TASK))
+    rows = index.select("archive", "offset", "length", part).repartition(tasks, "archive", "part").sortWithinPartitions("archive", "offset")
     names = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
     return map_texts(rows, run, ", ".join(f"{k} {names[v]}" for k, v in kinds.items()))
 
