@@ -15,11 +15,25 @@ ALLOW, BLOCK = "allow", "block"
 RULES = (("org/", ALLOW), ("example.org/es/", BLOCK), ("example.org/en/1", BLOCK), ("com/fr/", ALLOW), ("com/de/", BLOCK))
 #: Lengths of n-grams; weights of hashed n-grams; labelled urls used at most.
 GRAMS, SIZE, LABELLED = (3, 4, 5), 1 << 14, 20_000
-#: A small table of urls as a person would label them: betting, pills, adult pages, spam and trackers are blocked.
-SEED = (
-    *((f"https://{h}/{p}", BLOCK) for h in ("free-bets.example.net", "bets-online.example.com", "casino-win.example.net", "best-casino.example.org", "cheap-pills.example.net", "pills-shop.example.com", "adult-x.example.com", "x-adult.example.net", "spam-farm.example.org", "link-farm.example.com", "ads-track.example.com", "track-ads.example.net", "win-free-casino.example.org", "cheap-bets.example.com") for p in ("en/10", "de/7.html", "fr/12?page=2", "")),
-    *((f"https://{h}/{p}", ALLOW) for h in ("news.example.net", "blog.garden.example.com", "www.library.example.org", "m.weather.example.net", "docs.example.com", "school.example.org", "wiki.travel.example.net", "blog.cooking.example.com", "www.museum.example.org", "history.example.net", "tions.example.net", "thther.example.com", "rivers.example.org", "blog.ones.example.com") for p in ("en/10", "de/7.html", "fr/12?page=2", "es/5", "")),
-)
+#: Share of urls that are to be blocked among those that no rule fits.
+PRIOR = 0.25
+#: Words by which a person would block or allow a host, and words that say nothing about it.
+BLOCKED = "casino poker jackpot slots betting bets roulette lottery pills viagra pharmacy steroids adult xxx porn escorts spam linkfarm ads adserver tracking tracker popups malware".split()
+ALLOWED = "news garden library weather school history museum travel cooking science music sports nature health city university forum wiki docs photos books theatre rivers maps".split()
+NEUTRAL = "online best my the top daily free world".split()
+
+
+def seed() -> list[tuple[str, str]]:
+    """A small table of labelled urls: each word with four neutral ones, before or after, with and without a page."""
+    out = []
+    for verdict, words in ((BLOCK, BLOCKED), (ALLOW, ALLOWED)):
+        for i, word in enumerate(words):
+            for j in range(4):
+                other = NEUTRAL[(i + 2 * j) % len(NEUTRAL)]
+                host = (f"{word}-{other}", f"{other}-{word}", f"{other}{word}", f"{word}{other}")[j]
+                site = f"{('', 'www.', 'm.', 'blog.')[(i + j) % 4]}{host}.example.{('com', 'net', 'org')[(i + j) % 3]}"
+                out += [(f"https://{site}/{page}", verdict) for page in ("", ("en", "de", "fr", "es")[(i // 3 + j) % 4] + f"/{7 * i + j}{('', '.html', '?page=2')[i % 3]}")]
+    return out
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -70,8 +84,11 @@ def _joined(host: str, path: str) -> bytes:
     return f"^{host}$/{path}".encode()
 
 
-def train(labelled: DataFrame, rounds: int = 300, rate: float = 4.0, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights of hashed n-grams and a bias, from a small table (url, verdict), of which LABELLED rows count at most."""
+def train(labelled: DataFrame, rounds: int = 1500, rate: float = 16.0, ridge: float = 1e-6, prior: float = PRIOR) -> tuple[np.ndarray, float]:
+    """Weights of hashed n-grams and a bias, from a small table (url, verdict), of which LABELLED rows count at most.
+
+    ``prior`` is the share of urls to be blocked where they are judged, whatever it is in the table.
+    """
     host, path = host_and_path(F.col("url"))
     rows = labelled.where(F.col("verdict").isin(ALLOW, BLOCK)).select(host.alias("h"), path.alias("p"), "verdict").orderBy(F.xxhash64("url"), "url", "verdict").limit(LABELLED).collect()
     y = np.array([r["verdict"] == BLOCK for r in rows], float)
@@ -82,7 +99,8 @@ def train(labelled: DataFrame, rounds: int = 300, rate: float = 4.0, ridge: floa
         g = (p - y) / len(rows)
         w -= rate * (np.bincount(gram, g[owner] * value, SIZE) + ridge * w)
         b -= rate * g.sum()
-    return w.astype(np.float32), float(b)
+    share = np.clip(y.mean() if len(rows) else prior, 1e-3, 1 - 1e-3)
+    return w.astype(np.float32), float(b + np.log(prior / (1 - prior)) - np.log(share / (1 - share)))
 
 
 def judged(pages: DataFrame, labelled: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
@@ -116,5 +134,5 @@ def judged(pages: DataFrame, labelled: DataFrame, rules: tuple[tuple[str, str],
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on every page's url."""
-    seed = spark.createDataFrame(list(SEED), "url string, verdict string")
-    return judged(table(spark, sf_dir, "pages").select("page_id", "url"), seed).select("page_id", "host", "path", "rule", "verdict", "score")
+    labelled = spark.createDataFrame(seed(), "url string, verdict string")
+    return judged(table(spark, sf_dir, "pages").select("page_id", "url"), labelled).select("page_id", "host", "path", "rule", "verdict", "score")
