@@ -32,8 +32,8 @@ AGREE = 54
 LOWEST = 80
 #: Nodes of the largest component that others are compared with in the second step; nodes in a block.
 PIVOTS, BLOCK = 8, 512
-#: Nodes of a bucket that the second step leaves to the last one.
-SMALL = 32
+#: Nodes of a bucket that the second step leaves to the last one; parts that a large component is joined in.
+SMALL, SALTS = 32, 32
 
 
 def _permute(v: np.ndarray) -> np.ndarray:
@@ -291,7 +291,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, agree: int =
     placed = _placed(member.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp")))
     some = written(_linked(_star(placed), sets, percent), "links-some")
     if not some.isEmpty():
-        placed = _placed(placed.join(_merged(some, comps), "comp", "left").select("bucket", "node", F.coalesce("into", "comp").alias("comp")))
+        # salted, as one component may have a third of all nodes
+        merged = _merged(some, comps).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        placed = placed.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(merged, ["comp", "salt"], "left")
+        placed = _placed(placed.select("bucket", "node", F.coalesce("into", "comp").alias("comp")))
     rest = written(_rest(placed, nodes.select("node", "sig"), sets, percent, agree), "links-rest")
     if not (some.isEmpty() and rest.isEmpty()):
         comps = components(_stars(comps).unionByName(some).unionByName(rest))
