@@ -18,7 +18,7 @@ from .common import WORD, table, written
 #: Words in a block; blocks of a source at least, so that small ones have shorter blocks; slots in a shard.
 BLOCK, BLOCKS, SHARD = 128, 64, 1024
 #: Documents that are placed by one window, about; slots that come from one row; rounds of a permutation.
-CHUNK, RUN, ROUNDS = 4096, 1 << 16, 12
+CHUNK, RUN, ROUNDS = 1024, 1 << 16, 12
 #: The weights repeat over the sources; the mix has SHARE times all words; a source is repeated at most MOST times.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 
