@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 KEYS = ("collector_id", "idempotency_key")
 
@@ -13,22 +12,24 @@ def resolve_idempotent(candidates: DataFrame, order: str | Column, existing: Dat
     """candidates with ``status`` (accepted, duplicate, conflict, rejected), ``fact_id`` (the surviving row's) and ``error_code``.
 
     candidates: id, the keys, content_hash and error_code; existing: the keys, id and content_hash of facts.
-    The first valid row of a key in ``order`` becomes a fact unless one exists already.  A key with a third
-    of all rows still gives a window of its own candidates only.
+    The first valid row of a key in ``order`` becomes a fact unless one exists already.  ids are unique; keys of
+    valid rows are not null.  candidates are read twice.
     """
     order = F.col(order) if isinstance(order, str) else order
-    valid = F.col("error_code").isNull()
-    own = W.partitionBy(*keys, valid).orderBy(order)
-    out = candidates.withColumn("_first", F.struct(F.first("id").over(own).alias("id"), F.first("content_hash").over(own).alias("hash")))
-    out = out.withColumn("_n", F.row_number().over(own))
+    first = F.struct(F.col("id").cast("long").alias("id"), F.col("content_hash").alias("hash"))
+    valid = candidates.where("error_code is null").withColumn("_order", order)
+    # combined before the shuffle; rejected rows take no part, whatever their keys
+    winners = valid.groupBy(*keys).agg(F.min_by(first, "_order").alias("_first"))
     if existing is None:
-        out = out.withColumn("_old", F.lit(None).cast("struct<id:bigint,hash:string>"))
+        winners = winners.withColumn("_old", F.lit(None).cast("struct<id:bigint,hash:string>"))
     else:
-        out = out.join(existing.select(*keys, F.struct(F.col("id").cast("long").alias("id"), F.col("content_hash").alias("hash")).alias("_old")), list(keys), "left")
-    winner = F.coalesce("_old", F.col("_first").cast("struct<id:bigint,hash:string>"))
-    status = F.when(~valid, "rejected").when(F.col("_old").isNull() & (F.col("_n") == 1), "accepted").when(winner["hash"] == F.col("content_hash"), "duplicate").otherwise("conflict")
-    out = out.withColumn("status", status).withColumn("fact_id", F.when(valid, winner["id"]))
-    return out.withColumn("error_code", F.when(F.col("status") == "conflict", conflict).otherwise(F.col("error_code"))).drop("_first", "_n", "_old")
+        winners = winners.join(existing.select(*keys, first.alias("_old")), list(keys), "left")
+    out = valid.drop("_order").join(winners, list(keys)).withColumn("_winner", F.coalesce("_old", "_first"))
+    status = F.when(F.col("_old").isNull() & (F.col("id") == F.col("_first.id")), "accepted").when(F.col("_winner.hash") == F.col("content_hash"), "duplicate").otherwise("conflict")
+    out = out.withColumns({"status": status, "fact_id": F.col("_winner.id")}).withColumn("error_code", F.when(F.col("status") == "conflict", conflict))
+    bad = candidates.where("error_code is not null").withColumns({"status": F.lit("rejected"), "fact_id": F.lit(None).cast("long")})
+    columns = [*candidates.columns, "status", "fact_id"]
+    return out.select(columns).unionByName(bad.select(columns))
 
 
 def import_counters(results: DataFrame) -> DataFrame:

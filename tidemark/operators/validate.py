@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,35 +28,28 @@ HEARTBEAT_CODES = {
 }
 
 
-def json_depth(raw: Column) -> Column:
-    """How deep objects and arrays nest in a JSON text: brackets outside of quoted text, by one vectorised function."""
-
-    @F.pandas_udf("int")
-    def depth(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        quoted = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
-        for texts in batches:
-            out = []
-            for t in texts:
-                most = now = 0
-                for c in quoted.sub("", t or ""):
-                    now += (c in "{[") - (c in "}]")
-                    most = max(most, now)
-                out.append(most)
-            yield pd.Series(out, dtype="int32")
-
-    return depth(raw)
+def within_depth(raw: Column, most: int) -> Column:
+    """Whether objects and arrays nest at most so deep in a JSON text: brackets outside of quoted text, taken off pair by pair from inside."""
+    left = F.regexp_replace(F.regexp_replace(raw, r"(?s)\\.", ""), '"[^"]*"', "")
+    left = F.regexp_replace(left, r"[^\[\]{}]", "")
+    for _ in range(most):
+        left = F.regexp_replace(left, r"\[\]|\{\}", "")
+    return left == ""
 
 
-def strict_object(raw: Column, fields: tuple[str, ...], required: bool = False) -> Column:
+def strict_object(raw: Column, fields: tuple[str, ...], required: bool = False, parsed: Column | None = None) -> Column:
     """Whether a text is one JSON object with none but these keys, no key twice at any level, and nothing after it.
 
-    Parsing refuses keys that come twice, but reads on over what follows the object: so the text must also
-    end with the brace that closes it, which to_json of a strict reader checks.
+    ``parsed`` is try_parse_json(raw) if that is at hand: it refuses keys that come twice, but reads on over what
+    follows the object.  So the text must also be read as the only element of an array, and, where it could close
+    that array itself, as a field of an object that has another field after it.
     """
-    keys = F.json_object_keys(raw)
+    parsed = F.try_parse_json(raw) if parsed is None else parsed
+    read = F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<map<string,string>>")
+    after = F.from_json(F.concat(F.lit('{"o":'), raw, F.lit(',"e":1}')), "o map<string,string>, e int")["e"]
+    keys = F.map_keys(F.get(read, F.lit(0)))
     names = F.array(*(F.lit(f) for f in fields))
-    whole = raw.rlike(r"(?s)^\s*\{.*\}\s*$") & F.from_json(raw, "map<string,string>", {"mode": "PERMISSIVE"}).isNotNull() & (F.size(F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<map<string,string>>")) == 1)
-    ok = F.try_parse_json(raw).isNotNull() & whole & (F.size(F.array_except(keys, names)) == 0) & (F.size(F.array_distinct(keys)) == F.size(keys))
+    ok = parsed.isNotNull() & raw.rlike(r"(?s)^\s*\{.*\}\s*$") & (F.size(read) == 1) & (~raw.rlike(r"\}\s*\]") | (after == 1)) & (F.size(F.array_except(keys, names)) == 0)
     if required:
         ok &= F.size(keys) == len(fields)
     return F.coalesce(ok, F.lit(False))
@@ -91,19 +80,17 @@ def validate_events(df: DataFrame, max_bytes: int = 65536, max_depth: int = 16,
         "idempotency_key": json_text(v, "$.idempotency_key"), "payload": F.get_json_object("raw", "$.payload"), "payload_kind": F.schema_of_variant(payload),
         "payload_hash": F.sha2(F.to_json(payload), 256),
     })
-    if check_depth:
-        df = df.withColumn("depth", json_depth(F.coalesce("payload", F.lit(""))))
     df = df.withColumn("device_ns", known_offset_ns(F.col("device_timestamp_raw")))
     offset, error = F.col("clock_offset_ms"), F.col("clock_error_ms")
     code = first_failure(
-        (F.octet_length("raw") <= max_bytes, codes["size"]), (strict_object(F.col("raw"), EVENT_FIELDS), codes["json"]), (F.col("schema_version") == 1, codes["schema"]),
+        (F.octet_length("raw") <= max_bytes, codes["size"]), (strict_object(F.col("raw"), EVENT_FIELDS, parsed=v), codes["json"]), (F.col("schema_version") == 1, codes["schema"]),
         (valid_identifier(F.col("collector_id"), 128), codes["collector"]), (valid_identifier(F.col("event_type"), 128), codes["type"]),
         (F.col("device_ns").isNotNull(), codes["time"]), (offset.between(-YEAR_MS, YEAR_MS), codes["offset"]), (error.between(0, DAY_MS), codes["error"]),
         (valid_identifier(F.col("idempotency_key"), 256), codes["key"]), (F.col("payload_kind").startswith("OBJECT"), codes["payload"]),
-        (F.col("depth") <= max_depth if check_depth else F.lit(True), codes["deep"]),
+        (within_depth(F.coalesce("payload", F.lit("")), max_depth) if check_depth else F.lit(True), codes["deep"]),
     )
     hashed = content_hash(*(F.col(c) for c in ("schema_version", "collector_id", "event_type", "device_timestamp_raw", "clock_offset_ms", "clock_error_ms", "idempotency_key", "payload_hash")))
-    return df.withColumns({"error_code": code, "content_hash": hashed}).drop("v", "payload_kind", "depth")
+    return df.withColumns({"error_code": code, "content_hash": hashed}).drop("v", "payload_kind")
 
 
 def validate_heartbeats(df: DataFrame, collectors: DataFrame, max_bytes: int = 65536) -> DataFrame:
@@ -126,7 +113,7 @@ def validate_heartbeats(df: DataFrame, collectors: DataFrame, max_bytes: int = 6
     flags = F.col("flags")
     allowed = F.array(*(F.lit(f) for f in FLAGS))
     code = first_failure(
-        (F.octet_length("raw") <= max_bytes, codes["size"]), (strict_object(F.col("raw"), HEARTBEAT_FIELDS), codes["json"]), (F.col("schema_version") == 1, codes["schema"]),
+        (F.octet_length("raw") <= max_bytes, codes["size"]), (strict_object(F.col("raw"), HEARTBEAT_FIELDS, parsed=v), codes["json"]), (F.col("schema_version") == 1, codes["schema"]),
         (F.col("_known").isNotNull() & valid_identifier(F.col("collector_id"), 128), codes["collector"]), (F.col("state").isin("active", "idle"), codes["state"]),
         (F.col("start_ns").isNotNull() & F.col("end_ns").isNotNull(), codes["time"]), ((length > 0) & (length <= F.col("_period")), codes["duration"]),
         (F.col("clock_offset_ms").between(-YEAR_MS, YEAR_MS) & F.col("clock_error_ms").between(0, DAY_MS), codes["clock"]), (valid_identifier(F.col("idempotency_key"), 256), codes["key"]),
@@ -151,7 +138,7 @@ def validate_sidecars(df: DataFrame, max_duration_ns: int) -> DataFrame:
     length = F.col("end_ns") - F.col("start_ns")
     bad = "MEDIA_SIDECAR_INVALID"
     code = first_failure(
-        (strict_object(F.col("raw"), SIDECAR_FIELDS, required=True) & F.col("complete").isNotNull() & (F.col("schema_version") == 1), bad), (F.col("complete"), "MEDIA_SIDECAR_INCOMPLETE"),
+        (strict_object(F.col("raw"), SIDECAR_FIELDS, required=True, parsed=v) & F.col("complete").isNotNull() & (F.col("schema_version") == 1), bad), (F.col("complete"), "MEDIA_SIDECAR_INCOMPLETE"),
         (valid_source_identifier(F.col("collector_id"), 128) & valid_source_identifier(F.col("source_idempotency_key"), 256), bad),
         (F.col("start_ns").isNotNull() & F.col("end_ns").isNotNull() & (length > 0) & (length <= max_duration_ns), "MEDIA_TIME_INVALID"),
         (F.col("clock_offset_ms").between(-YEAR_MS, YEAR_MS) & F.col("clock_error_ms").between(0, DAY_MS), "MEDIA_TIME_INVALID"),
