@@ -43,7 +43,7 @@ def usable(kind: Column) -> Column:
 
 def availability_seconds(coverage: DataFrame, collectors: DataFrame) -> DataFrame:
     """(collector_id, seconds by state, total_s, usable_s, ratio); coverage joined with collectors (collector_id, kind)."""
-    df = coverage.join(F.broadcast(collectors.select("collector_id", "kind")), "collector_id").withColumn("s", (F.col("end_ns") - F.col("start_ns")) / float(NS))
+    df = coverage.join(collectors.select("collector_id", "kind"), "collector_id").withColumn("s", (F.col("end_ns") - F.col("start_ns")) / float(NS))
     kinds = ("covered", "confirmed_idle", "pending", "unknown", "delayed", "offline")
     by = [F.sum(F.when(F.col("availability") == k, F.col("s")).otherwise(0.0)).alias(f"{k}_s") for k in kinds]
     out = df.groupBy("collector_id").agg(*by, F.sum("s").alias("total_s"), F.sum(F.when(usable(F.col("kind")), F.col("s")).otherwise(0.0)).alias("usable_s"))
@@ -58,7 +58,7 @@ def coverage_gate(coverage: DataFrame, collectors: DataFrame, expected: DataFram
     left = subtract(coverage, exclusions, "collector_id")
     seconds = availability_seconds(left, collectors)
     runs = longest_run(left, "collector_id", F.col("availability").isin("offline", "unknown"))
-    df = expected.join(seconds, "collector_id", "left").join(runs, "collector_id", "left").join(states.select("collector_id", "state"), "collector_id", "left").join(F.broadcast(collectors.select("collector_id", "kind")), "collector_id")
+    df = expected.join(seconds, "collector_id", "left").join(runs, "collector_id", "left").join(states.select("collector_id", "state"), "collector_id", "left").join(collectors.select("collector_id", "kind"), "collector_id")
     limit = F.when(F.col("kind") == "media", BAD_RUN_S["media"]).otherwise(BAD_RUN_S["activity"])
     bad = F.coalesce(F.col("longest_ns") / float(NS), F.lit(0.0))
     whole = F.abs(F.coalesce("total_s", F.lit(0.0)) - F.col("expected_s")) <= 0.001

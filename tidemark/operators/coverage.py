@@ -12,6 +12,7 @@ from .intervals import BOUNDS, merge_adjacent, overlapping, positive, segment, s
 STATE = ("availability", "reason_code", "quality_flags")
 #: Width of the time buckets that facts and pieces meet in.
 BUCKET_NS = 3600 * NS
+DAY_NS = 86400 * NS
 
 
 def expand_schedule(collectors: DataFrame, windows: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
@@ -44,39 +45,48 @@ def expand_schedule(collectors: DataFrame, windows: DataFrame, start_ns: int, en
     return out.where(positive()).select("collector_id", "plan_start_ns", *BOUNDS)
 
 
+def by_day(df: DataFrame) -> DataFrame:
+    """df with ``day`` (since 1970), each interval cut at midnight UTC."""
+    cut = df.withColumn("day", F.explode(F.sequence(F.floor(F.col("start_ns") / DAY_NS), F.floor((F.col("end_ns") - 1) / DAY_NS))))
+    return cut.withColumns({"start_ns": F.greatest("start_ns", F.col("day") * DAY_NS), "end_ns": F.least("end_ns", (F.col("day") + 1) * DAY_NS)})
+
+
 def build_coverage(collectors: DataFrame, plans: DataFrame, facts: DataFrame, start_ns: int, end_ns: int, now_ns: int, bucket_ns: int = BUCKET_NS) -> DataFrame:
     """(collector_id, start_ns, end_ns, availability, reason_code, quality_flags) for all planned time.
 
     collectors: collector_id, heartbeat_period_ns, allowed_lateness_ns, offline_after_ns; plans as from
     expand_schedule; facts as from coverage_facts, of which those count that overlap the range widened by
-    offline_after before it.  All collectors in one job.
+    offline_after before it.  All collectors in one job, and each by days: the last end of evidence of earlier
+    days is carried over as one row a day, and pieces that meet at midnight are merged at the end.
     """
-    limits = F.broadcast(collectors.select("collector_id", F.col("heartbeat_period_ns").alias("period"), F.col("allowed_lateness_ns").alias("late"), F.col("offline_after_ns").alias("off")))
+    limits = collectors.select("collector_id", F.col("heartbeat_period_ns").alias("period"), F.col("allowed_lateness_ns").alias("late"), F.col("offline_after_ns").alias("off"))
     facts = facts.join(limits, "collector_id").where((F.col("start_ns") < end_ns) & (F.col("end_ns") > F.lit(start_ns) - F.col("off")))
     waits = lambda t: (t + F.col("period"), t + F.col("period") + F.col("late"), t + F.col("off"))
-    own = plans.join(limits, "collector_id").select("collector_id", F.col("start_ns").alias("plan"), F.explode(F.array(F.col("start_ns"), F.col("end_ns"), F.lit(now_ns).cast("long"), *waits(F.col("plan_start_ns")))).alias("t"))
-    cuts = facts.select("collector_id", F.explode(F.array("start_ns", "end_ns", *waits(F.col("end_ns")))).alias("t")).distinct()
-    # a cut falls into the planned window that began last before it: an ordered union, no range join
-    marks = plans.select("collector_id", F.col("start_ns").alias("t"), F.col("start_ns").alias("plan"), F.col("end_ns").alias("plan_end"), F.lit(0).alias("kind"))
-    both = marks.unionByName(cuts.withColumns({"plan": F.lit(None).cast("long"), "plan_end": F.lit(None).cast("long"), "kind": F.lit(1)}))
-    seen = W.partitionBy("collector_id").orderBy("t", "kind").rowsBetween(W.unboundedPreceding, 0)
-    placed = both.withColumns({"plan": F.last("plan", True).over(seen), "plan_end": F.last("plan_end", True).over(seen)}).where("kind = 1 and t > plan and t < plan_end").select("collector_id", "plan", "t")
-    bound = plans.select("collector_id", F.col("start_ns").alias("plan"), F.col("end_ns").alias("plan_end"), "plan_start_ns")
-    points = own.unionByName(placed).join(bound, ["collector_id", "plan"]).where((F.col("t") >= F.col("plan")) & (F.col("t") <= F.col("plan_end")))
-    pieces = segment(points, "collector_id", "plan").join(bound.drop("plan_end"), ["collector_id", "plan"])
+    day = lambda t: F.floor(F.col(t) / DAY_NS).alias("day")
+    own = plans.join(limits, "collector_id").select("collector_id", F.explode(F.array(F.lit(now_ns).cast("long"), *waits(F.col("plan_start_ns")))).alias("t"))
+    cuts = facts.select("collector_id", F.explode(F.array("start_ns", "end_ns", *waits(F.col("end_ns")))).alias("t")).unionByName(own).distinct()
+    windows = by_day(plans.withColumn("plan", F.col("start_ns")))
+    key = ("collector_id", "plan", "plan_start_ns", "day")
+    inside = cuts.select("collector_id", "t", day("t")).join(windows, ["collector_id", "day"]).where("t > start_ns and t < end_ns").select(*key, "t")
+    pieces = segment(windows.select(*key, F.explode(F.array("start_ns", "end_ns")).alias("t")).unionByName(inside), *key)
 
     # evidence on each piece: the winner is the fact of highest priority, then of least id; flags add up
     hit = stab_join(pieces.select("collector_id", *BOUNDS), facts.drop("period", "late", "off"), "collector_id", bucket_ns)
     rank = F.struct(-F.col("f_priority"), "f_stable_id")
     won = hit.groupBy("collector_id", *BOUNDS).agg(F.min_by(F.struct(F.col("f_availability").alias("availability"), F.col("f_reason_code").alias("reason_code")), rank).alias("won"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("f_quality_flags")))).alias("flags"))
 
-    # the last end of evidence before each piece, ends before starts where they meet
-    ends = facts.select("collector_id", F.col("end_ns").alias("t"), F.lit(0).alias("kind"), F.col("end_ns").alias("last"), F.lit(None).cast("long").alias("plan")).distinct()
-    starts = pieces.select("collector_id", F.col("start_ns").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("last"), "plan")
-    before = W.partitionBy("collector_id").orderBy("t", "kind").rowsBetween(W.unboundedPreceding, 0)
-    last = ends.unionByName(starts).withColumn("last", F.max("last").over(before)).where("kind = 1").select("collector_id", "plan", F.col("t").alias("start_ns"), "last")
-
-    out = pieces.join(won, ["collector_id", *BOUNDS], "left").join(last, ["collector_id", "plan", "start_ns"], "left").join(limits, "collector_id")
+    # the last end of evidence before each piece, ends before starts where they meet: of its own day, else of the days before
+    ends = facts.select("collector_id", F.col("end_ns").alias("t"), day("end_ns")).distinct()
+    starts = pieces.select("collector_id", F.col("start_ns").alias("t"), "day").distinct()
+    before = W.partitionBy("collector_id", "day").orderBy("t", "kind").rowsBetween(W.unboundedPreceding, 0)
+    none = F.lit(None).cast("long")
+    both = ends.select("*", F.lit(0).alias("kind"), F.col("t").alias("last")).unionByName(starts.select("*", F.lit(1).alias("kind"), none.alias("last")))
+    both = both.withColumn("last", F.max("last").over(before)).where("kind = 1").select("collector_id", "day", F.col("t").alias("start_ns"), "last")
+    days = ends.select("collector_id", "day", "t").unionByName(starts.select("collector_id", "day", none.alias("t"))).groupBy("collector_id", "day").agg(F.max("t").alias("t"))
+    carried = days.select("collector_id", "day", F.max("t").over(W.partitionBy("collector_id").orderBy("day").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
+    last = both.join(carried, ["collector_id", "day"]).select("collector_id", "start_ns", F.coalesce("last", "carried").alias("last"))
+
+    out = pieces.join(won, ["collector_id", *BOUNDS], "left").join(last, ["collector_id", "start_ns"], "left").join(limits, "collector_id")
     ref = F.coalesce("last", "plan_start_ns")
     ladder = (
         F.when(F.col("won").isNotNull(), F.struct("won.availability", "won.reason_code"))
@@ -86,8 +96,36 @@ def build_coverage(collectors: DataFrame, plans: DataFrame, facts: DataFrame, st
         .when(F.col("start_ns") < ref + F.col("off"), _state("delayed", "HEARTBEAT_LATE"))
         .otherwise(_state("offline", "HEARTBEAT_OFFLINE"))
     )
-    out = out.withColumn("state", ladder).select("collector_id", "plan", *BOUNDS, "state.availability", "state.reason_code", F.coalesce("flags", F.array().cast("array<string>")).alias("quality_flags"))
-    return merge_adjacent(out, ("collector_id", "plan"), STATE).select("collector_id", *BOUNDS, *STATE)
+    out = out.withColumn("state", ladder).select("collector_id", "plan", "day", *BOUNDS, "state.availability", "state.reason_code", F.coalesce("flags", F.array().cast("array<string>")).alias("quality_flags"))
+    out = merge_adjacent(out, ("collector_id", "plan", "day"), STATE)
+    midnight = (F.col("start_ns") % DAY_NS == 0) | (F.col("end_ns") % DAY_NS == 0)
+    met = merge_adjacent(out.where(midnight), ("collector_id", "plan"), STATE)  # two rows a day at most
+    columns = ["collector_id", *BOUNDS, *STATE]
+    return out.where(~midnight).select(columns).unionByName(met.select(columns))
+
+
+def rebuild(collectors: DataFrame, plans: DataFrame, facts: DataFrame, old: DataFrame, start_ns: int, end_ns: int, now_ns: int) -> tuple[DataFrame, DataFrame]:
+    """A new generation of coverage of a range, and its state rows (collector_id, start_ns, end_ns, generation, state, watermark).
+
+    facts have ``projection_id``; the watermark is the largest of those that the build used, looking back
+    offline_after before the range; 0 if there is none.  old: (collector_id, generation).
+    """
+    used = facts.join(collectors.select("collector_id", F.col("offline_after_ns").alias("_off")), "collector_id").where((F.col("start_ns") < end_ns) & (F.col("end_ns") > F.lit(start_ns) - F.col("_off")))
+    marks = used.groupBy("collector_id").agg(F.max("projection_id").alias("watermark"))
+    states = collectors.select("collector_id").join(old, "collector_id", "left").join(marks, "collector_id", "left")
+    states = states.select("collector_id", F.lit(start_ns).cast("long").alias("start_ns"), F.lit(end_ns).cast("long").alias("end_ns"), (F.coalesce("generation", F.lit(0)) + 1).cast("long").alias("generation"), F.lit("fresh").alias("state"), F.coalesce("watermark", F.lit(0)).cast("long").alias("watermark"))
+    rows = build_coverage(collectors, plans, facts.drop("projection_id"), start_ns, end_ns, now_ns)
+    return rows.join(states.select("collector_id", "generation"), "collector_id"), states
+
+
+def repaired(collectors: DataFrame, plans: DataFrame, facts: DataFrame, late: DataFrame, old: DataFrame, start_ns: int, end_ns: int, now_ns: int) -> DataFrame:
+    """old (coverage by day, before the late facts came) with the days that they can change built anew from all facts.
+
+    Nothing is computed for other days; plans, old and the result are cut at midnight.
+    """
+    days = affected_days(late, collectors)
+    anew = by_day(build_coverage(collectors, by_day(plans).join(days, ["collector_id", "day"], "left_semi").drop("day"), facts, start_ns, end_ns, now_ns))
+    return old.join(days, ["collector_id", "day"], "left_anti").unionByName(anew.select(old.columns))
 
 
 def _state(availability: str, reason: str) -> Column:
@@ -115,7 +153,7 @@ def projection_state(facts: DataFrame, collectors: DataFrame, stale: DataFrame,
 
 def affected_days(new_facts: DataFrame, collectors: DataFrame) -> DataFrame:
     """(collector_id, day): days since 1970 whose coverage late facts can change, up to offline_after past their ends."""
-    off = F.broadcast(collectors.select("collector_id", F.col("offline_after_ns").alias("_off")))
+    off = collectors.select("collector_id", F.col("offline_after_ns").alias("_off"))
     day = lambda ns: F.floor(ns / (86400 * NS))
     return new_facts.join(off, "collector_id").select("collector_id", F.explode(F.sequence(day(F.col("start_ns")), day(F.col("end_ns") + F.col("_off")))).alias("day")).distinct()
 

@@ -108,7 +108,7 @@ def validate_heartbeats(df: DataFrame, collectors: DataFrame, max_bytes: int = 6
         "clock_error_ms": _int(v, "$.clock_error_ms"), "idempotency_key": json_text(v, "$.idempotency_key"), "flags": F.try_variant_get(v, "$.quality_flags", "array<string>"),
     })
     df = df.withColumns({"start_ns": known_offset_ns(F.col("device_start_raw")), "end_ns": known_offset_ns(F.col("device_end_raw"))})
-    df = df.join(F.broadcast(collectors.select(F.col("collector_id").alias("_known"), F.col("heartbeat_period_ns").alias("_period"))), F.col("collector_id") == F.col("_known"), "left")
+    df = df.join(collectors.select(F.col("collector_id").alias("_known"), F.col("heartbeat_period_ns").alias("_period")), F.col("collector_id") == F.col("_known"), "left")
     length = F.col("end_ns") - F.col("start_ns")
     flags = F.col("flags")
     allowed = F.array(*(F.lit(f) for f in FLAGS))
