@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import NS
-from .intervals import longest_run, subtract
+from .intervals import bucket, longest_run, subtract
 
 BAD_RUN_S = {"activity": 300, "media": 900}
 
@@ -131,9 +131,25 @@ def backup_gaps(backups: DataFrame, limit_s: float) -> DataFrame:
 
 
 def count_deltas(counts: DataFrame) -> DataFrame:
-    """counts (day, table_name, n) with delta to the day before and whether it is not negative."""
+    """counts (day, table_name, n) with delta to the day before and whether it is not negative.
+
+    A table that is missing on a day after one on which it was counted fell by all it had.
+    """
     before = counts.select((F.col("day") + 1).alias("day"), "table_name", F.col("n").alias("_n"))
-    return counts.join(before, ["day", "table_name"]).select("day", "table_name", (F.col("n") - F.col("_n")).alias("delta"), (F.col("n") >= F.col("_n")).alias("passed"))
+    last = counts.agg(F.max("day").alias("_last"))
+    both = counts.join(before, ["day", "table_name"], "right").join(last, F.col("day") <= F.col("_last")).withColumn("n", F.coalesce("n", F.lit(0)))
+    return both.select("day", "table_name", (F.col("n") - F.col("_n")).alias("delta"), (F.col("n") >= F.col("_n")).alias("passed"))
+
+
+def delta_gate(deltas: DataFrame) -> DataFrame:
+    """(host_id, day, delta, passed) of deltas (host_id, day, delta, passed) of several tables: no table may shrink."""
+    return deltas.groupBy("host_id", "day").agg(F.sum("delta").alias("delta"), F.every("passed").alias("passed"))
+
+
+def interventions(log: DataFrame, kinds: tuple[str, ...], first_day: int, days: int) -> DataFrame:
+    """Rows of log (host_id, kind, at_ns) of these kinds in a range of days since 1970, with their day."""
+    day = bucket(F.col("at_ns"), 86400 * NS)
+    return log.where(F.col("kind").isin(*kinds)).withColumn("day", day).where(F.col("day").between(first_day, first_day + days - 1))
 
 
 def tree_sizes(files: DataFrame, root: Column) -> DataFrame:
@@ -157,11 +173,11 @@ def exercise_results(records: DataFrame) -> DataFrame:
     return records.withColumn("result", F.when(met, "passed").otherwise("failed")).withColumn("error_code", F.when(missed, "EXERCISE_RTO_MISSED"))
 
 
-def publisher_gate(runs: DataFrame, segments: int) -> DataFrame:
-    """(day, runs, passed): exactly one passed run a day, with all its segments, begun in its window."""
+def publisher_gate(runs: DataFrame, segments: int, by: tuple[str, ...] = ("day",)) -> DataFrame:
+    """(by.., runs, passed): exactly one passed run a day (of a host), with all its segments, begun in its window."""
     good = (F.col("status") == "passed") & (F.col("segments") == segments) & F.col("in_window")
-    out = runs.groupBy("day").agg(F.count_if(F.col("status") == "passed").alias("runs"), F.count_if(good).alias("_g"))
-    return out.select("day", "runs", ((F.col("runs") == 1) & (F.col("_g") == 1)).alias("passed"))
+    out = runs.groupBy(*by).agg(F.count_if(F.col("status") == "passed").alias("runs"), F.count_if(good).alias("_g"))
+    return out.select(*by, "runs", ((F.col("runs") == 1) & (F.col("_g") == 1)).alias("passed"))
 
 
 def rehash_gate(sample: DataFrame, bodies: DataFrame) -> DataFrame:

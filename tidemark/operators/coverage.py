@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import NS, epoch_us, weekday_name
-from .intervals import BOUNDS, merge_adjacent, overlapping, positive, segment, stab_join, subtract
+from .intervals import BOUNDS, bucket, merge_adjacent, overlapping, positive, segment, stab_join, subtract
 
 STATE = ("availability", "reason_code", "quality_flags")
 #: Width of the time buckets that facts and pieces meet in.
@@ -47,7 +47,7 @@ def expand_schedule(collectors: DataFrame, windows: DataFrame, start_ns: int, en
 
 def by_day(df: DataFrame) -> DataFrame:
     """df with ``day`` (since 1970), each interval cut at midnight UTC."""
-    cut = df.withColumn("day", F.explode(F.sequence(F.floor(F.col("start_ns") / DAY_NS), F.floor((F.col("end_ns") - 1) / DAY_NS))))
+    cut = df.withColumn("day", F.explode(F.sequence(bucket(F.col("start_ns"), DAY_NS), bucket(F.col("end_ns") - 1, DAY_NS))))
     return cut.withColumns({"start_ns": F.greatest("start_ns", F.col("day") * DAY_NS), "end_ns": F.least("end_ns", (F.col("day") + 1) * DAY_NS)})
 
 
@@ -62,7 +62,7 @@ def build_coverage(collectors: DataFrame, plans: DataFrame, facts: DataFrame, st
     limits = collectors.select("collector_id", F.col("heartbeat_period_ns").alias("period"), F.col("allowed_lateness_ns").alias("late"), F.col("offline_after_ns").alias("off"))
     facts = facts.join(limits, "collector_id").where((F.col("start_ns") < end_ns) & (F.col("end_ns") > F.lit(start_ns) - F.col("off")))
     waits = lambda t: (t + F.col("period"), t + F.col("period") + F.col("late"), t + F.col("off"))
-    day = lambda t: F.floor(F.col(t) / DAY_NS).alias("day")
+    day = lambda t: bucket(F.col(t), DAY_NS).alias("day")
     own = plans.join(limits, "collector_id").select("collector_id", F.explode(F.array(F.lit(now_ns).cast("long"), *waits(F.col("plan_start_ns")))).alias("t"))
     cuts = facts.select("collector_id", F.explode(F.array("start_ns", "end_ns", *waits(F.col("end_ns")))).alias("t")).unionByName(own).distinct()
     windows = by_day(plans.withColumn("plan", F.col("start_ns")))
@@ -154,7 +154,7 @@ def projection_state(facts: DataFrame, collectors: DataFrame, stale: DataFrame,
 def affected_days(new_facts: DataFrame, collectors: DataFrame) -> DataFrame:
     """(collector_id, day): days since 1970 whose coverage late facts can change, up to offline_after past their ends."""
     off = collectors.select("collector_id", F.col("offline_after_ns").alias("_off"))
-    day = lambda ns: F.floor(ns / (86400 * NS))
+    day = lambda ns: bucket(ns, DAY_NS)
     return new_facts.join(off, "collector_id").select("collector_id", F.explode(F.sequence(day(F.col("start_ns")), day(F.col("end_ns") + F.col("_off")))).alias("day")).distinct()
 
 

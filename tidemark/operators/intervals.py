@@ -22,6 +22,11 @@ def positive() -> Column:
     return F.col("end_ns") > F.col("start_ns")
 
 
+def bucket(x: Column, width: int) -> Column:
+    """The whole number of widths below x; exact for nanoseconds, which a quotient of doubles is not."""
+    return ((x - F.pmod(x, F.lit(width))) / width).cast("long")
+
+
 def subtract(a: DataFrame, windows: DataFrame, id_: str) -> DataFrame:
     """a without what the windows (start_ns, end_ns) cover; pieces keep a's other columns.  windows are a few, planned by hand.
 
@@ -59,10 +64,9 @@ def stab_join(segments: DataFrame, facts: DataFrame, by: str, bucket_ns: int) ->
     Facts go into buckets of time that they touch, segments into that of their start: an equi-join, so that
     one collector with many facts is dealt out over its buckets.
     """
-    bucket = lambda x: F.floor(x / bucket_ns)
     f = facts.select(*(F.col(c).alias(f"f_{c}") for c in facts.columns))
-    f = f.withColumn("_b", F.explode(F.sequence(bucket(F.col("f_start_ns")), bucket(F.col("f_end_ns") - 1))))
-    s = segments.withColumn("_b", bucket(F.col("start_ns")))
+    f = f.withColumn("_b", F.explode(F.sequence(bucket(F.col("f_start_ns"), bucket_ns), bucket(F.col("f_end_ns") - 1, bucket_ns))))
+    s = segments.withColumn("_b", bucket(F.col("start_ns"), bucket_ns))
     on = (F.col(by) == F.col(f"f_{by}")) & s["_b"].eqNullSafe(f["_b"]) & (F.col("f_start_ns") <= F.col("start_ns")) & (F.col("f_end_ns") >= F.col("end_ns"))
     return s.join(f, on).drop(s["_b"]).drop(f["_b"]).drop(f"f_{by}")
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.scalars import NS, clock_uncertain, corrected_ns, duration_end_ns, json_number, json_text, merged_flags, valid_identifier
+from .intervals import bucket
 
 ACTIVITY = "activitywatch.event"
 ORDER = ("start_ns", "received_ns", "source_type", "source_id", "stable_id")
@@ -88,9 +90,9 @@ def guarded(df: DataFrame, most: int) -> DataFrame:
     return df
 
 
-def key_family(df: DataFrame, base: str) -> DataFrame:
-    """Rows of a base idempotency key and of its duration revisions."""
-    return df.where((F.col("idempotency_key") == base) | F.col("idempotency_key").startswith(f"{base}:duration:"))
+def key_family(df: DataFrame, base: str, most: int = 1024) -> DataFrame:
+    """Rows of a base idempotency key and of its duration revisions; ValueError if there are over ``most``."""
+    return guarded(df.where((F.col("idempotency_key") == base) | F.col("idempotency_key").startswith(f"{base}:duration:")), most)
 
 
 def base_key(key: Column) -> Column:
@@ -123,3 +125,22 @@ def changed(new: DataFrame, old: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def upserted(new: DataFrame, old: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """old with new's rows put in by key: the next generation."""
     return old.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
+
+
+def liveness_changes(heartbeats: DataFrame, collectors: DataFrame, until_ns: int) -> DataFrame:
+    """(collector_id, at_ns, state): when a collector went missing, delayed and offline for want of a next heartbeat.
+
+    The event-time form of the streaming timers: after each heartbeat (collector_id, start_ns, end_ns), the
+    deadlines that pass before the next one starts, or before until_ns after the last.  The next one is found
+    within the day, or is the first of the next day that has any.
+    """
+    day = 86400 * NS
+    hb = heartbeats.select("collector_id", "start_ns", "end_ns", bucket(F.col("end_ns"), day).alias("_day"))
+    order = W.partitionBy("collector_id", "_day").orderBy("end_ns", "start_ns")
+    first = hb.groupBy("collector_id", "_day").agg(F.min(F.struct("end_ns", "start_ns"))["start_ns"].alias("_first"))
+    first = first.withColumn("_later", F.lead("_first").over(W.partitionBy("collector_id").orderBy("_day"))).drop("_first")
+    hb = hb.withColumn("_next", F.lead("start_ns").over(order)).join(first, ["collector_id", "_day"]).withColumn("_next", F.coalesce("_next", "_later", F.lit(until_ns)))
+    hb = hb.join(collectors, "collector_id")
+    period, end = F.col("heartbeat_period_ns"), F.col("end_ns")
+    marks = F.array(*(F.struct((end + wait).alias("at_ns"), F.lit(state).alias("state")) for wait, state in ((period, "missing"), (period + F.col("allowed_lateness_ns"), "delayed"), (F.col("offline_after_ns"), "offline"))))
+    return hb.select("collector_id", "_next", F.explode(marks).alias("m")).where(F.col("m.at_ns") < F.col("_next")).select("collector_id", "m.at_ns", "m.state")

@@ -59,6 +59,9 @@ TEXTS = {
 #: Collectors, their windows (all days 00:00-24:00 for some, working hours for others), and excluded time.
 TEXTS["collectors"] = """SELECT 'c' || CAST(r_regionkey AS STRING) AS collector_id, CASE WHEN r_regionkey % 2 = 0 THEN 'activity' ELSE 'media' END AS kind, 300000000000 AS heartbeat_period_ns,
     60000000000 AS allowed_lateness_ns, 1800000000000 AS offline_after_ns, CASE WHEN r_regionkey = 4 THEN 'America/New_York' ELSE 'UTC' END AS timezone FROM region"""
+#: All collectors of the events, configured by their numbers.
+TEXTS["fleet"] = """SELECT DISTINCT 'c' || CAST(CAST(floor(event_id / 10) AS BIGINT) % 8 AS STRING) AS collector_id, CASE WHEN CAST(floor(event_id / 10) AS BIGINT) % 2 = 0 THEN 'activity' ELSE 'media' END AS kind,
+    300000000000 AS heartbeat_period_ns, 60000000000 AS allowed_lateness_ns, 1800000000000 AS offline_after_ns, CASE WHEN CAST(floor(event_id / 10) AS BIGINT) % 8 = 4 THEN 'America/New_York' ELSE 'UTC' END AS timezone FROM events"""
 TEXTS["exclusions"] = f"SELECT {T0} + n_nationkey * 100000000000000 AS start_ns, {T0} + n_nationkey * 100000000000000 + (1 + n_nationkey % 3) * 3600000000000 AS end_ns FROM nation WHERE n_nationkey < 20"
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
