@@ -38,3 +38,29 @@ def test_pipeline_stages_keep_their_promises(spark):
         if name != "tokens":
             assert docs.columns == columns
     assert counts[0] > counts[1] >= counts[2] > counts[3] and counts[5] == counts[4]
+
+
+def test_pipeline_stages_take_odd_and_empty_tables(spark, sf):
+    """Null ids, texts and sources, empty, one-word and long texts, repeated rows, one id with two texts, columns of the operators' own names."""
+    import corpus_pipeline
+
+    long = " ".join(f"word{i % 977}" for i in range(20_000))
+    prose = " ".join(f"thing{i}" for i in range(60))
+    rows = [(1, prose, "en", "a"), (1, prose, "en", "a"), (2, prose + " more", "en", None), (2, "another text of document two", "fr", "a"), (3, None, None, "a"), (4, "", "en", "b"), (5, " \n", "fr", "b"), (6, "Word", "fr", "b"), (None, prose, "en", "a"), (None, None, None, None), (7, long, "en", "b"), (8, "12 34 !!", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"n_chars": F.length("text").cast("long"), "score": F.lit("mine"), "kept": F.lit(7), "size": F.lit("x")})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        out = stage(spark, docs, sf)
+        if name != "tokens":
+            assert out.columns == docs.columns
+        got = out.collect()
+        ids = sorted((r.doc_id for r in got if r.doc_id is not None))
+        if name == "near_dup":  # 2 is near to 1 by one of its texts
+            assert ids == [1, 3, 4, 5, 6, 7, 8] and len(got) == 9
+            assert sorted(map(str, got)) == sorted(map(str, stage(spark, docs.repartition(5), sf).collect()))
+        elif name == "language":
+            assert not {3, 4, 5, 8} & set(ids)
+        elif name == "tokens":
+            assert len(got) == len(rows) and all(r.score == "mine" for r in got)
+        elif name == "mix":
+            assert not {3, 4, 5} & set(ids) and all(r.text.split() for r in got)

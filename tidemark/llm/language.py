@@ -148,7 +148,7 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str], ridge: float = 1e-3, rou
 def train(docs: DataFrame, most: int = 400) -> Model | None:
     """Learn from text and lang of rows that are not held out: about ``most`` whole texts of each language.
 
-    Which rows are taken depends on ids only.  Their n-gram counts, not their texts, come to the driver:
+    Which rows are taken depends on ids only, on texts where there is none.  Their n-gram counts, not their texts, come to the driver:
     8 kB each.  None if no row has both a language and letters.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
@@ -158,7 +158,8 @@ def train(docs: DataFrame, most: int = 400) -> Model | None:
     share = F.lit(0.0)
     for lang, n in of.items():
         share = F.when(F.col("lang") == lang, min(1.0, most / n)).otherwise(share)
-    rows = rows.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(1 << 20)) < share * (1 << 20))
+    pick = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text"))
+    rows = rows.where(F.pmod(pick, F.lit(1 << 20)) < share * (1 << 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

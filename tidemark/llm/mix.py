@@ -154,13 +154,13 @@ def mixed(docs: DataFrame) -> DataFrame:
     taken = mix.pieces().where("times > 0").groupBy("doc_id", "h", "source", "start", "size").agg(F.array_sort(F.collect_list(F.struct("offset", "words", "times"))).alias("pieces"))
     taken = taken.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.col("pieces.times")))))
     taken = taken.withColumn("pieces", F.filter("pieces", lambda p: p["times"] >= F.col("turn")))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("source").alias("_source"), "pieces", "size")
     whole = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["words"]) == F.col("size")
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("source").alias("_source"), F.col("pieces").alias("_pieces"), whole.alias("_whole"))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    some = F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice(F.col("_words"), (p["offset"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    some = F.array_join(F.flatten(F.transform("_pieces", lambda p: F.slice(F.col("_words"), (p["offset"] + 1).cast("int"), p["words"].cast("int")))), " ")
     once = docs.withColumn("_h2", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "_h2"])
     out = once.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h2") == F.col("_h")) & F.col("source").eqNullSafe(F.col("_source")))
-    out = out.withColumn("_words", F.when(~whole, words)).withColumn("text", F.when(whole, F.col("text")).otherwise(some))
+    out = out.withColumn("_words", F.when(~F.col("_whole"), words)).withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(some))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
