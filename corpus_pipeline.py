@@ -17,14 +17,22 @@ from tidemark.llm.toxicity import with_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted to be toxic, by a model of the labels of those that are not held out."""
+    """Documents that are not predicted to be toxic, by a model of the labels of those that are not held out.
+
+    Null and empty texts stay, as do all without labels of both kinds; equal texts share their fate; long ones
+    count whole.  An empty table stays empty; other columns are kept as they are, whatever their names.
+    """
     small_batches(spark)
     model = train_toxicity(docs, table(spark, sf_dir, "labels"))
     return with_toxicity(docs, model).where("predicted = 0").select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: not those without any letter, nor those between two languages."""
+    """Documents with a language: not those without any letter, nor those between two languages.
+
+    Null and empty texts go; equal texts share their fate; without any row to learn from all stay.  An empty
+    table stays empty; other columns are kept as they are, whatever their names.
+    """
     small_batches(spark)
     model = train_language(docs)
     if model is None:  # nothing to learn from, so nothing to reject by
@@ -33,7 +41,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 80 percent): that with the smallest id."""
+    """One document of each group of near duplicates (five words, 80 percent): that with the smallest id.
+
+    Rows with one id are one document: the row with the least hash of all columns stays.  Rows without id, and
+    documents with null or empty texts, are in no group and stay.  An empty table stays empty; other columns
+    are kept as they are.
+    """
     small_batches(spark)
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
@@ -43,12 +56,19 @@ def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources mixed to the target weights, as documents."""
+    """The sources mixed to the target weights, as documents.
+
+    A null source is one of its own; texts without words are never taken, so they go; repeated rows take part
+    one by one.  An empty table stays empty; other columns come from the document.
+    """
     return mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's ids, with digests of them and of what they decode to."""
+    """Each document's ids, with digests of them and of what they decode to; a null text counts as empty.
+
+    Every row is kept, repeated ones as well; columns that are named like new ones are replaced.
+    """
     small_batches(spark)
     import public_tokenizers
 
