@@ -124,7 +124,8 @@ class Mix:
         docs = self.placed().where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / length), F.floor((end - 1) / length))))
         offset = F.greatest("start", F.col("block") * length) - F.col("start")
         docs = docs.withColumn("offset", offset).withColumn("words", F.least(end, (F.col("block") + 1) * length) - F.col("start") - F.col("offset"))
-        times = self.slots().groupBy("sid", "block").agg(F.count("*").alias("times"))
+        # by its few sources Spark would take this for a small table and broadcast it
+        times = self.slots().groupBy("sid", "block").agg(F.count("*").alias("times")).hint("merge")
         return docs.join(times, ["sid", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
 
 
