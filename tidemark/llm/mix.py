@@ -18,7 +18,7 @@ from .common import WORD, table, written
 #: Words in a block; blocks of a source at least, so that small ones have shorter blocks; slots in a shard.
 BLOCK, BLOCKS, SHARD = 128, 64, 1024
 #: Documents that are placed by one window, about; slots that come from one row; rounds of a permutation.
-CHUNK, RUN, ROUNDS = 1024, 1 << 16, 12
+CHUNK, RUN, ROUNDS = 1024, 1 << 14, 12
 #: The weights repeat over the sources; the mix has SHARE times all words; a source is repeated at most MOST times.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 
@@ -97,7 +97,9 @@ class Mix:
     def slots(self) -> DataFrame:
         """(shard, slot, sid, block): what the mix has at each place."""
         long = lambda x: F.lit(x).cast("long")
-        runs = self.sources.where("slots > 0").withColumn("run", F.explode(F.sequence(long(0), F.floor((F.col("slots") - 1) / RUN)))).repartition("sid", "run")
+        # these rows are few bytes, what comes from them is not: so many tasks as that asks for
+        tasks = max(1, min(-(-self.total // RUN), int(self.sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-self.total // (RUN << 8)))
+        runs = self.sources.where("slots > 0").withColumn("run", F.explode(F.sequence(long(0), F.floor((F.col("slots") - 1) / RUN)))).repartition(tasks, "sid", "run")
         df = runs.withColumn("k", F.explode(F.sequence(F.col("run") * RUN, F.least("slots", (F.col("run") + 1) * RUN) - 1)))
         place = permuted(F.col("first") + F.col("k"), long(max(1, self.total)), F.lit(self.seed))
         block = permuted(F.pmod("k", "blocks"), F.col("blocks"), F.col("sid"), F.floor(F.col("k") / F.col("blocks")), F.lit(self.seed))
