@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_byte_bpe
+from .divergence import OP13_SQL, op13_divergence
 from .fingerprint import op8_fingerprint
 from .language import op3_language
 from .license_scan import op10_license
@@ -28,9 +29,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprint": op8_fingerprint,
     "op9_top_k": op9_top_k,
     "op10_license": op10_license,
+    "op13_divergence": op13_divergence,
 }
 SQL: dict[str, str] = {
     "op4_near_dup": OP4_SQL,
     "op5_warc": OP5_SQL,
     "op9_top_k": OP9_SQL,
+    "op13_divergence": OP13_SQL,
 }
