@@ -13,6 +13,7 @@ from .language import op3_language
 from .license_scan import op10_license
 from .mix import op6_mix
 from .near_dup import OP4_SQL, op4_near_dup
+from .simhash import op12_simhash
 from .top_k import OP9_SQL, op9_top_k
 from .toxicity import op7_toxicity
 from .url_filter import op1_url_filter
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprint": op8_fingerprint,
     "op9_top_k": op9_top_k,
     "op10_license": op10_license,
+    "op12_simhash": op12_simhash,
     "op13_divergence": op13_divergence,
 }
 SQL: dict[str, str] = {
