@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op2_byte_bpe
 from .divergence import OP13_SQL, op13_divergence
 from .fingerprint import op8_fingerprint
+from .hard_negatives import OP11_SQL, op11_hard_negatives
 from .language import op3_language
 from .license_scan import op10_license
 from .mix import op6_mix
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprint": op8_fingerprint,
     "op9_top_k": op9_top_k,
     "op10_license": op10_license,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_simhash": op12_simhash,
     "op13_divergence": op13_divergence,
 }
@@ -37,5 +39,6 @@ SQL: dict[str, str] = {
     "op4_near_dup": OP4_SQL,
     "op5_warc": OP5_SQL,
     "op9_top_k": OP9_SQL,
+    "op11_hard_negatives": OP11_SQL,
     "op13_divergence": OP13_SQL,
 }
