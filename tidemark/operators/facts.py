@@ -35,8 +35,3 @@ def resolve_idempotent(candidates: DataFrame, order: str | Column, existing: Dat
 def import_counters(results: DataFrame) -> DataFrame:
     """(collector_id, imported, duplicates)."""
     return results.groupBy("collector_id").agg(F.count_if(F.col("status") == "accepted").alias("imported"), F.count_if(F.col("status") == "duplicate").alias("duplicates"))
-
-
-def first_seen(raw: DataFrame, content: Column) -> DataFrame:
-    """raw with ``content_hash``."""
-    return raw.withColumn("content_hash", content)

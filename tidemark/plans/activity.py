@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import activity, facts
@@ -67,13 +67,39 @@ def _t2_batch(s: SparkSession, d: str) -> DataFrame:
     return activity.advance_checkpoint(old, p.where("id >= 250"))
 
 
+def _imported(rows: DataFrame, what: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that a stream of rows has released, with a lateness of an hour, and the collectors' checkpoints."""
+    stream, _ = _landed(rows.withColumnRenamed("id", "source_event_id"), what, order="source_event_id")
+    out = work_dir(rows.sparkSession, what)
+    jobs.imported(stream, "seen_ts", "1 hour", f"{out}/rows", f"{out}/positions", f"{out}/checkpoint").awaitTermination()
+    given = rows.sparkSession.read.schema(stream.schema).parquet(f"{out}/rows/rows")
+    return given.withColumnRenamed("source_event_id", "id"), jobs.positions(rows.sparkSession, f"{out}/positions")
+
+
+def _seen(ns: str) -> Column:
+    return F.timestamp_micros(F.floor(C(ns) / 1000)).alias("seen_ts")
+
+
 def _t1(s: SparkSession, d: str) -> DataFrame:
     """Rows that the watermark has released: those that end well before the latest end."""
-    rows = frame(s, d, "raw").where("event_type = 'activitywatch.event'").select("id", F.timestamp_micros(F.floor(C("device_ns") / 1000)).alias("end_ts"))
-    stream, _ = _landed(rows, "lateness")
-    out = _collected(jobs.released(stream, "end_ts", "1 hour", ("id",)), "released")
-    top = rows.agg(F.max("end_ts").alias("top"))
-    return out.join(F.broadcast(top)).where(F.unix_micros("end_ts") < F.unix_micros("top") - 2 * 3600 * 10**6).select("id")
+    rows = frame(s, d, "raw").where("event_type = 'activitywatch.event'").select("id", "collector_id", F.lit("b").alias("bucket_id"), C("device_ns").alias("source_time_ns"), C("device_ns").alias("end_ns"), _seen("device_ns"))
+    out, _ = _imported(rows, "lateness")
+    top = rows.agg(F.max("end_ns").alias("top"))
+    return out.join(F.broadcast(top)).where(F.floor(C("end_ns") / 1000) < F.floor(C("top") / 1000) - 2 * 3600 * 10**6).select("id")
+
+
+def _deferred(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All heartbeats, read when they are received; collector c3 goes on to other buckets."""
+    hb = frame(s, d, "hb")
+    bucket = F.when(C("collector_id") == "c3", F.concat(F.lit("b"), F.floor(C("id") / 300).cast("string"))).otherwise("b").alias("bucket_id")
+    return _imported(hb.select("id", "collector_id", bucket, C("device_start_ns").alias("source_time_ns"), C("device_end_ns").alias("end_ns"), _seen("received_ns"), "state", "quality_flags"), "deferred")
+
+
+STABLE = """WITH b AS (SELECT *, CASE WHEN collector_id = 'c3' THEN 'b' || CAST(id // 300 AS VARCHAR) ELSE 'b' END AS bucket FROM hb),
+o AS (SELECT collector_id, arg_min(bucket, (device_start_ns, id)) AS own, CASE WHEN count(DISTINCT bucket) > 1 THEN 'ACTIVITY_BUCKET_CHANGED' END AS error FROM b GROUP BY 1),
+w AS (SELECT b.*, max(CASE WHEN device_end_ns >= (SELECT max(received_ns) // 1000000 - 3600000 FROM hb) * 1000000 THEN 1 ELSE 0 END) OVER (PARTITION BY b.collector_id ORDER BY device_start_ns, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS late
+  FROM b JOIN o ON b.collector_id = o.collector_id AND b.bucket = o.own)
+"""
 
 
 def _t4(s: SparkSession, d: str) -> DataFrame:
@@ -103,6 +129,8 @@ ENTRIES = {
     "w12_t1_stable_prefix": (lambda s, d: activity.stable_prefix(frame(s, d, "hb"), "collector_id", ("device_start_ns", "id"), "device_end_ns", CUT).select("id"), sql(f"WITH w AS (SELECT id, max(CASE WHEN device_end_ns >= {CUT} THEN 1 ELSE 0 END) OVER (PARTITION BY collector_id ORDER BY device_start_ns, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS late FROM hb) SELECT id FROM w WHERE late = 0", "hb")),
     "t1_released_stream": (_t1, sql("SELECT id FROM raw WHERE event_type = 'activitywatch.event' AND device_ns // 1000 < (SELECT max(device_ns) // 1000 - 7200000000 FROM raw WHERE event_type = 'activitywatch.event')", "raw")),
     "t2_checkpoint_stream": (_t2, sql("SELECT collector_id, 'b' AS bucket_id, max(device_ns) AS source_time_ns, arg_max(id, (device_ns, id)) AS source_event_id, CAST(NULL AS VARCHAR) AS error FROM raw WHERE collector_id <> 'c3' GROUP BY 1", "raw")),
+    "t1_released_rows": (lambda s, d: _deferred(s, d)[0].select("id", "collector_id", "state", F.concat_ws(",", "quality_flags").alias("quality_flags")), sql(STABLE + "SELECT id, collector_id, state, array_to_string(quality_flags, ',') AS quality_flags FROM w WHERE late = 0", "hb")),
+    "t2_deferred_stream": (lambda s, d: _deferred(s, d)[1], sql(STABLE + "SELECT o.collector_id, any_value(own) FILTER (WHERE id IS NOT NULL) AS bucket_id, max(device_start_ns) AS source_time_ns, arg_max(id, (device_start_ns, id)) AS source_event_id, any_value(error) AS error FROM o LEFT JOIN (SELECT * FROM w WHERE late = 0) AS r ON o.collector_id = r.collector_id GROUP BY 1", "hb")),
     "t2_checkpoint_batch": (_t2_batch, sql("WITH p AS (SELECT * FROM raw WHERE collector_id <> 'c3' OR id < 250) SELECT collector_id, CASE WHEN collector_id = 'c3' THEN 'b0' ELSE 'b' END AS bucket_id, max(device_ns) AS source_time_ns, arg_max(id, (device_ns, id)) AS source_event_id, CASE WHEN collector_id = 'c3' THEN 'ACTIVITY_BUCKET_CHANGED' END AS error FROM p GROUP BY 1", "raw")),
     "t3_rescan": (lambda s, d: facts.resolve_idempotent(activity.rescanned(frame(s, d, "cand").withColumn("timestamp_ns", C("device_ns")), F.lit(T0 + 5 * DAY)), "id").groupBy("status").agg(F.count("*").alias("n")), sql(RES.replace("FROM cand", f"FROM cand WHERE device_ns >= {T0 + 5 * DAY}") + "SELECT status, count(*) AS n FROM res GROUP BY 1", "cand")),
     "t4_revision_stream": (_t4, sql(REVS + "SELECT bucket_id, id, seq, status FROM st", "revs")),

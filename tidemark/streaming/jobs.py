@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.activity import advance_checkpoint
-from ..operators.facts import resolve_idempotent
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -36,25 +36,70 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
-def ingest(stream: DataFrame, facts_path: str, results_path: str, checkpoint: str, order: str = "id"):
-    """Start a query that appends accepted candidates to facts and every outcome to results.
+class FirstOfKey(StatefulProcessor):
+    """For each key the id and hash of its first valid row, for ever; gives out each row's outcome.
 
-    Each micro-batch goes to folders of its own number, overwritten if the batch is replayed, and looks
-    only at facts of earlier batches: the outcome is the same after a failure.
+    A micro-batch reads and writes the state of its own keys only, whatever the number of facts.
+    """
+
+    def __init__(self, order: str, conflict: str):
+        self.order, self.conflict = order, conflict
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getValueState("first", "id long, hash string")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.first.update((initialState.id, initialState.content_hash))
+
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
+        known = self.first.get()
+        for row in sorted(rows, key=lambda r: r[self.order]):
+            if known is None:
+                known = (row.id, row.content_hash)
+                self.first.update(known)
+                status = "accepted"
+            else:
+                status = "duplicate" if row.content_hash == known[1] else "conflict"
+            yield Row(**{c: row[c] for c in CANDIDATE}, status=status, fact_id=known[0], error_code=self.conflict if status == "conflict" else None)
+
+    def close(self) -> None:
+        pass
+
+
+CANDIDATE = ("id", "collector_id", "idempotency_key", "content_hash")
+OUTCOME = "id long, collector_id string, idempotency_key string, content_hash string, status string, fact_id long, error_code string"
+
+
+def outcomes(stream: DataFrame, order: str = "id", existing: DataFrame | None = None, conflict: str = "EVENT_IDEMPOTENCY_CONFLICT") -> DataFrame:
+    """OUTCOME of each row of a stream (CANDIDATE, error_code, order): what resolve_idempotent says of the same rows in a batch.
+
+    Rows with an error code are rejected and touch no state.  Among rows of a micro-batch the least ``order`` is
+    first; earlier micro-batches, and before them ``existing`` facts (collector_id, idempotency_key, id, content_hash;
+    one row a key, looked at when the query starts for the first time), come before.  Needs the RocksDB state store.
+    """
+    valid = stream.where("error_code is null").select(*CANDIDATE, *([] if order in CANDIDATE else [order]))
+    start = None if existing is None else existing.select("collector_id", "idempotency_key", F.col("id").cast("long"), "content_hash").groupBy("collector_id", "idempotency_key")
+    valid = valid.withColumn("id", F.col("id").cast("long")).groupBy("collector_id", "idempotency_key")
+    resolved = valid.transformWithState(FirstOfKey(order, conflict), OUTCOME, "Append", "None", start)
+    bad = stream.where("error_code is not null").select(F.col("id").cast("long").alias("id"), *CANDIDATE[1:], F.lit("rejected").alias("status"), F.lit(None).cast("long").alias("fact_id"), "error_code")
+    return resolved.unionByName(bad)
+
+
+def ingest(stream: DataFrame, facts_path: str, results_path: str, checkpoint: str, order: str = "id", existing: DataFrame | None = None):
+    """Start a query that appends accepted candidates to facts and every outcome to results (see outcomes).
+
+    Each micro-batch goes to folders of its own number, overwritten if the batch is replayed: outcomes first, then
+    the facts among them, read back from what was written.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        old = _read(spark, facts_path, "id long, collector_id string, idempotency_key string, content_hash string, batch long").where(F.col("batch") < number)
-        out = resolve_idempotent(df, order, old).persist()
-        try:
-            facts = out.where("status = 'accepted'").select("id", "collector_id", "idempotency_key", "content_hash")
-            facts.write.mode("overwrite").parquet(f"{facts_path}/batch={number}")
-            out.select("id", "status", "fact_id", "error_code").write.mode("overwrite").parquet(f"{results_path}/batch={number}")
-        finally:
-            out.unpersist()
+        at = f"{results_path}/batch={number}"
+        df.write.mode("overwrite").parquet(at)
+        facts = df.sparkSession.read.schema(OUTCOME).parquet(at).where("status = 'accepted'")
+        facts.select(*CANDIDATE).write.mode("overwrite").parquet(f"{facts_path}/batch={number}")
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with rocksdb(stream.sparkSession):
+        return outcomes(stream, order, existing).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def checkpointed(stream: DataFrame, path: str, checkpoint: str):
@@ -70,10 +115,106 @@ def checkpointed(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def released(stream: DataFrame, end_ts: str, lateness: str, keys: tuple[str, ...]) -> DataFrame:
-    """Rows of a stream, each key once, given out when the watermark (latest end less the lateness) has passed their end."""
-    w = F.window(end_ts, "1 second").alias("_w")
-    return stream.withWatermark(end_ts, lateness).groupBy(w, *keys).agg(F.max(end_ts).alias(end_ts)).drop("_w")
+class Release(StatefulProcessor):
+    """Of each collector the rows that may still change, in list state, and its checkpoint: both move together.
+
+    Rows are in the order of their position (source_time_ns, source_event_id).  Those before the first one that ends at
+    the watermark or later are given out, as they came, and the checkpoint becomes the position of the last of them, so
+    it never passes a row that is kept back.  One timer waits for the end of the first kept row.
+    """
+
+    def __init__(self, schema: StructType):
+        self.schema, self.names = schema, schema.names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getListState("kept", self.schema)
+        self.at = handle.getValueState("checkpoint", "bucket_id string, source_time_ns long, source_event_id long")
+
+    def _place(self, row: Row) -> tuple[int, int]:
+        return row["source_time_ns"], row["source_event_id"]
+
+    def _out(self, kind: str, error: str | None, values: dict) -> Row:
+        return Row(kind=kind, error=error, **{c: values.get(c) for c in self.names})
+
+    def _given(self, key, kept: list[Row], cutoff_ns: int, at: tuple | None) -> Iterator:
+        n = next((i for i, row in enumerate(kept) if row["end_ns"] >= cutoff_ns), len(kept))
+        for row in kept[:n]:
+            yield self._out("row", None, row.asDict())
+        if n:
+            bucket = kept[0]["bucket_id"]
+            place = self._place(kept[n - 1])
+            now = (bucket, *(max(place, at[1:]) if at and at[1] is not None else place))
+            self.at.update(now)
+            yield self._out("checkpoint", None, {"collector_id": key[0], "bucket_id": bucket, "source_time_ns": now[1], "source_event_id": now[2]})
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if kept[n:]:
+            self.kept.put([tuple(row) for row in kept[n:]])
+            self.handle.registerTimer(kept[n]["end_ns"] // 1_000_000 + 1)
+        else:
+            self.kept.clear()
+
+    def _held(self) -> list[Row]:
+        make = Row(*self.names)
+        return [make(*row) for row in self.kept.get()]
+
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
+        at, held = self.at.get(), self._held()
+        came = sorted(rows, key=self._place)
+        bucket = at[0] if at else came[0]["bucket_id"]
+        for row in came:
+            if row["bucket_id"] != bucket:
+                yield self._out("error", "ACTIVITY_BUCKET_CHANGED", row.asDict())
+        if at is None:
+            at = (bucket, None, None)
+            self.at.update(at)
+        kept = sorted(held + [row for row in came if row["bucket_id"] == bucket], key=self._place)
+        yield from self._given(key, kept, timerValues.getCurrentWatermarkInMs() * 1_000_000, at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        yield from self._given(key, self._held(), timerValues.getCurrentWatermarkInMs() * 1_000_000, self.at.get())
+
+    def close(self) -> None:
+        pass
+
+
+def released(stream: DataFrame, seen_ts: str, lateness: str) -> DataFrame:
+    """Rows of a stream that no longer change, and checkpoints that follow them: stream's columns after ``kind`` and ``error``.
+
+    stream: collector_id, bucket_id, source_time_ns, source_event_id, end_ns, ``seen_ts`` (when the row was read) and
+    anything else.  The cutoff is the watermark, the latest seen_ts less the lateness; rows that come late are not
+    dropped, as they were seen late too.  kind is row, checkpoint (only its position is filled) or error: a row of
+    another bucket than its collector began with, which is not given out and moves nothing.  Positions and ends are not
+    null.  Needs the RocksDB state store.
+    """
+    schema = StructType([StructField(f.name, f.dataType) for f in stream.schema])  # without metadata, all nullable
+    out = StructType([StructField("kind", StringType()), StructField("error", StringType()), *schema])
+    return stream.withWatermark(seen_ts, lateness).groupBy("collector_id").transformWithState(Release(schema), out, "Append", "EventTime")
+
+
+def imported(stream: DataFrame, seen_ts: str, lateness: str, rows_path: str, positions_path: str, checkpoint: str):
+    """Start a query that writes the rows released (see released), and after them the checkpoints, by number of micro-batch."""
+    names = ["collector_id", "bucket_id", "source_time_ns", "source_event_id", "error"]
+    columns = stream.columns
+
+    def batch(df: DataFrame, number: int) -> None:
+        at = f"{rows_path}/all/batch={number}"
+        df.write.mode("overwrite").partitionBy("kind").parquet(at)
+        given = df.sparkSession.read.schema(df.schema).parquet(at)
+        given.where("kind = 'row'").select(columns).write.mode("overwrite").parquet(f"{rows_path}/rows/batch={number}")
+        given.where("kind <> 'row'").select("kind", *names).write.mode("overwrite").parquet(f"{positions_path}/batch={number}")
+
+    with rocksdb(stream.sparkSession):
+        return released(stream, seen_ts, lateness).writeStream.outputMode("append").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def positions(spark: SparkSession, path: str) -> DataFrame:
+    """(collector_id, bucket_id, source_time_ns, source_event_id, error) that imported has written: the furthest, and whether the bucket changed."""
+    at = F.struct("source_time_ns", "source_event_id", "bucket_id")
+    given = spark.read.parquet(path)
+    out = given.groupBy("collector_id").agg(F.max(F.when(F.col("kind") == "checkpoint", at)).alias("at"), F.max("error").alias("error"))
+    return out.select("collector_id", "at.bucket_id", "at.source_time_ns", "at.source_event_id", "error")
 
 
 class Revisions(StatefulProcessor):
@@ -144,6 +285,11 @@ class Liveness(StatefulProcessor):
 
 
 def liveness(stream: DataFrame, period_ms: int, lateness_ms: int, offline_ms: int) -> DataFrame:
-    """(collector_id, state) changes of a stream with collector_id; needs the RocksDB state store."""
-    return stream.groupBy("collector_id").transformWithStateInPandas(Liveness(period_ms, lateness_ms, offline_ms), "collector_id string, state string", "Update", "ProcessingTime")
+    """(collector_id, state) changes of a stream with collector_id; needs the RocksDB state store.
 
+    A restarted query runs no micro-batch, and so looks at no timer, before it sees an offset move; so a source that
+    ticks once a second, of which no row is kept, goes with the stream.
+    """
+    ticks = stream.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load().where("value < 0").select(F.col("value").cast("string").alias("collector_id"))
+    keyed = stream.select("collector_id").unionByName(ticks).groupBy("collector_id")
+    return keyed.transformWithStateInPandas(Liveness(period_ms, lateness_ms, offline_ms), "collector_id string, state string", "Update", "ProcessingTime")
