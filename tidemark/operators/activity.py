@@ -20,10 +20,13 @@ def merge_pages(pages: DataFrame) -> DataFrame:
 
 
 def stable_prefix(df: DataFrame, by: str, order: tuple[str, ...], end_ns: str, cutoff_ns: int | Column) -> DataFrame:
-    """Rows before the first one, in order, whose end reaches the cutoff: what can still grow is left for later."""
-    w = W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    late = F.max((F.col(end_ns) >= cutoff_ns).cast("int")).over(w)
-    return df.withColumn("_late", late).where("_late = 0").drop("_late")
+    """Rows before the first one, in order, whose end reaches the cutoff: what can still grow is left for later.
+
+    That first row is an aggregate, so no log is sorted.
+    """
+    first = df.where(F.col(end_ns) >= cutoff_ns).groupBy(F.col(by).alias("_by")).agg(F.min(F.struct(*order)).alias("_first"))
+    out = df.join(first, F.col(by).eqNullSafe(F.col("_by")), "left")
+    return out.where(F.col("_first").isNull() | (F.struct(*order) < F.col("_first"))).drop("_by", "_first")
 
 
 def rescanned(df: DataFrame, start: Column) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import NS
-from .intervals import bucket, longest_run, subtract
+from ..sources.paths import stored
+from . import scan
+from .intervals import DAY_NS, bucket, longest_run, outside, subtract
 
 BAD_RUN_S = {"activity": 300, "media": 900}
 
@@ -55,7 +57,7 @@ def coverage_gate(coverage: DataFrame, collectors: DataFrame, expected: DataFram
 
     Passed: classification is whole (to 1 ms), 99 % usable, no long run of offline or unknown, projection fresh.
     """
-    left = subtract(coverage, exclusions, "collector_id")
+    left = stored(subtract(coverage, exclusions), "left")
     seconds = availability_seconds(left, collectors)
     runs = longest_run(left, "collector_id", F.col("availability").isin("offline", "unknown"))
     df = expected.join(seconds, "collector_id", "left").join(runs, "collector_id", "left").join(states.select("collector_id", "state"), "collector_id", "left").join(collectors.select("collector_id", "kind"), "collector_id")
@@ -91,11 +93,11 @@ def supervisor_summary(samples: DataFrame) -> DataFrame:
 
 def cpu_percent(samples: DataFrame) -> DataFrame:
     """samples with cpu_percent since the sample before of the same process; null after a restart."""
-    w = W.partitionBy("host_id").orderBy("at_ns", "id")
-    passed = (F.col("at_ns") - F.lag("at_ns").over(w)) / float(NS)
-    used = F.col("cpu_s") - F.lag("cpu_s").over(w)
-    ok = (F.lag("pid").over(w) == F.col("pid")) & (passed > 0)
-    return samples.withColumn("cpu_percent", F.when(ok, F.greatest(F.lit(0.0), 100 * used / passed)))
+    before = {f"_{c}": F.col(c) for c in ("at_ns", "cpu_s", "pid")}
+    df = scan.with_previous(samples, ("host_id",), ("at_ns", "id"), before, DAY_NS)
+    passed = (F.col("at_ns") - F.col("_at_ns")) / float(NS)
+    ok = (F.col("_pid") == F.col("pid")) & (passed > 0)
+    return df.withColumn("cpu_percent", F.when(ok, F.greatest(F.lit(0.0), 100 * (F.col("cpu_s") - F.col("_cpu_s")) / passed))).drop(*before)
 
 
 def largest_gap(samples: DataFrame, exclusions: DataFrame) -> DataFrame:
@@ -105,29 +107,22 @@ def largest_gap(samples: DataFrame, exclusions: DataFrame) -> DataFrame:
     points = samples.select("host_id", "day", F.col("at_ns").alias("t")).unionByName(edges.select("host_id", "day", (F.col("day") * day).alias("t"))).unionByName(edges.select("host_id", "day", ((F.col("day") + 1) * day).alias("t")))
     w = W.partitionBy("host_id", "day").orderBy("t")
     gaps = points.distinct().withColumn("end_ns", F.lead("t").over(w)).where("end_ns is not null").withColumnRenamed("t", "start_ns")
-    left = subtract(gaps.withColumn("_g", F.col("start_ns")), exclusions, "host_id").groupBy("host_id", "day", "_g").agg(F.sum(F.col("end_ns") - F.col("start_ns")).alias("ns"))
+    left = subtract(gaps.withColumn("_g", F.col("start_ns")), exclusions).groupBy("host_id", "day", "_g").agg(F.sum(F.col("end_ns") - F.col("start_ns")).alias("ns"))
     return left.groupBy("host_id", "day").agg((F.max("ns") / float(NS)).alias("gap_s"))
 
 
-def outside(samples: DataFrame, windows: DataFrame) -> DataFrame:
-    """Samples in no planned window (start_ns, end_ns): windows are a few."""
-    w = F.broadcast(windows.select(F.col("start_ns").alias("_a"), F.col("end_ns").alias("_b")))
-    return samples.join(w, (F.col("at_ns") >= F.col("_a")) & (F.col("at_ns") < F.col("_b")), "left_anti")
-
-
 def sample_gate(samples: DataFrame, windows: DataFrame, interval_s: float) -> DataFrame:
     """(host_id, day, samples, unhealthy, gap_s, passed)."""
     n = samples.groupBy("host_id", "day").agg(F.count("*").alias("samples"))
-    bad = outside(samples.where("status <> 'healthy'"), windows).groupBy("host_id", "day").agg(F.count("*").alias("unhealthy"))
+    bad = outside(samples.where("status <> 'healthy'"), "at_ns", windows).groupBy("host_id", "day").agg(F.count("*").alias("unhealthy"))
     out = n.join(bad, ["host_id", "day"], "left").join(largest_gap(samples, windows), ["host_id", "day"], "left").withColumn("unhealthy", F.coalesce("unhealthy", F.lit(0)))
     return out.withColumn("passed", (F.col("unhealthy") == 0) & F.coalesce(F.col("gap_s") <= 3 * interval_s, F.lit(False)))
 
 
 def backup_gaps(backups: DataFrame, limit_s: float) -> DataFrame:
     """backups (host_id, created_ns) with gap_s to the one before and rpo_met (null for the first)."""
-    w = W.partitionBy("host_id").orderBy("created_ns")
-    gap = (F.col("created_ns") - F.lag("created_ns").over(w)) / float(NS)
-    return backups.withColumn("gap_s", gap).withColumn("rpo_met", F.col("gap_s") <= limit_s)
+    df = scan.with_previous(backups, ("host_id",), ("created_ns",), {"_before": F.col("created_ns")}, DAY_NS)
+    return df.withColumn("gap_s", (F.col("created_ns") - F.col("_before")) / float(NS)).withColumn("rpo_met", F.col("gap_s") <= limit_s).drop("_before")
 
 
 def count_deltas(counts: DataFrame) -> DataFrame:

@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import NS, epoch_us, weekday_name
-from .intervals import BOUNDS, bucket, merge_adjacent, overlapping, positive, segment, stab_join, subtract
+from ..sources.paths import stored
+from .intervals import BOUNDS, DAY_NS, bucket, merge_adjacent, overlapping, positive, segment, stab_join, subtract
 
 STATE = ("availability", "reason_code", "quality_flags")
-#: Width of the time buckets that facts and pieces meet in.
-BUCKET_NS = 3600 * NS
-DAY_NS = 86400 * NS
 
 
 def expand_schedule(collectors: DataFrame, windows: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
@@ -51,27 +49,40 @@ def by_day(df: DataFrame) -> DataFrame:
     return cut.withColumns({"start_ns": F.greatest("start_ns", F.col("day") * DAY_NS), "end_ns": F.least("end_ns", (F.col("day") + 1) * DAY_NS)})
 
 
-def build_coverage(collectors: DataFrame, plans: DataFrame, facts: DataFrame, start_ns: int, end_ns: int, now_ns: int, bucket_ns: int = BUCKET_NS) -> DataFrame:
+def plan_days(plans: DataFrame) -> DataFrame:
+    """plans (see expand_schedule) cut at midnight, with ``plan``, the start of the window that a part belongs to, and ``day``."""
+    return by_day(plans.withColumn("plan", F.col("start_ns")))
+
+
+def build_coverage(collectors: DataFrame, plans: DataFrame, facts: DataFrame, start_ns: int, end_ns: int, now_ns: int) -> DataFrame:
     """(collector_id, start_ns, end_ns, availability, reason_code, quality_flags) for all planned time.
 
     collectors: collector_id, heartbeat_period_ns, allowed_lateness_ns, offline_after_ns; plans as from
     expand_schedule; facts as from coverage_facts, of which those count that overlap the range widened by
-    offline_after before it.  All collectors in one job, and each by days: the last end of evidence of earlier
-    days is carried over as one row a day, and pieces that meet at midnight are merged at the end.
+    offline_after before it.  All collectors in one job, and each by days (see build_days); pieces that meet at
+    midnight are merged at the end.
+    """
+    return met_at_midnight(build_days(collectors, plan_days(plans), facts, start_ns, end_ns, now_ns))
+
+
+def build_days(collectors: DataFrame, windows: DataFrame, facts: DataFrame, start_ns: int, end_ns: int, now_ns: int, carried: DataFrame | None = None) -> DataFrame:
+    """(collector_id, plan, day, start_ns, end_ns, availability, reason_code, quality_flags) of windows (see plan_days).
+
+    carried: (collector_id, day, carried), the last end of evidence before each day; without it, that of the facts,
+    as one row a day.  With it, facts need only be those that reach into the days widened by offline_after before them.
     """
     limits = collectors.select("collector_id", F.col("heartbeat_period_ns").alias("period"), F.col("allowed_lateness_ns").alias("late"), F.col("offline_after_ns").alias("off"))
     facts = facts.join(limits, "collector_id").where((F.col("start_ns") < end_ns) & (F.col("end_ns") > F.lit(start_ns) - F.col("off")))
     waits = lambda t: (t + F.col("period"), t + F.col("period") + F.col("late"), t + F.col("off"))
     day = lambda t: bucket(F.col(t), DAY_NS).alias("day")
-    own = plans.join(limits, "collector_id").select("collector_id", F.explode(F.array(F.lit(now_ns).cast("long"), *waits(F.col("plan_start_ns")))).alias("t"))
+    own = windows.select("collector_id", "plan_start_ns").distinct().join(limits, "collector_id").select("collector_id", F.explode(F.array(F.lit(now_ns).cast("long"), *waits(F.col("plan_start_ns")))).alias("t"))
     cuts = facts.select("collector_id", F.explode(F.array("start_ns", "end_ns", *waits(F.col("end_ns")))).alias("t")).unionByName(own).distinct()
-    windows = by_day(plans.withColumn("plan", F.col("start_ns")))
     key = ("collector_id", "plan", "plan_start_ns", "day")
     inside = cuts.select("collector_id", "t", day("t")).join(windows, ["collector_id", "day"]).where("t > start_ns and t < end_ns").select(*key, "t")
-    pieces = segment(windows.select(*key, F.explode(F.array("start_ns", "end_ns")).alias("t")).unionByName(inside), *key)
+    pieces = stored(segment(windows.select(*key, F.explode(F.array("start_ns", "end_ns")).alias("t")).unionByName(inside), *key), "pieces")  # read three times
 
     # evidence on each piece: the winner is the fact of highest priority, then of least id; flags add up
-    hit = stab_join(pieces.select("collector_id", *BOUNDS), facts.drop("period", "late", "off"), "collector_id", bucket_ns)
+    hit = stab_join(pieces.select("collector_id", *BOUNDS), facts.drop("period", "late", "off"), "collector_id")
     rank = F.struct(-F.col("f_priority"), "f_stable_id")
     won = hit.groupBy("collector_id", *BOUNDS).agg(F.min_by(F.struct(F.col("f_availability").alias("availability"), F.col("f_reason_code").alias("reason_code")), rank).alias("won"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("f_quality_flags")))).alias("flags"))
 
@@ -82,9 +93,10 @@ def build_coverage(collectors: DataFrame, plans: DataFrame, facts: DataFrame, st
     none = F.lit(None).cast("long")
     both = ends.select("*", F.lit(0).alias("kind"), F.col("t").alias("last")).unionByName(starts.select("*", F.lit(1).alias("kind"), none.alias("last")))
     both = both.withColumn("last", F.max("last").over(before)).where("kind = 1").select("collector_id", "day", F.col("t").alias("start_ns"), "last")
-    days = ends.select("collector_id", "day", "t").unionByName(starts.select("collector_id", "day", none.alias("t"))).groupBy("collector_id", "day").agg(F.max("t").alias("t"))
-    carried = days.select("collector_id", "day", F.max("t").over(W.partitionBy("collector_id").orderBy("day").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
-    last = both.join(carried, ["collector_id", "day"]).select("collector_id", "start_ns", F.coalesce("last", "carried").alias("last"))
+    if carried is None:
+        days = ends.select("collector_id", "day", "t").unionByName(starts.select("collector_id", "day", none.alias("t"))).groupBy("collector_id", "day").agg(F.max("t").alias("t"))
+        carried = days.select("collector_id", "day", F.max("t").over(W.partitionBy("collector_id").orderBy("day").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
+    last = both.join(carried, ["collector_id", "day"], "left").select("collector_id", "start_ns", F.coalesce("last", "carried").alias("last"))
 
     out = pieces.join(won, ["collector_id", *BOUNDS], "left").join(last, ["collector_id", "start_ns"], "left").join(limits, "collector_id")
     ref = F.coalesce("last", "plan_start_ns")
@@ -97,11 +109,15 @@ def build_coverage(collectors: DataFrame, plans: DataFrame, facts: DataFrame, st
         .otherwise(_state("offline", "HEARTBEAT_OFFLINE"))
     )
     out = out.withColumn("state", ladder).select("collector_id", "plan", "day", *BOUNDS, "state.availability", "state.reason_code", F.coalesce("flags", F.array().cast("array<string>")).alias("quality_flags"))
-    out = merge_adjacent(out, ("collector_id", "plan", "day"), STATE)
-    midnight = (F.col("start_ns") % DAY_NS == 0) | (F.col("end_ns") % DAY_NS == 0)
-    met = merge_adjacent(out.where(midnight), ("collector_id", "plan"), STATE)  # two rows a day at most
+    return merge_adjacent(out, ("collector_id", "plan", "day"), STATE)
+
+
+def met_at_midnight(days: DataFrame) -> DataFrame:
+    """Coverage (collector_id, start_ns, end_ns, STATE) from that of days: parts of a window that agree across midnight are one."""
     columns = ["collector_id", *BOUNDS, *STATE]
-    return out.where(~midnight).select(columns).unionByName(met.select(columns))
+    midnight = (F.col("start_ns") % DAY_NS == 0) | (F.col("end_ns") % DAY_NS == 0)
+    met = merge_adjacent(days.where(midnight), ("collector_id", "plan"), STATE)  # two rows a day at most
+    return days.where(~midnight).select(columns).unionByName(met.select(columns))
 
 
 def rebuild(collectors: DataFrame, plans: DataFrame, facts: DataFrame, old: DataFrame, start_ns: int, end_ns: int, now_ns: int) -> tuple[DataFrame, DataFrame]:
@@ -160,5 +176,5 @@ def affected_days(new_facts: DataFrame, collectors: DataFrame) -> DataFrame:
 
 def expected_seconds(plans: DataFrame, exclusions: DataFrame, *by: str) -> DataFrame:
     """(collector_id, expected_s): planned seconds without exclusion windows."""
-    left = subtract(plans, exclusions, "collector_id")
+    left = subtract(plans, exclusions)
     return left.groupBy("collector_id", *by).agg((F.sum(F.col("end_ns") - F.col("start_ns")) / float(NS)).alias("expected_s"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import scan
+
 
 def latest(df: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
     """The row of each key with the largest ``order``: an aggregate, combined before the shuffle."""
@@ -39,36 +41,34 @@ def chained_key(df: DataFrame, key: str, order: str, id_: str = "id") -> DataFra
     return df.withColumn("event_key", F.sha2(F.concat(F.col(key).cast("string"), F.lit("\0"), before.cast("string")), 256))
 
 
-def mode_transitions(df: DataFrame, keys: tuple[str, ...], order: str, mode: str = "mode") -> DataFrame:
-    """Rows whose mode differs from the one before (unknown at first), with old_mode."""
-    old = F.coalesce(F.lag(mode).over(W.partitionBy(*keys).orderBy(order)), F.lit("unknown"))
-    return df.withColumn("old_mode", old).where(F.col(mode) != F.col("old_mode"))
+def mode_transitions(df: DataFrame, keys: tuple[str, ...], order: str, mode: str = "mode", width: int = scan.IDS) -> DataFrame:
+    """Rows whose mode differs from the one before (unknown at first), with old_mode; a key's log goes in pieces of ``width`` of its order."""
+    df = scan.with_previous(df, keys, (order,), {"old_mode": F.col(mode)}, width)
+    return df.withColumn("old_mode", F.coalesce("old_mode", F.lit("unknown"))).where(F.col(mode) != F.col("old_mode"))
 
 
-def fault_edges(df: DataFrame, keys: tuple[str, ...], order: str, down: Column, code: str) -> DataFrame:
+def fault_edges(df: DataFrame, keys: tuple[str, ...], order: str, down: Column, code: str, width: int = scan.IDS) -> DataFrame:
     """Rows on which a fault begins or changes its code (degraded) or ends (recovered), as ``edge``."""
-    w = W.partitionBy(*keys).orderBy(order)
-    df = df.withColumn("_down", down)
-    was, old = F.coalesce(F.lag("_down").over(w), F.lit(False)), F.lag(code).over(w)
-    edge = F.when(F.col("_down") & (~was | ~old.eqNullSafe(F.col(code))), "degraded").when(~F.col("_down") & was, "recovered")
-    return df.withColumn("edge", edge).where(F.col("edge").isNotNull()).drop("_down")
+    df = scan.with_previous(df.withColumn("_down", down), keys, (order,), {"_was": F.col("_down"), "_old": F.col(code)}, width)
+    was = F.coalesce("_was", F.lit(False))
+    edge = F.when(F.col("_down") & (~was | ~F.col("_old").eqNullSafe(F.col(code))), "degraded").when(~F.col("_down") & was, "recovered")
+    return df.withColumn("edge", edge).where(F.col("edge").isNotNull()).drop("_down", "_was", "_old")
 
 
 def disk_level(free: Column, warning: float, critical: float, reserve: float) -> Column:
     return F.when(free <= reserve, "reserve").when(free <= critical, "critical").when(free <= warning, "warning").otherwise("normal")
 
 
-def level_changes(df: DataFrame, keys: tuple[str, ...], order: str, level: str = "level") -> DataFrame:
+def level_changes(df: DataFrame, keys: tuple[str, ...], order: str, level: str = "level", width: int = scan.IDS) -> DataFrame:
     """Rows whose level differs from the one before (normal at first), with severity."""
-    old = F.coalesce(F.lag(level).over(W.partitionBy(*keys).orderBy(order)), F.lit("normal"))
+    df = scan.with_previous(df, keys, (order,), {"old_level": F.col(level)}, width).withColumn("old_level", F.coalesce("old_level", F.lit("normal")))
     severity = F.when(F.col(level) == "normal", "info").when(F.col(level) == "warning", "warning").otherwise("critical")
-    return df.withColumn("old_level", old).where(F.col(level) != F.col("old_level")).withColumn("severity", severity)
+    return df.where(F.col(level) != F.col("old_level")).withColumn("severity", severity)
 
 
 def bursts(df: DataFrame, keys: tuple[str, ...], seconds: str, window_s: int = 600, n: int = 5) -> DataFrame:
     """Rows with at least n rows of the same keys in the window_s seconds up to them, with that number as ``recent``."""
-    w = W.partitionBy(*keys).orderBy(seconds).rangeBetween(-window_s, 0)
-    return df.withColumn("recent", F.count("*").over(w)).where(F.col("recent") >= n)
+    return scan.windowed_count(df, keys, seconds, window_s, "recent", max(86400, window_s)).where(F.col("recent") >= n)
 
 
 def top_recent(df: DataFrame, order: str, n: int = 20) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, reconcile
+from ..operators import audit, intervals, reconcile
 from ..sources import readers
 from ..sources.paths import work_dir
 from .adapters import DAY, T0, frame, sql
@@ -136,7 +136,7 @@ ENTRIES = {
     "w6_cpu_percent": (lambda s, d: audit.cpu_percent(_samples(s, d)).select("id", F.round("cpu_percent", 6).alias("cpu_percent")), sql("SELECT id, round(CASE WHEN lag(pid) OVER o = pid AND at_ns > lag(at_ns) OVER o THEN greatest(0, 100 * (cpu_s - lag(cpu_s) OVER o) / ((at_ns - lag(at_ns) OVER o) / 1e9)) END, 6) AS cpu_percent FROM samples WINDOW o AS (PARTITION BY host_id ORDER BY at_ns, id)", "samples")),
     "w7_largest_gap": (lambda s, d: audit.largest_gap(_samples(s, d), frame(s, d, "exclusions")).withColumn("gap_s", F.round("gap_s", 6)), sql(GAP + "SELECT host_id, day, round(gap_s, 6) AS gap_s FROM ga", "samples", "exclusions")),
     "w9_backup_gaps": (lambda s, d: audit.backup_gaps(_backups(s, d), 86700).select("created_ns", F.round("gap_s", 6).alias("gap_s"), "rpo_met"), sql("WITH b AS (SELECT at_ns AS created_ns, (at_ns - lag(at_ns) OVER (PARTITION BY host_id ORDER BY at_ns)) / 1e9 AS g FROM samples WHERE id % 37 = 5) SELECT created_ns, round(g, 6) AS gap_s, g <= 86700 AS rpo_met FROM b", "samples")),
-    "j8_outside_windows": (lambda s, d: audit.outside(_samples(s, d), frame(s, d, "exclusions")).select("id"), sql("SELECT id FROM samples WHERE NOT EXISTS (SELECT 1 FROM exclusions x WHERE x.start_ns <= at_ns AND at_ns < x.end_ns)", "samples", "exclusions")),
+    "j8_outside_windows": (lambda s, d: intervals.outside(_samples(s, d), "at_ns", frame(s, d, "exclusions")).select("id"), sql("SELECT id FROM samples WHERE NOT EXISTS (SELECT 1 FROM exclusions x WHERE x.start_ns <= at_ns AND at_ns < x.end_ns)", "samples", "exclusions")),
     "j10_count_deltas": (lambda s, d: audit.count_deltas(_counts(s, d)), sql("WITH c AS (SELECT day, host_id AS table_name, count(*) AS n FROM samples GROUP BY 1, 2) SELECT a.day, a.table_name, a.n - b.n AS delta, a.n >= b.n AS passed FROM c a JOIN c b ON a.day = b.day + 1 AND a.table_name = b.table_name", "samples")),
     "q2_resource_gate": (lambda s, d: audit.resource_gate(_peaks(s, d), LIMITS, FLOORS), sql(PEAK + f" SELECT host_id, day, {RES_GATE} AS passed FROM pk", "samples")),
     "q3_sample_gate": (lambda s, d: audit.sample_gate(_samples(s, d), frame(s, d, "exclusions"), 7200).withColumn("gap_s", F.round("gap_s", 6)), sql(GAP + HEALTH + "SELECT host_id, day, samples, unhealthy, round(gap_s, 6) AS gap_s, passed FROM sg", "samples", "exclusions")),

@@ -1,4 +1,4 @@
-"""Queries of schedules, coverage and its gates: five collectors over five days of January 2024."""
+"""Queries of schedules, coverage and its gates: all collectors of the events over all their days."""
 
 from __future__ import annotations
 
@@ -6,39 +6,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, coverage, intervals, timeline
+from ..operators.publication import Publication
 from ..sources import sinks
 from ..sources.paths import stored, work_dir
 from .adapters import DAY, T0, frame, sql
 
 C = F.col
 HOUR = DAY // 24
-START, END = T0 + 9 * DAY, T0 + 14 * DAY
-NOW = T0 + 13 * DAY + 12 * HOUR
+START, END = T0, T0 + 31 * DAY
+NOW = T0 + 29 * DAY + 7 * HOUR
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 
 
-def _windows(s: SparkSession, d: str, fleet: str = "collectors") -> DataFrame:
+def _windows(c: DataFrame) -> DataFrame:
     """All day for activity collectors, two windows on working days for media."""
-    c = frame(s, d, fleet)
     days = c.select("collector_id", "kind", F.posexplode(F.array(*(F.lit(x) for x in DAYS))).alias("n", "day"))
     all_day = days.where("kind = 'activity'").select("collector_id", "day", F.lit(0).alias("start_minute"), F.lit(1440).alias("end_minute"))
     work = days.where("kind = 'media' and n < 5").select("collector_id", "day", F.explode(F.array(F.struct(F.lit(480).alias("a"), F.lit(1080).alias("b")), F.struct(F.lit(1200).alias("a"), F.lit(1320).alias("b")))).alias("w"))
     return all_day.unionByName(work.select("collector_id", "day", C("w.a").alias("start_minute"), C("w.b").alias("end_minute")))
 
 
-def _plans(s: SparkSession, d: str) -> DataFrame:
-    return coverage.expand_schedule(frame(s, d, "collectors"), _windows(s, d), START, END)
+def _fleet(s: SparkSession, d: str) -> DataFrame:
+    """The collectors, stored: they are found in all events."""
+    return stored(frame(s, d, "fleet"), "fleet")
 
 
-def _facts(s: SparkSession, d: str) -> DataFrame:
+def _plans(c: DataFrame) -> DataFrame:
+    return coverage.expand_schedule(c, _windows(c), START, END)
+
+
+def _facts(s: SparkSession, d: str, c: DataFrame) -> DataFrame:
     t = timeline.build_timeline(frame(s, d, "raw"), frame(s, d, "hb"), frame(s, d, "media"))
-    return timeline.coverage_facts(t).join(frame(s, d, "collectors").select("collector_id"), "collector_id", "left_semi")
+    return timeline.coverage_facts(t).join(c.select("collector_id"), "collector_id", "left_semi")
+
+
+def _whole(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Collectors, plans and facts (with projection_id), stored as any timeline projection is: all are read several times."""
+    c = _fleet(s, d)
+    facts = _facts(s, d, c).withColumn("projection_id", F.split_part("stable_id", F.lit(":"), F.lit(2)).cast("long"))
+    return c, stored(_plans(c), "plans"), stored(facts, "facts")
 
 
-def _coverage(s: SparkSession, d: str) -> DataFrame:
-    """Facts and plans are read several times, so they are tables first, as any timeline projection is."""
-    facts, plans = stored(_facts(s, d), "facts"), stored(_plans(s, d), "plans")
-    return stored(coverage.build_coverage(frame(s, d, "collectors"), plans, facts, START, END, NOW), "coverage")
+def _coverage(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Coverage, stored, with the collectors and plans that it is of."""
+    c, plans, facts = _whole(s, d)
+    return stored(coverage.build_coverage(c, plans, facts.drop("projection_id"), START, END, NOW), "coverage"), c, plans
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -75,14 +87,14 @@ cov AS (SELECT collector_id, min(s) AS start_ns, max(e) AS end_ns, any_value(av)
 """
 
 
-CTE = _cte(START, END, NOW, [0, 1, 2], "collectors")
-_ALL = ("raw", "hb", "media", "collectors", "exclusions")
+CTE = _cte(START, END, NOW, [k for k in range(31) if k % 7 < 5], "fleet")
+_ALL = ("raw", "hb", "media", "fleet", "exclusions")
 # what is left of an interval (s, e) without the exclusion windows: between the windows' ends and starts
 FREE = """, xw AS (SELECT start_ns AS a, end_ns AS b FROM exclusions), fe AS (SELECT b AS a, lead(a, 1, 4611686018427387904) OVER (ORDER BY a) AS b FROM xw UNION ALL SELECT -4611686018427387904, min(a) FROM xw)
 """
 LEFT = """, lf AS (SELECT cov.collector_id, greatest(start_ns, a) AS s, least(end_ns, b) AS e, availability AS av, quality_flags AS fg FROM cov JOIN fe ON start_ns < b AND end_ns > a)
 """
-SEC = """, us AS (SELECT lf.*, (e - s) / 1e9 AS sec, kind, NOT (contains(fg, 'corrupt') OR contains(fg, 'incomplete') OR kind = 'media' AND contains(fg, 'obscured')) AND (av = 'covered' OR av = 'confirmed_idle' AND kind = 'activity') AS ok FROM lf JOIN collectors USING (collector_id)),
+SEC = """, us AS (SELECT lf.*, (e - s) / 1e9 AS sec, kind, NOT (contains(fg, 'corrupt') OR contains(fg, 'incomplete') OR kind = 'media' AND contains(fg, 'obscured')) AND (av = 'covered' OR av = 'confirmed_idle' AND kind = 'activity') AS ok FROM lf JOIN fleet USING (collector_id)),
 av AS (SELECT collector_id, """ + ", ".join(f"sum(CASE WHEN av = '{k}' THEN sec ELSE 0 END) AS {k}_s" for k in ("covered", "confirmed_idle", "pending", "unknown", "delayed", "offline")) + """, sum(sec) AS total_s, sum(CASE WHEN ok THEN sec ELSE 0 END) AS usable_s, sum(CASE WHEN ok THEN sec ELSE 0 END) / sum(sec) AS ratio FROM us GROUP BY 1)
 """
 RUN = """, rb AS (SELECT *, av IN ('offline', 'unknown') AS bad FROM lf), rn AS (SELECT *, CASE WHEN bad AND lag(e) OVER o = s AND lag(bad) OVER o THEN 0 ELSE 1 END AS nw FROM rb WINDOW o AS (PARTITION BY collector_id ORDER BY s)),
@@ -92,8 +104,9 @@ EXP = """, ex AS (SELECT collector_id, sum(least(e, b) - greatest(s, a)) / 1e9 A
 """
 
 
-def _left(s: SparkSession, d: str) -> DataFrame:
-    return intervals.subtract(_coverage(s, d), frame(s, d, "exclusions"), "collector_id")
+def _left(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    cov, c, _ = _coverage(s, d)
+    return stored(intervals.subtract(cov, frame(s, d, "exclusions")), "left"), c
 
 
 def _round(df: DataFrame, *names: str) -> DataFrame:
@@ -101,13 +114,13 @@ def _round(df: DataFrame, *names: str) -> DataFrame:
 
 
 def _gate(s: SparkSession, d: str) -> DataFrame:
-    c = frame(s, d, "collectors")
+    cov, c, plans = _coverage(s, d)
     states = c.select("collector_id", F.when(C("collector_id") == "c2", "stale").otherwise("fresh").alias("state"))
-    return _round(audit.coverage_gate(_coverage(s, d), c, coverage.expected_seconds(_plans(s, d), frame(s, d, "exclusions")), states, frame(s, d, "exclusions")), "planned_s", "classified_s", "ratio", "longest_bad_s")
+    return _round(audit.coverage_gate(cov, c, coverage.expected_seconds(plans, frame(s, d, "exclusions")), states, frame(s, d, "exclusions")), "planned_s", "classified_s", "ratio", "longest_bad_s")
 
 
 def _stale(s: SparkSession, d: str) -> DataFrame:
-    c = frame(s, d, "collectors").withColumn("timezone", F.when(C("collector_id") == "c1", "Missing/Timezone").otherwise(C("timezone")))
+    c = _fleet(s, d).withColumn("timezone", F.when(C("collector_id") == "c1", "Missing/Timezone").otherwise(C("timezone")))
     good, bad = coverage.split_stale(c)
     old = c.select("collector_id", F.lit(4).cast("long").alias("generation")).where("collector_id <> 'c3'")
     marks = frame(s, d, "raw").select("collector_id", C("id").alias("projection_id"))
@@ -126,69 +139,72 @@ def _published(s: SparkSession, d: str) -> DataFrame:
     return sinks.published(s, path).groupBy("collector_id", C("generation").cast("long").alias("generation")).agg(F.count("*").alias("n"))
 
 
+LATE = "stable_id LIKE 'heartbeat:%7'"
+
+
 def _late(s: SparkSession, d: str) -> DataFrame:
-    """Coverage without some facts, then rebuilt: the difference is within the days that those facts can change."""
-    days = coverage.affected_days(_facts(s, d).where("stable_id like 'heartbeat:%7'"), frame(s, d, "collectors"))
-    return days
+    """The days whose coverage some heartbeats can change."""
+    c = _fleet(s, d)
+    return coverage.affected_days(_facts(s, d, c).where(LATE), c)
 
 
 def _stabbed(facts: DataFrame) -> DataFrame:
     """Facts that cover the first second of an activity interval."""
     seconds = facts.where("priority = 20").select("collector_id", "start_ns", (C("start_ns") + 10**9).alias("end_ns")).distinct()
-    return intervals.stab_join(seconds, facts.where("priority = 30"), "collector_id", HOUR).select("collector_id", "start_ns", "end_ns", C("f_stable_id").alias("stable_id"))
+    return intervals.stab_join(seconds, facts.where("priority = 30"), "collector_id").select("collector_id", "start_ns", "end_ns", C("f_stable_id").alias("stable_id"))
 
 
-# all collectors of the events, over all their days
-ALL_START, ALL_END = T0, T0 + 31 * DAY
-ALL_NOW = T0 + 29 * DAY + 7 * HOUR
-ALL_CTE = _cte(ALL_START, ALL_END, ALL_NOW, [k for k in range(31) if k % 7 < 5], "fleet")
-_FLEET = ("raw", "hb", "media", "fleet", "exclusions")
-LATE_KEY = "sid LIKE 'heartbeat:%7'"
 BY_DAY = f"""SELECT collector_id, greatest(start_ns, k * {DAY}) AS start_ns, least(end_ns, (k + 1) * {DAY}) AS end_ns, availability, reason_code, quality_flags
 FROM (SELECT *, unnest(range(start_ns // {DAY}, (end_ns - 1) // {DAY} + 1)) AS k FROM cov) AS x"""
-
-
-def _whole(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Collectors, plans and facts (with projection_id) of the whole fleet, the last two stored."""
-    c = frame(s, d, "fleet")
-    t = timeline.build_timeline(frame(s, d, "raw"), frame(s, d, "hb"), frame(s, d, "media"))
-    facts = timeline.coverage_facts(t).join(c.select("collector_id"), "collector_id", "left_semi").withColumn("projection_id", F.split_part("stable_id", F.lit(":"), F.lit(2)).cast("long"))
-    return c, stored(coverage.expand_schedule(c, _windows(s, d, "fleet"), ALL_START, ALL_END), "plans"), stored(facts, "facts")
+AFFECTED = f"SELECT DISTINCT collector_id, unnest(range(CAST(floor(s / {DAY}) AS BIGINT), CAST(floor((e + off) / {DAY}) AS BIGINT) + 1)) AS day FROM f JOIN lim USING (collector_id) WHERE sid LIKE 'heartbeat:%7'"
 
 
 def _rebuilt(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c, plans, facts = _whole(s, d)
     old = c.where("collector_id <> 'c3'").select("collector_id", F.lit(4).cast("long").alias("generation"))
-    return coverage.rebuild(c, plans, facts, old, ALL_START, ALL_END, ALL_NOW)
+    return coverage.rebuild(c, plans, facts, old, START, END, NOW)
 
 
 def _repaired(s: SparkSession, d: str) -> DataFrame:
     """Coverage without some heartbeats, then those days built anew that they can change."""
     c, plans, facts = _whole(s, d)
-    late = C("stable_id").like("heartbeat:%7")
-    old = stored(coverage.by_day(coverage.build_coverage(c, plans, facts.where(~late), ALL_START, ALL_END, ALL_NOW)), "early")
-    return _flat(coverage.repaired(c, plans, facts, facts.where(late), old, ALL_START, ALL_END, ALL_NOW).drop("day"))
+    old = stored(coverage.by_day(coverage.build_coverage(c, plans, facts.where(f"NOT {LATE}"), START, END, NOW)), "early")
+    return _flat(coverage.repaired(c, plans, facts, facts.where(LATE), old, START, END, NOW).drop("day"))
+
+
+def _publication(s: SparkSession, d: str) -> Publication:
+    """Coverage published by day without some heartbeats, which then come and have their days published again."""
+    c, plans, facts = _whole(s, d)
+    own = Publication(s, work_dir(s, "publication"), c, plans, START, END)
+    own.add(facts.where(f"NOT {LATE}"), 0)
+    own.publish(0, NOW, own.windows)
+    own.add(facts.where(LATE), 1)
+    own.publish(1, NOW)
+    return own
 
 
 ENTRIES = {
-    "c3_subtract": (lambda s, d: intervals.subtract(frame(s, d, "hb").select("id", C("device_start_ns").alias("start_ns"), C("device_end_ns").alias("end_ns")), frame(s, d, "exclusions"), "id"), sql("WITH " + FREE[2:] + "SELECT id, greatest(device_start_ns, a) AS start_ns, least(device_end_ns, b) AS end_ns FROM hb JOIN fe ON device_start_ns < b AND device_end_ns > a", "hb", "exclusions")),
-    "c4_schedule": (_plans, sql(CTE + "SELECT collector_id, ps AS plan_start_ns, s AS start_ns, e AS end_ns FROM plans", *_ALL)),
-    "c5_c6_c7_c8_c10_coverage": (lambda s, d: _flat(_coverage(s, d)), sql(CTE + "SELECT * FROM cov", *_ALL)),
-    "c11_stale_collectors": (_stale, sql("SELECT collector_id, CASE collector_id WHEN 'c1' THEN 4 WHEN 'c3' THEN 1 ELSE 5 END AS generation, CASE WHEN collector_id = 'c1' THEN 'stale' ELSE 'fresh' END AS state, CASE WHEN collector_id = 'c1' THEN 'COVERAGE_TIMEZONE_INVALID' END AS error_code, CASE WHEN collector_id = 'c1' THEN 0 ELSE (SELECT max(id) FROM raw WHERE raw.collector_id = collectors.collector_id) END AS watermark FROM collectors", "raw", "collectors")),
-    "c12_expected_seconds": (lambda s, d: _round(coverage.expected_seconds(_plans(s, d), frame(s, d, "exclusions")), "expected_s"), sql(CTE + FREE + EXP + "SELECT collector_id, round(expected_s, 6) AS expected_s FROM ex", *_ALL)),
-    "j7_stab_join": (lambda s, d: _stabbed(stored(_facts(s, d), "facts")), sql(CTE + "SELECT DISTINCT a.collector_id, a.s AS start_ns, a.s + 1000000000 AS end_ns, b.sid AS stable_id FROM f a JOIN f b ON a.collector_id = b.collector_id AND a.pr = 20 AND b.pr = 30 AND b.s <= a.s AND b.e >= a.s + 1000000000", *_ALL)),
-    "l6_winners": (lambda s, d: _facts(s, d).groupBy("collector_id", F.floor((C("start_ns") - T0) / DAY).alias("day")).agg(F.min_by("stable_id", F.struct(-C("priority"), "stable_id")).alias("winner")), sql(CTE + f"SELECT collector_id, CAST(floor((s - {T0}) / {DAY}) AS BIGINT) AS day, arg_min(sid, (-pr, sid)) AS winner FROM f GROUP BY 1, 2", *_ALL)),
+    "c3_subtract": (lambda s, d: intervals.subtract(frame(s, d, "hb").select("id", C("device_start_ns").alias("start_ns"), C("device_end_ns").alias("end_ns")), frame(s, d, "exclusions")), sql("WITH " + FREE[2:] + "SELECT id, greatest(device_start_ns, a) AS start_ns, least(device_end_ns, b) AS end_ns FROM hb JOIN fe ON device_start_ns < b AND device_end_ns > a", "hb", "exclusions")),
+    "c4_schedule": (lambda s, d: _plans(_fleet(s, d)), sql(CTE + "SELECT collector_id, ps AS plan_start_ns, s AS start_ns, e AS end_ns FROM plans", *_ALL)),
+    "c5_c6_c7_c8_c10_coverage": (lambda s, d: _flat(_coverage(s, d)[0]), sql(CTE + "SELECT * FROM cov", *_ALL)),
+    "c11_stale_collectors": (_stale, sql("SELECT collector_id, CASE collector_id WHEN 'c1' THEN 4 WHEN 'c3' THEN 1 ELSE 5 END AS generation, CASE WHEN collector_id = 'c1' THEN 'stale' ELSE 'fresh' END AS state, CASE WHEN collector_id = 'c1' THEN 'COVERAGE_TIMEZONE_INVALID' END AS error_code, CASE WHEN collector_id = 'c1' THEN 0 ELSE (SELECT max(id) FROM raw WHERE raw.collector_id = fleet.collector_id) END AS watermark FROM fleet", "raw", "fleet")),
+    "c12_expected_seconds": (lambda s, d: _round(coverage.expected_seconds(stored(_plans(_fleet(s, d)), "plans"), frame(s, d, "exclusions")), "expected_s"), sql(CTE + FREE + EXP + "SELECT collector_id, round(expected_s, 6) AS expected_s FROM ex", *_ALL)),
+    "j7_stab_join": (lambda s, d: _stabbed(stored(_facts(s, d, _fleet(s, d)), "facts")), sql(CTE + "SELECT DISTINCT a.collector_id, a.s AS start_ns, a.s + 1000000000 AS end_ns, b.sid AS stable_id FROM f a JOIN f b ON a.collector_id = b.collector_id AND a.pr = 20 AND b.pr = 30 AND b.s <= a.s AND b.e >= a.s + 1000000000", *_ALL)),
+    "l6_winners": (lambda s, d: _facts(s, d, _fleet(s, d)).groupBy("collector_id", F.floor((C("start_ns") - T0) / DAY).alias("day")).agg(F.min_by("stable_id", F.struct(-C("priority"), "stable_id")).alias("winner")), sql(CTE + f"SELECT collector_id, CAST(floor((s - {T0}) / {DAY}) AS BIGINT) AS day, arg_min(sid, (-pr, sid)) AS winner FROM f GROUP BY 1, 2", *_ALL)),
     "s8_published_generation": (_published, sql("SELECT collector_id, CASE WHEN collector_id < 'c4' THEN 2 ELSE 1 END AS generation, count(*) FILTER (WHERE collector_id < 'c4' OR id % 2 = 0) AS n FROM hb WHERE collector_id <> 'c0' GROUP BY 1", "hb")),
-    "t7_affected_days": (_late, sql(CTE + f"SELECT DISTINCT collector_id, unnest(range(CAST(floor(s / {DAY}) AS BIGINT), CAST(floor((e + off) / {DAY}) AS BIGINT) + 1)) AS day FROM f JOIN lim USING (collector_id) WHERE sid LIKE 'heartbeat:%7'", *_ALL)),
+    "t7_affected_days": (_late, sql(CTE + AFFECTED, *_ALL)),
     "q8_overlaps": (lambda s, d: intervals.overlaps(frame(s, d, "hb").select("collector_id", "id", C("device_start_ns").alias("start_ns"), C("device_end_ns").alias("end_ns")), "collector_id").select("id", "next_start_ns"), sql("SELECT id, nx AS next_start_ns FROM (SELECT *, lead(device_start_ns) OVER (PARTITION BY collector_id ORDER BY device_start_ns, device_end_ns) AS nx FROM hb) AS x WHERE nx < device_end_ns", "hb")),
-    "q8_coverage_has_no_overlap": (lambda s, d: intervals.overlaps(_coverage(s, d), "collector_id").agg(F.count("*").alias("n")), sql("SELECT count(*) AS n FROM collectors WHERE false", "collectors")),
-    "w8_longest_bad_run": (lambda s, d: intervals.longest_run(_left(s, d), "collector_id", C("availability").isin("offline", "unknown")), sql(CTE + FREE + LEFT + RUN + "SELECT collector_id, longest_ns FROM rr", *_ALL)),
-    "a16_availability": (lambda s, d: _round(audit.availability_seconds(_left(s, d), frame(s, d, "collectors")), "covered_s", "confirmed_idle_s", "pending_s", "unknown_s", "delayed_s", "offline_s", "total_s", "usable_s", "ratio"), sql(CTE + FREE + LEFT + SEC + "SELECT collector_id, " + ", ".join(f"round({k}, 6) AS {k}" for k in ("covered_s", "confirmed_idle_s", "pending_s", "unknown_s", "delayed_s", "offline_s", "total_s", "usable_s", "ratio")) + " FROM av", *_ALL)),
+    "q8_coverage_has_no_overlap": (lambda s, d: intervals.overlaps(_coverage(s, d)[0], "collector_id").agg(F.count("*").alias("n")), sql(CTE + "SELECT count(*) FILTER (WHERE nx < end_ns) AS n FROM (SELECT end_ns, lead(start_ns) OVER (PARTITION BY collector_id ORDER BY start_ns, end_ns) AS nx FROM cov) AS x", *_ALL)),
+    "w8_longest_bad_run": (lambda s, d: intervals.longest_run(_left(s, d)[0], "collector_id", C("availability").isin("offline", "unknown")), sql(CTE + FREE + LEFT + RUN + "SELECT collector_id, longest_ns FROM rr", *_ALL)),
+    "a16_availability": (lambda s, d: _round(audit.availability_seconds(*_left(s, d)), "covered_s", "confirmed_idle_s", "pending_s", "unknown_s", "delayed_s", "offline_s", "total_s", "usable_s", "ratio"), sql(CTE + FREE + LEFT + SEC + "SELECT collector_id, " + ", ".join(f"round({k}, 6) AS {k}" for k in ("covered_s", "confirmed_idle_s", "pending_s", "unknown_s", "delayed_s", "offline_s", "total_s", "usable_s", "ratio")) + " FROM av", *_ALL)),
     "q1_coverage_gate": (_gate, sql(CTE + FREE + LEFT + SEC + RUN + EXP + """SELECT ex.collector_id, round(expected_s, 6) AS planned_s, round(coalesce(total_s, 0), 6) AS classified_s, round(ratio, 6) AS ratio, round(coalesce(longest_ns, 0) / 1e9, 6) AS longest_bad_s,
         coalesce(expected_s > 0 AND abs(coalesce(total_s, 0) - expected_s) <= 0.001 AND ratio >= 0.99 AND coalesce(longest_ns, 0) / 1e9 <= CASE WHEN kind = 'media' THEN 900 ELSE 300 END AND ex.collector_id <> 'c2', false) AS passed
-        FROM ex LEFT JOIN av USING (collector_id) LEFT JOIN rr USING (collector_id) JOIN collectors USING (collector_id)""", *_ALL)),
-    # over all collectors and days
-    "c10_rebuilt_all": (lambda s, d: _flat(_rebuilt(s, d)[0]), sql(ALL_CTE + "SELECT cov.*, CASE WHEN collector_id = 'c3' THEN 1 ELSE 5 END AS generation FROM cov", *_FLEET)),
-    "c10_states_all": (lambda s, d: _rebuilt(s, d)[1], sql(ALL_CTE + f"SELECT collector_id, {ALL_START} AS start_ns, {ALL_END} AS end_ns, CASE WHEN collector_id = 'c3' THEN 1 ELSE 5 END AS generation, 'fresh' AS state, coalesce((SELECT max(CAST(split_part(sid, ':', 2) AS BIGINT)) FROM fr WHERE fr.collector_id = fleet.collector_id), 0) AS watermark FROM fleet", *_FLEET)),
-    "t7_repaired_all": (_repaired, sql(ALL_CTE + BY_DAY, *_FLEET)),
+        FROM ex LEFT JOIN av USING (collector_id) LEFT JOIN rr USING (collector_id) JOIN fleet USING (collector_id)""", *_ALL)),
+    # kept up as facts come
+    "c10_rebuilt_all": (lambda s, d: _flat(_rebuilt(s, d)[0]), sql(CTE + "SELECT cov.*, CASE WHEN collector_id = 'c3' THEN 1 ELSE 5 END AS generation FROM cov", *_ALL)),
+    "c10_states_all": (lambda s, d: _rebuilt(s, d)[1], sql(CTE + f"SELECT collector_id, {START} AS start_ns, {END} AS end_ns, CASE WHEN collector_id = 'c3' THEN 1 ELSE 5 END AS generation, 'fresh' AS state, coalesce((SELECT max(CAST(split_part(sid, ':', 2) AS BIGINT)) FROM fr WHERE fr.collector_id = fleet.collector_id), 0) AS watermark FROM fleet", *_ALL)),
+    "t7_published_days": (lambda s, d: _flat(_publication(s, d).coverage()), sql(CTE + "SELECT * FROM cov", *_ALL)),
+    "t7_published_states": (lambda s, d: _publication(s, d).states().select("collector_id", "day", "generation"), sql(CTE + f""", pd AS (SELECT DISTINCT collector_id, unnest(range(s // {DAY}, (e - 1) // {DAY} + 1)) AS day FROM plans), ad AS ({AFFECTED})
+        SELECT pd.collector_id, pd.day, CASE WHEN ad.day IS NULL THEN 1 ELSE 2 END AS generation FROM pd LEFT JOIN ad ON pd.collector_id = ad.collector_id AND pd.day = ad.day""", *_ALL)),
+    "t7_repaired_all": (_repaired, sql(CTE + BY_DAY, *_ALL)),
 }

@@ -28,3 +28,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = work_dir(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def table_at(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that may not be there yet, then it is empty.  Only Spark's readers look."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)

@@ -11,14 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.activity import advance_checkpoint
-
-
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table that may not be there yet.  Only Spark's readers look."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+from ..sources.paths import table_at
 
 
 @contextmanager
@@ -108,7 +101,7 @@ def checkpointed(stream: DataFrame, path: str, checkpoint: str):
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        old = _read(spark, path, f"{schema}, batch long")
+        old = table_at(spark, path, f"{schema}, batch long")
         old = old.where(F.col("batch") == number - 1) if number else old.where("false")
         advance_checkpoint(old, df).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
