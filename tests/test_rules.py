@@ -13,14 +13,21 @@ def _codes(spark, *texts):
 
 
 def test_event_shapes(spark):
-    at = "2026-07-18T10:00:00+08:00"
-    good = EVENT % (at, "k", '{"payload":1,"Payload":2,"IDEMPOTENCY_KEY":3}')
+    at = "2033-11-05T23:59:59.5-03:30"
+    good = EVENT % (at, "k", '{"collector_id":[],"Key":{"key":null}}')  # names of the record mean nothing inside a payload
     bad = "EVENT_JSON_INVALID"
-    texts = [good, None, "", "[]", good + "x", good + " ", good[:-1] + ',"x":1}', good.replace("payload", "Payload", 1), good.replace('{"payload":1', '{"payload":1,"payload":1'), good + good]
-    assert _codes(spark, *texts) == [None, "EVENT_TOO_LARGE", bad, bad, bad, None, bad, bad, bad, bad]
+    twice = good.replace('"Key":{', '"Key":{"key":0,')
+    texts = [good, None, "", " ", "null", "7", good + ",", "\n" + good, good.replace("{", '{"more":true,', 1), good.replace("clock_error_ms", "Clock_Error_Ms"), twice, good + good, "x" * 65537]
+    assert _codes(spark, *texts) == [None, bad, bad, bad, bad, bad, bad, None, bad, bad, bad, bad, "EVENT_TOO_LARGE"]
     assert _codes(spark, EVENT % (at, "k", "[" * 20 + "]" * 20), EVENT % (at, "k", '{"a":' * 17 + "1" + "}" * 17)) == ["EVENT_PAYLOAD_INVALID", "EVENT_PAYLOAD_TOO_DEEP"]
 
 
+def test_heartbeats_that_are_absent(spark):
+    known = spark.createDataFrame([("c", 10**12)], "collector_id string, heartbeat_period_ns long")
+    df = spark.createDataFrame([(0, None), (1, ""), (2, " " * 65537)], "i int, raw string")
+    assert [r.error_code for r in validate.validate_heartbeats(df, known).orderBy("i").collect()] == ["HEARTBEAT_JSON_INVALID", "HEARTBEAT_JSON_INVALID", "HEARTBEAT_TOO_LARGE"]
+
+
 def test_known_offsets(spark):
     texts = ["2026-07-18T02:00:00Z", "2026-07-18T02:00:00+00:00", "2026-07-18T02:00:00-00:00", "2026-07-18T02:00:00", "2026-07-18", " 2026-07-18T02:00:00Z", "2026-02-30T02:00:00Z", "2026-07-18T10:00:00.1234567891+08:00", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
@@ -34,8 +41,8 @@ def test_fixed_width_time(spark):
 
 
 def test_outcomes_in_order_and_replay(spark):
-    at = "2026-07-18T10:00:00+08:00"
-    texts = [EVENT % (at, "k", '{"a":1}'), EVENT % ("2026-07-18T10:00:00", "k", '{"a":1}'), EVENT % (at, "k", '{"a":1}'), EVENT % (at, "k", '{"a":2}')]
+    at = "2033-11-05T21:29:59-06:00"
+    texts = [EVENT % (at, "k", '{"a":1}'), EVENT % ("2033-11-05T21:29:59", "k", '{"a":1}'), EVENT % (at, "k", '{"a":1}'), EVENT % (at, "k", '{"a":2}')]
     df = validate.validate_events(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, raw string"))
     out = facts.resolve_idempotent(df, "id")
     assert [(r.status, r.fact_id) for r in out.orderBy("id").collect()] == [("accepted", 0), ("rejected", None), ("duplicate", 0), ("conflict", 0)]
@@ -60,9 +67,9 @@ def test_pages_do_not_lose_rows(spark):
 def test_revisions_and_prefix(spark):
     rows = spark.createDataFrame([("b", 1, i, "x", d) for i, d in enumerate((30.0, 40.0, 40.0, 35.0, 45.0))], "bucket_id string, id long, seq long, content string, duration double")
     assert [r.status for r in activity.revisions(rows).orderBy("seq").collect()] == ["base", "revision", "duplicate", "error", "revision"]
-    two = spark.createDataFrame([("b", 1, 0, 600), ("b", 2, 480, 510)], "bucket string, id long, t long, e long")
-    assert activity.stable_prefix(two, "bucket", ("t", "id"), "e", 540).count() == 0
-    assert activity.stable_prefix(two, "bucket", ("t", "id"), "e", 601).count() == 2
+    spans = spark.createDataFrame([("x", i, t, t + long) for i, (t, long) in enumerate([(3, 4), (10, 90), (11, 1), (40, 2)])] + [("y", 9, 50, 60)], "bucket string, id long, t long, e long")
+    ids = lambda cutoff: sorted(r.id for r in activity.stable_prefix(spans, "bucket", ("t", "id"), "e", cutoff).collect())
+    assert (ids(7), ids(8), ids(100), ids(101)) == ([], [0], [0, 9], [0, 1, 2, 3, 9])
 
 
 def test_levels_and_latest(spark):

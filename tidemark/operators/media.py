@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -61,6 +67,41 @@ def verified(bodies: DataFrame, declared: DataFrame) -> DataFrame:
     return declared.join(b, "name", "left").select("name", F.coalesce(F.col("_n") == F.col("size_bytes"), F.lit(False)).alias("size_ok"), F.coalesce(F.col("_h") == F.col("sha256"), F.lit(False)).alias("hash_ok"))
 
 
+def hashed_files(files: DataFrame, chunk: int = 1 << 22) -> DataFrame:
+    """(path, size_bytes, sha256, error) of files (path), however long: each is read in pieces of ``chunk`` bytes with a running hash.
+
+    Paths are those that Spark lists, opened by pyarrow's file systems; a file that can't be read has an error instead.
+    Rows go to as many tasks as the session's shuffle has, as one of them may be much work.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                total, digest, error = 0, hashlib.sha256(), None
+                try:
+                    local = re.match(r"file:/*|/", path)  # Spark's paths are not quoted, URIs have to be
+                    system, at = (fs.LocalFileSystem(), "/" + path[local.end() :].lstrip("/")) if local else fs.FileSystem.from_uri(quote(path, safe="/:@"))
+                    with system.open_input_file(at) as body:
+                        while piece := body.read(chunk):
+                            digest.update(piece)
+                            total += len(piece)
+                except (OSError, pa.ArrowInvalid) as e:
+                    error = type(e).__name__
+                values = [path], [None if error else total], [None if error else digest.hexdigest()], [error]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["path", "size_bytes", "sha256", "error"])
+
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.where("path is not null").select("path").distinct().repartition(parts, "path").mapInArrow(run, "path string, size_bytes long, sha256 string, error string")
+
+
+def verified_files(files: DataFrame, declared: DataFrame) -> DataFrame:
+    """(name, size_ok, hash_ok) of files (name, path) against declared (name, size_bytes, sha256), bodies of any size."""
+    found = files.join(hashed_files(files), "path").select("name", F.col("size_bytes").alias("_n"), F.col("sha256").alias("_h"))
+    return declared.join(found, "name", "left").select("name", F.coalesce(F.col("_n") == F.col("size_bytes"), F.lit(False)).alias("size_ok"), F.coalesce(F.col("_h") == F.col("sha256"), F.lit(False)).alias("hash_ok"))
+
+
 def claims_by_source(segments: DataFrame, aliases: DataFrame) -> DataFrame:
     """The claim with the least id of each (collector_id, source_key): direct ones and aliases seen in ingest events."""
     cols = ["collector_id", "source_key", "id", "sha256", "metadata_hash"]

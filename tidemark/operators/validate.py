@@ -83,7 +83,7 @@ def validate_events(df: DataFrame, max_bytes: int = 65536, max_depth: int = 16,
     df = df.withColumn("device_ns", known_offset_ns(F.col("device_timestamp_raw")))
     offset, error = F.col("clock_offset_ms"), F.col("clock_error_ms")
     code = first_failure(
-        (F.octet_length("raw") <= max_bytes, codes["size"]), (strict_object(F.col("raw"), EVENT_FIELDS, parsed=v), codes["json"]), (F.col("schema_version") == 1, codes["schema"]),
+        (F.coalesce(F.octet_length("raw"), F.lit(0)) <= max_bytes, codes["size"]), (strict_object(F.col("raw"), EVENT_FIELDS, parsed=v), codes["json"]), (F.col("schema_version") == 1, codes["schema"]),
         (valid_identifier(F.col("collector_id"), 128), codes["collector"]), (valid_identifier(F.col("event_type"), 128), codes["type"]),
         (F.col("device_ns").isNotNull(), codes["time"]), (offset.between(-YEAR_MS, YEAR_MS), codes["offset"]), (error.between(0, DAY_MS), codes["error"]),
         (valid_identifier(F.col("idempotency_key"), 256), codes["key"]), (F.col("payload_kind").startswith("OBJECT"), codes["payload"]),
@@ -113,7 +113,7 @@ def validate_heartbeats(df: DataFrame, collectors: DataFrame, max_bytes: int = 6
     flags = F.col("flags")
     allowed = F.array(*(F.lit(f) for f in FLAGS))
     code = first_failure(
-        (F.octet_length("raw") <= max_bytes, codes["size"]), (strict_object(F.col("raw"), HEARTBEAT_FIELDS, parsed=v), codes["json"]), (F.col("schema_version") == 1, codes["schema"]),
+        (F.coalesce(F.octet_length("raw"), F.lit(0)) <= max_bytes, codes["size"]), (strict_object(F.col("raw"), HEARTBEAT_FIELDS, parsed=v), codes["json"]), (F.col("schema_version") == 1, codes["schema"]),
         (F.col("_known").isNotNull() & valid_identifier(F.col("collector_id"), 128), codes["collector"]), (F.col("state").isin("active", "idle"), codes["state"]),
         (F.col("start_ns").isNotNull() & F.col("end_ns").isNotNull(), codes["time"]), ((length > 0) & (length <= F.col("_period")), codes["duration"]),
         (F.col("clock_offset_ms").between(-YEAR_MS, YEAR_MS) & F.col("clock_error_ms").between(0, DAY_MS), codes["clock"]), (valid_identifier(F.col("idempotency_key"), 256), codes["key"]),

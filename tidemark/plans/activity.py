@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import activity, facts
-from ..sources import readers
+from ..sources import pages, readers
 from ..sources.paths import work_dir
 from ..streaming import jobs
 from .adapters import DAY, T0, frame, sql
@@ -120,10 +120,37 @@ def _s3(s: SparkSession, d: str) -> DataFrame:
     return activity.merge_pages(readers.activity_pages(s, path)).select("bucket_id", "id", "duration", "error")
 
 
+def _s3_stream(s: SparkSession, d: str) -> DataFrame:
+    """Pages read as a stream by their own source, in two runs of one query: the second goes on behind the first's last page."""
+    pages.register(s)
+    path, out = work_dir(s, "pages"), work_dir(s, "paged")
+    rows = frame(s, d, "awpages")
+    # what is landed later has later names, as pages are numbered
+    for part in range(2):
+        rows.where(C("id") % 2 == part).write.json(f"{path}/landed-{part}")
+        _moved(s, f"{path}/landed-{part}", f"{path}/pages", part)
+        stream = s.readStream.format("activity_pages").load(f"{path}/pages")
+        stream.writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/data/batch={n}")).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    got = s.read.schema(readers.ACTIVITY_PAGE).parquet(f"{out}/data").select("bucket_id", "page", "id", "timestamp", "duration", "data")
+    return activity.merge_pages(got).select("bucket_id", "id", "duration", "error")
+
+
+def _moved(s: SparkSession, source: str, target: str, part: int) -> None:
+    """The files that Spark wrote below source, renamed into target in the order of their names."""
+    jvm = s.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(target)
+    system = there.getFileSystem(s.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(there)
+    for f in system.listStatus(jvm.org.apache.hadoop.fs.Path(source)):
+        if f.getPath().getName().startswith("part-"):
+            system.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(f"{target}/{part}-{f.getPath().getName()}"))
+
+
 PAGES = "SELECT bucket_id, id, max(duration) AS duration, CASE WHEN min(timestamp) <> max(timestamp) OR min(data) <> max(data) THEN 'ACTIVITY_PAGES_CONFLICT' END AS error FROM awpages GROUP BY 1, 2"
 
 ENTRIES = {
     "s3_activity_pages": (_s3, sql(PAGES, "awpages")),
+    "s3_page_stream": (_s3_stream, sql(PAGES, "awpages")),
     "u3_merged_pages": (lambda s, d: activity.merge_pages(frame(s, d, "awpages")).select("bucket_id", "id", "duration", "error"), sql(PAGES, "awpages")),
     "w11_t4_revisions": (lambda s, d: activity.revisions(frame(s, d, "revs")).select("seq", "status", C("idempotency_key").isNotNull().alias("has_key")), sql(REVS + "SELECT seq, status, status IN ('base', 'revision') AS has_key FROM st", "revs")),
     "w12_t1_stable_prefix": (lambda s, d: activity.stable_prefix(frame(s, d, "hb"), "collector_id", ("device_start_ns", "id"), "device_end_ns", CUT).select("id"), sql(f"WITH w AS (SELECT id, max(CASE WHEN device_end_ns >= {CUT} THEN 1 ELSE 0 END) OVER (PARTITION BY collector_id ORDER BY device_start_ns, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS late FROM hb) SELECT id FROM w WHERE late = 0", "hb")),

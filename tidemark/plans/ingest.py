@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 from ..operators import facts, timeline, validate
 from ..sources import readers, sinks
+from ..sources.keyed import Keyed, Pages
 from ..sources.paths import work_dir
 from .adapters import DAY, T0, frame, sql
 
@@ -58,6 +59,12 @@ def _heartbeat_texts(s: SparkSession, d: str) -> DataFrame:
     return e.select(C("event_id").alias("id"), text.alias("raw"))
 
 
+def _absent(texts: DataFrame) -> DataFrame:
+    """Records that are null, empty or white space for three of five ids."""
+    k = C("id") % 5
+    return texts.withColumn("raw", F.when(k == 1, "").when(k == 2, " \t").when(k > 2, C("raw")))
+
+
 def _i4(s: SparkSession, d: str) -> DataFrame:
     v = validate.validate_heartbeats(_heartbeat_texts(s, d), frame(s, d, "collectors"))
     return v.select("id", "error_code", F.concat_ws(",", "quality_flags").alias("flags"))
@@ -133,8 +140,17 @@ KEYS = ("start_ns", "received_ns", "source_type", "source_id", "stable_id")
 _MID = T0 + 10 * DAY
 
 
+def _f5(s: SparkSession, d: str) -> DataFrame:
+    """A page behind id 200 of the snapshot up to id 900, from the files that hold it."""
+    pages = Pages(s, work_dir(s, "events"), ("id",))
+    pages.write(frame(s, d, "raw").where("id <= 900").select("id", "collector_id", "payload"), 16)
+    return pages.page((200,), 100)
+
+
 def _f6(s: SparkSession, d: str) -> DataFrame:
-    return _flat(timeline.page(_timeline(s, d), KEYS, (_MID, 0, "", 0, ""), 50))
+    pages = Pages(s, work_dir(s, "timeline"), KEYS)
+    pages.write(_timeline(s, d), 16)
+    return _flat(pages.page((_MID, 0, "", 0, ""), 50))
 
 
 def _s9(s: SparkSession, d: str) -> DataFrame:
@@ -144,8 +160,12 @@ def _s9(s: SparkSession, d: str) -> DataFrame:
 
 
 def _s9_generation(s: SparkSession, d: str) -> DataFrame:
-    new = _flat(_timeline(s, d)).where("source_id % 4 = 0").withColumn("flags", F.lit("new"))
-    return timeline.upserted(new, _flat(_timeline(s, d)).where("source_id % 3 <> 0"), ("source_type", "source_id")).groupBy("source_type", "flags").agg(F.count("*").alias("n"))
+    """A timeline of which a quarter changes: the sink writes those rows only."""
+    rows = _flat(_timeline(s, d))
+    sink = Keyed(s, work_dir(s, "keyed"), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), ("source_type", "source_id"))
+    sink.upsert(rows.where("source_id % 3 <> 0"), 1)
+    sink.upsert(rows.where("source_id % 4 = 0").withColumn("flags", F.lit("new")), 2)
+    return sink.rows().groupBy("source_type", "flags").agg(F.count("*").alias("n"))
 
 
 def _s1(s: SparkSession, d: str) -> DataFrame:
@@ -180,6 +200,8 @@ ENTRIES = {
     "s9_next_generation": (_s9_generation, sql(TIMELINE + "SELECT source_type, CASE WHEN source_id % 4 = 0 THEN 'new' ELSE flags END AS flags, count(*) AS n FROM tl WHERE source_id % 4 = 0 OR source_id % 3 <> 0 GROUP BY 1, 2", "cand", "hb", "media")),
     "i1_strict_json": (_i1, f"SELECT id, id % 12 NOT IN (1, 2, 3, 4) AS ok FROM {_IDS}"),
     "i2_event_rules": (_i2, f"SELECT id, {_BROKEN} AS error_code, CASE WHEN id % 12 NOT IN (1, 3, 7) THEN 1704060000000000000 END AS device_ns FROM {_IDS}"),
+    "i2_absent_records": (lambda s, d: validate.validate_events(_absent(_event_texts(s, d))).select("id", "error_code"), f"SELECT id, CASE WHEN id % 5 < 3 THEN 'EVENT_JSON_INVALID' ELSE {_BROKEN} END AS error_code FROM {_IDS}"),
+    "i4_absent_records": (lambda s, d: validate.validate_heartbeats(_absent(_heartbeat_texts(s, d)), frame(s, d, "collectors")).select("id", "error_code"), f"SELECT id, CASE WHEN id % 5 < 3 THEN 'HEARTBEAT_JSON_INVALID' ELSE {_HB} END AS error_code FROM {_IDS}"),
     "i3_idempotent_append": (lambda s, d: _resolved(s, d).select("id", "status", "fact_id", "error_code"), sql(RES + "SELECT id, status, fact_id, CASE WHEN status = 'conflict' THEN 'EVENT_IDEMPOTENCY_CONFLICT' ELSE error_code END AS error_code FROM res", "cand")),
     "i3_with_existing_facts": (lambda s, d: (lambda c: facts.resolve_idempotent(c.where("id >= 500"), "id", _resolved(s, d).where("status = 'accepted' and id < 500").select("collector_id", "idempotency_key", "id", "content_hash")).select("id", "status", "fact_id"))(frame(s, d, "cand")), sql(RES + "SELECT id, status, fact_id FROM res WHERE id >= 500", "cand")),
     "i4_heartbeat_rules": (_i4, f"SELECT id, {_HB} AS error_code, CASE id % 10 WHEN 6 THEN 'obscured' WHEN 7 THEN 'odd' WHEN 8 THEN '' ELSE 'corrupt,obscured' END AS flags FROM {_IDS}"),
@@ -196,7 +218,7 @@ ENTRIES = {
     "f2_overlap": (lambda s, d: _flat(_timeline(s, d).where((C("start_ns") < _MID + DAY) & (C("end_ns") > _MID))), sql(TIMELINE + f"SELECT * FROM tl WHERE start_ns < {_MID + DAY} AND end_ns > {_MID}", "cand", "hb", "media")),
     "f3_positive_intervals": (lambda s, d: _c9(s, d).groupBy("reason_code").agg(F.count("*").alias("n")), sql(f"SELECT reason_code, count(*) AS n FROM ({C9}) AS x GROUP BY 1", "raw", "hb", "media")),
     "f4_activity_payload": (lambda s, d: timeline.with_duration(frame(s, d, "raw").where("event_type = 'activitywatch.event'")).select("id", "seconds"), sql("SELECT id, CASE WHEN id % 5 <> 0 THEN CAST(id % 300 AS DOUBLE) END AS seconds FROM raw WHERE event_type = 'activitywatch.event'", "raw")),
-    "f5_incremental_events": (lambda s, d: timeline.page(frame(s, d, "raw"), ("id",), (200,), 100, ("id", 900)).select("id", "collector_id", "payload"), sql("SELECT id, collector_id, payload FROM raw WHERE id > 200 AND id <= 900 ORDER BY id LIMIT 101", "raw")),
+    "f5_incremental_events": (_f5, sql("SELECT id, collector_id, payload FROM raw WHERE id > 200 AND id <= 900 ORDER BY id LIMIT 101", "raw")),
     "f6_incremental_timeline": (_f6, sql(TIMELINE + f"SELECT * FROM tl WHERE (start_ns, received_ns, source_type, source_id, stable_id) > ({_MID}, 0, '', 0, '') ORDER BY start_ns, received_ns, source_type, source_id, stable_id LIMIT 51", "cand", "hb", "media")),
     "f7_key_family": (lambda s, d: frame(s, d, "raw").select(timeline.base_key(F.concat(F.lit("a"), C("user_id").cast("string"), F.when(C("id") % 3 > 0, F.concat(F.lit(":duration:"), C("id").cast("string"))).otherwise(""))).alias("base")).groupBy("base").agg(F.count("*").alias("n")), sql("SELECT 'a' || CAST(user_id AS STRING) AS base, count(*) AS n FROM raw GROUP BY 1", "raw")),
     "f8_collector_scope": (lambda s, d: _flat(_timeline(s, d).where("collector_id = 'c3'")), sql(TIMELINE + "SELECT * FROM tl WHERE collector_id = 'c3'", "cand", "hb", "media")),
