@@ -1,9 +1,10 @@
 """License scans by conditional compression.
 
-Each template of license wording is a raw zstandard dictionary.  Round the words without which a template
-cannot be there, it is compared with a block of words by the exact differences in wording; words that tell
-one license from another (names, versions, NC, SA, ND) must agree.  What a confirmed template saves when its
-run is compressed with it, in proportion to what it takes itself, is its reduction.
+Words without which a template of license wording cannot be there give candidate blocks.  Each block is compressed
+alone and with every template as a raw zstandard dictionary; templates are ranked by how much smaller the block gets, in
+proportion to what they take themselves.  Those that save enough are confirmed, in this order, by the exact
+differences in wording, in which words that tell one license from another (names, versions, NC, SA, ND) must agree.  Where
+confirmed wordings overlap, the one that saves most stays.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import functools
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,19 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("MIT", "This project is MIT licensed"),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("MIT", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"),
+    ("Apache-2.0", "Licensed under the Apache 2.0 License"),
+    ("Apache-2.0", "Licensed under the Apache License 2.0"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    *((name, f"SPDX-License-Identifier: {name}") for name in ("Apache-2.0", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-only", "MPL-2.0", "EPL-2.0", "Unlicense", "CC-BY-4.0", "CC-BY-SA-4.0")),
     ("Apache-1.0", "Licensed under the Apache License, Version 1.0"),
     ("Apache-1.1", "Licensed under the Apache License, Version 1.1"),
     ("MPL-1.0", "The contents of this file are subject to the Mozilla Public License Version 1.0"),
@@ -52,17 +66,26 @@ TEMPLATES = (
 )
 #: Share of a template's words that may differ, but one word at least; the cost of a difference that may not be.
 DIFFERENT, NEVER = 0.15, 10**6
+#: What a template saves of a block, in parts of what it takes itself, to be confirmed; times its reach that a block is long.
+LEAST, BLOCK = 0.2, 2
 #: Words that name a license, and its version.
-NAME = re.compile(rb"apache|mit|isc|gnu|[al]?gpl\S*|general|lesser|library|affero|mozilla|mpl\S*|bsd\S*|eclipse|epl|artistic|boost|academic|microsoft|creative|commons|cc|cc-\S*|nc|nd|sa|by-\S+|(?:attribution|non-?commercial|share-?alike|no-?deriv)\S*")
+NAME = re.compile(rb"spdx\S*|unlicense|unencumbered|apache\S*|mit|isc|gnu|[al]?gpl\S*|general|lesser|library|affero|mozilla|mpl\S*|bsd\S*|eclipse|epl\S*|\d-clause|artistic|boost|academic|microsoft|creative|commons|cc|cc-\S*|nc|nd|sa|by-\S+|(?:attribution|non-?commercial|share-?alike|no-?deriv)\S*")
 NUMBER = re.compile(rb"v?(\d+(?:\.\d+)*)")
 #: Words that are frequent in other texts as well.
 FREQUENT = {b"under", b"the", b"general", b"mit", b"library", b"academic", b"creative"}
 _TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
+PARAMETERS = zs.ZstdCompressionParameters.from_level(6, write_content_size=False, write_checksum=False, write_dict_id=False)
+ALONE = zs.ZstdCompressor(compression_params=PARAMETERS)
+
+
+#: Marks at the ends of a word: punctuation, comment marks, typographic quotes and dashes (in UTF-8).
+_MARKS = rb"(?:[-.,;:!?()\[\]{}\"'`*<>#/%=_~|+]|\xe2\x80[\x90-\xa6]|\xc2[\xab\xbb])+"
+_ENDS = re.compile(rb"^" + _MARKS + rb"|" + _MARKS + rb"$")
 
 
 def normal(word: bytes) -> bytes:
-    """A word as compared: lower-cased, without marks at its ends; a version without v and .0 at its end."""
-    word = word.strip(b".,;:!?()[]{}\"'`*<>").lower()
+    """A word as compared: lower-cased, without marks at its ends, nothing if it is all marks; a version without v and .0 at its end."""
+    word = _ENDS.sub(b"", word).lower()
     if number := NUMBER.fullmatch(word):
         word = number[1]
         while word.endswith(b".0"):
@@ -97,12 +120,12 @@ def differences(template: list[bytes], block: list[bytes], fixed: Callable[[byte
 class Scanner:
     """Templates ready to compress with and to compare."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...]):
+    def __init__(self, templates: tuple[tuple[str, str], ...], different: float = DIFFERENT):
         templates = tuple(dict.fromkeys(templates))
         self.names = [t[0] for t in templates]
         self.words = [[normal(w) for w in t[1].encode().split()] for t in templates]
         self.fixed = [functools.partial(distinguishing, versions=any(map(NUMBER.fullmatch, w))) for w in self.words]
-        self.most = [max(int(DIFFERENT * len(w)), int(any(map(f, w)))) for w, f in zip(self.words, self.fixed, strict=True)]
+        self.most = [max(int(different * len(w)), int(any(map(f, w)))) for w, f in zip(self.words, self.fixed, strict=True)]
         self.counts = [Counter(w) for w in self.words]
         shared = Counter(w for words in self.words for w in set(words))
         self.anchored: dict[bytes, list[int]] = {}
@@ -113,10 +136,19 @@ class Scanner:
             for w in few:
                 self.anchored.setdefault(w, []).append(i)
         self.anchors = re.compile(b"|".join(sorted(map(re.escape, self.anchored), key=len, reverse=True)))
-        p = zs.ZstdCompressionParameters.from_level(12, write_content_size=False, write_checksum=False, write_dict_id=False)
-        self.alone = zs.ZstdCompressor(compression_params=p).compress
-        self.sizes = [len(self.alone(b" ".join(w))) for w in self.words]
-        self.given = [zs.ZstdCompressor(compression_params=p, dict_data=zs.ZstdCompressionDict(b" ".join(w), dict_type=zs.DICT_TYPE_RAWCONTENT)).compress for w in self.words]
+        self.reach = max(len(w) + m for w, m in zip(self.words, self.most, strict=True))
+        self.sizes = [len(self.compressed(b" ".join(w))) for w in self.words]
+        self.dictionaries = [zs.ZstdCompressionDict(b" ".join(w), dict_type=zs.DICT_TYPE_RAWCONTENT) for w in self.words]
+        self.given = [zs.ZstdCompressor(compression_params=PARAMETERS, dict_data=d).compress for d in self.dictionaries]
+
+    def compressed(self, block: bytes, template: int | None = None) -> bytes:
+        """The block alone, or with a template as dictionary."""
+        return ALONE.compress(block) if template is None else self.given[template](block)
+
+    def reductions(self, block: bytes, templates: Iterable[int]) -> list[float]:
+        """How much smaller each template makes the block, in parts of what it takes itself."""
+        alone = len(self.compressed(block))
+        return [(alone - len(self.compressed(block, i))) / self.sizes[i] for i in templates]
 
     @staticmethod
     def _rare(words: list[bytes], most: int) -> list[bytes]:
@@ -133,45 +165,66 @@ class Scanner:
             yield from self._runs(i, words[:a], low)
             yield from self._runs(i, words[b:], low + b)
 
+    def _blocks(self, places: list[int], n: int) -> Iterator[tuple[int, int]]:
+        """Ranges of words round places where a template may be: whole runs are in one of them, however long they go on."""
+        joined: list[list[int]] = []
+        for at in places:
+            low, high = max(0, at - self.reach), min(n, at + self.reach + 1)
+            if joined and low <= joined[-1][1]:
+                joined[-1][1] = high
+            else:
+                joined.append([low, high])
+        step = BLOCK * self.reach
+        for low, high in joined:
+            for a in range(low, max(low + 1, high - 2 * self.reach), step):
+                yield a, min(high, a + step + 2 * self.reach)
+
     def scan(self, text: bytes) -> list[tuple[str, int, int, int, float]]:
         """(license, begin, end, differences, reduction) of each confirmed wording, by bytes of the text, in order.
 
-        Of confirmed wordings that overlap, that with the fewest differences in proportion stays, then the longest.
+        Of confirmed wordings that overlap the one with the largest reduction stays, then that with the fewest differences,
+        then the longest.
         """
         anchors = [m.start() for m in self.anchors.finditer(text.lower())]
         if not anchors:
             return []
-        tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
+        tokens = [(m.start(), m.end(), word) for m in _TOKEN.finditer(text) if (word := normal(m.group()))]  # marks that stand alone are none
         starts = np.array([t[0] for t in tokens])
+        places = sorted({int(np.searchsorted(starts, a, "right")) - 1 for a in anchors} - {-1})
+        places = [at for at in places if tokens[at][2] in self.anchored]
         found = set()
-        for at in sorted({int(np.searchsorted(starts, a, "right")) - 1 for a in anchors}):
-            for i in self.anchored.get(normal(text[slice(*tokens[at])]), ()):
-                reach = len(self.words[i]) + self.most[i]
-                low, high = max(0, at - reach), min(len(tokens), at + reach + 1)
-                words = [normal(text[a:b]) for a, b in tokens[low:high]]
+        for low, high in self._blocks(places, len(tokens)):
+            words = [t[2] for t in tokens[low:high]]
+            saved = self.reductions(b" ".join(words), range(len(self.words)))
+            for i in sorted(range(len(saved)), key=lambda i: -saved[i]):
+                if saved[i] < LEAST:
+                    break
                 for n, a, b in self._runs(i, words, low):
-                    found.add((n / len(self.words[i]), -len(self.words[i]), tokens[a][0], tokens[b - 1][1], i, n, a, b))
-        best: dict[tuple, float] = {}
-        for *key, a, b in found:
-            block = b" ".join(normal(text[x:y]) for x, y in tokens[a:b])
-            best[tuple(key)] = round((len(self.alone(block)) - len(self.given[key[4]](block))) / self.sizes[key[4]], 6)
+                    found.add((i, n, a, b))
+        ranked = []
+        for i, n, a, b in found:
+            r = round(self.reductions(b" ".join(t[2] for t in tokens[a:b]), [i])[0], 6)
+            ranked.append((-r, n / len(self.words[i]), a - b, a, i, n, b))
         out: list[tuple] = []
-        for (_, _, a, b, i, n), r in sorted(best.items()):
-            if all(b <= x[1] or a >= x[2] for x in out):
-                out.append((self.names[i], a, b, n, r))
-        return sorted(out, key=lambda x: x[1])
+        for r, _, _, a, i, n, b in sorted(ranked):
+            if r <= -LEAST and all(b <= x[5] or a >= x[6] for x in out):
+                out.append((self.names[i], tokens[a][0], tokens[b - 1][1], n, -r, a, b))
+        return [x[:5] for x in sorted(out, key=lambda x: x[1])]
 
 
-def licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+def licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, different: float = DIFFERENT) -> DataFrame:
     """(doc_id, license, begin, end, differences, reduction, wording) of each license wording in docs (doc_id, text).
 
-    begin and end count code points; wording is that part of the text; differences is 0 for a template's
-    exact words (case, marks at word ends, and v and .0 of versions aside).  Texts that are null, empty or without such wording
-    give no row; equal rows give equal rows; a row without doc_id gives rows with a null one.
+    begin and end count code points; wording is that part of the text; differences is 0 for a template's exact words
+    (case, marks at word ends or alone, and v and .0 of versions aside), and at most ``different`` of its words, but one.
+    reduction is what the template saves when the wording is compressed with it, in parts of what it takes itself; where
+    wordings overlap the largest stays, of equal ones that with the fewest differences, then the longest.  Texts count
+    whole, however long; those that are null, empty or without such wording give no row; equal rows give equal rows; a
+    row without doc_id gives rows with a null one; other columns are left out, also those named like the result's.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates)
+        scanner = Scanner(templates, different)
         for batch in batches:
             data, ends = utf8(batch.column("text"))
             out = []
