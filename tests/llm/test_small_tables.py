@@ -188,6 +188,60 @@ def test_mix_meets_targets(spark):
     assert sum(len(r.text.split()) for r in mix.mixed(docs).collect()) == sum(r.taken for r in got)
 
 
+def _mix_of(rows, spark):
+    return mix.Mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+
+
+def test_shards_are_full_and_their_counts_are_drawn(spark, monkeypatch):
+    monkeypatch.setattr(mix, "SHARD", 32)
+    monkeypatch.setattr(mix, "CHUNK", 4)
+    rows = [(i, _prose(900, i), f"s{i % 3}") for i in range(60)]
+    own = _mix_of(rows, spark)
+    slots, sources = own.slots().collect(), {r.sid: r for r in own.sources.collect()}
+    places = sorted((r.shard, r.slot) for r in slots)
+    assert places == [(i // 32, i % 32) for i in range(own.total)] and own.total > 400  # each place once, no shard but the last with a gap
+    by = {}
+    for r in slots:
+        by.setdefault(r.sid, []).append(r)
+    for sid, own_slots in by.items():
+        source = sources[sid]
+        assert len(own_slots) == source.slots  # totals are met
+        times = [sum(r.block == b for r in own_slots) for b in range(source.blocks)]
+        assert max(times) - min(times) <= 1 and max(times) <= 2  # whole passes
+        counts = [sum(r.shard == k for r in own_slots) for k in range(own.total // 32)]
+        mean = 32 * source.slots / own.total
+        spread = sum((c - mean) ** 2 for c in counts) / len(counts)
+        assert 0.3 < spread / (mean * (1 - source.slots / own.total)) < 2  # as of a multinomial draw
+
+
+def test_another_draw_gives_another_mix(spark, monkeypatch):
+    rows = [(i, _prose(900, i), f"s{i % 3}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(mix, "SHARD", 16)
+    counts, placed = sorted(mix.mix_counts(docs).collect()), sorted(mix.mixed(docs, with_place=True).collect())
+
+    def in_order(self):
+        """Source after source instead of a draw."""
+        k = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1))
+        return self.sources.where("slots > 0").select("sid", "first", k.alias("k")).select("sid", F.floor((F.col("first") + F.col("k")) / 16).alias("shard")).groupBy("shard", "sid").agg(F.count("*").alias("n"))
+
+    monkeypatch.setattr(mix.Mix, "drawn", in_order)
+    other, replaced = sorted(mix.mix_counts(docs).collect()), sorted(mix.mixed(docs, with_place=True).collect())
+    assert [r[:6] for r in counts] == [r[:6] for r in other] and counts != other and placed != replaced
+    assert sum(r.shards for r in other) < sum(r.shards for r in counts)
+
+
+def test_mixed_keeps_columns_of_any_name(spark):
+    rows = [(i, _prose(300, i), "a" if i % 2 else None, f"id{i}", [i], float(i), "h", "t", "p", "w", "r", 1, i) for i in range(12)]
+    names = ["doc_id", "text", "source", "_id", "_words", "_h2", "h", "turn", "pieces", "words", "row", "mix_shard", "place"]
+    docs = spark.createDataFrame(rows, names)
+    out = mix.mixed(docs)
+    assert out.columns == names and out.dtypes == docs.dtypes
+    for r in out.collect():
+        assert (r["_id"], r["_words"], r["_h2"], r.h, r.turn, r.pieces, r.words, r.row, r.mix_shard, r.place) == rows[r.doc_id][3:]
+    assert set(mix.mixed(docs, with_place=True).columns) == {*names, "mix_slot"}
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 100):
         got = spark.range(n).select(mix.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3))).collect()

@@ -1,10 +1,10 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
-The words of a source, document after document, are packed into blocks of one length.  A mix is a
-sequence of slots in output shards.  How many slots of a shard each source has is a multinomial draw,
-given that over all shards each source has as many as its target asks for: one pseudorandom permutation
-deals all slots to places in shards.  A source's slots map to its blocks through permutations of its own,
-one for each pass over the source, and blocks join by index.
+The words of a source, document after document, are packed into blocks of one length.  A mix is a sequence of output
+shards with SHARD slots each.  How many slots of a shard each source has is a multinomial draw, given that over all shards
+each source has as many as its target asks for: one pseudorandom permutation deals all sources' slots to shards.  From
+shard to shard a source's counts number its slots; these map to its blocks through permutations of its own, one for each
+pass over the source, and blocks join by index.  So a draw decides in which shard each block is.
 """
 
 from __future__ import annotations
@@ -94,17 +94,31 @@ class Mix:
         own = self.sources.withColumnRenamed("source", "_source")
         return df.join(own, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
-    def slots(self) -> DataFrame:
-        """(shard, slot, sid, block): what the mix has at each place."""
+    def drawn(self) -> DataFrame:
+        """(shard, sid, n): how many slots of each shard a source has, where it has any."""
         long = lambda x: F.lit(x).cast("long")
         # these rows are few bytes, what comes from them is not: so many tasks as that asks for
         tasks = max(1, min(-(-self.total // RUN), int(self.sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-self.total // (RUN << 8)))
         runs = self.sources.where("slots > 0").withColumn("run", F.explode(F.sequence(long(0), F.floor((F.col("slots") - 1) / RUN)))).repartition(tasks, "sid", "run")
         df = runs.withColumn("k", F.explode(F.sequence(F.col("run") * RUN, F.least("slots", (F.col("run") + 1) * RUN) - 1)))
         place = permuted(F.col("first") + F.col("k"), long(max(1, self.total)), F.lit(self.seed))
-        block = permuted(F.pmod("k", "blocks"), F.col("blocks"), F.col("sid"), F.floor(F.col("k") / F.col("blocks")), F.lit(self.seed))
-        df = df.select("sid", place.alias("place"), block.alias("block"))
-        return df.select(F.floor(F.col("place") / SHARD).alias("shard"), F.pmod("place", F.lit(SHARD)).alias("slot"), "sid", "block")
+        return df.select(F.floor(place / SHARD).alias("shard"), "sid").groupBy("shard", "sid").agg(F.count("*").alias("n"))
+
+    def slots(self) -> DataFrame:
+        """(shard, slot, sid, block): what the mix has at each place, by the counts that are drawn for each shard."""
+        df = self.drawn().withColumn("chunk", F.floor(F.col("shard") / CHUNK))
+        # a source's slots in the shards before: in chunks before, then in its own; no window has a whole source
+        sums = df.groupBy("sid", "chunk").agg(F.sum("n").alias("sum"))
+        sums = sums.select("sid", "chunk", (F.sum("sum").over(W.partitionBy("sid").orderBy("chunk")) - F.col("sum")).alias("before"))
+        inside = F.sum("n").over(W.partitionBy("sid", "chunk").orderBy("shard")) - F.col("n")
+        df = df.withColumn("inside", inside).join(sums, ["sid", "chunk"]).withColumn("k", F.col("before") + F.col("inside"))
+        by = W.partitionBy("shard")
+        df = df.withColumns({"at": F.sum("n").over(by.orderBy("sid")) - F.col("n"), "filled": F.sum("n").over(by)})
+        df = df.select("shard", "sid", "k", "at", "filled", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j")).join(self.sources.select("sid", "blocks"), "sid")
+        k = F.col("k") + F.col("j")
+        block = permuted(F.pmod(k, "blocks"), F.col("blocks"), F.col("sid"), F.floor(k / F.col("blocks")), F.lit(self.seed))
+        slot = permuted(F.col("at") + F.col("j"), F.col("filled"), F.lit("slot"), F.col("shard"), F.lit(self.seed))
+        return df.select("shard", slot.alias("slot"), "sid", block.alias("block"))
 
     def placed(self) -> DataFrame:
         """Each document, equal ones one by one, with ``start``, its first word's place among its source's words.
@@ -121,52 +135,61 @@ class Mix:
         return docs.withColumn("start", F.col("before") + F.col("inside") + F.col("copy") * F.col("size")).drop("before", "inside", "chunk", "part", "copies", "copy")
 
     def pieces(self) -> DataFrame:
-        """Each document's part in each block: (.., block, offset, words, times); times: how often the mix takes the block."""
+        """Each document's part in each block: (.., block, offset, words, places); places: where the mix has the block, in order, empty for nowhere."""
         end, length = F.col("start") + F.col("size"), F.col("length")
         docs = self.placed().where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / length), F.floor((end - 1) / length))))
         offset = F.greatest("start", F.col("block") * length) - F.col("start")
         docs = docs.withColumn("offset", offset).withColumn("words", F.least(end, (F.col("block") + 1) * length) - F.col("start") - F.col("offset"))
-        # by its few sources Spark would take this for a small table and broadcast it
-        times = self.slots().groupBy("sid", "block").agg(F.count("*").alias("times")).hint("merge")
-        return docs.join(times, ["sid", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+        # MOST places at most; by its few sources Spark would take this for a small table and broadcast it
+        places = self.slots().groupBy("sid", "block").agg(F.array_sort(F.collect_list(F.col("shard") * SHARD + F.col("slot"))).alias("places")).hint("merge")
+        return docs.join(places, ["sid", "block"], "left").withColumn("places", F.coalesce("places", F.array().cast("array<bigint>")))
 
 
 def mix_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for each row of docs (doc_id, text, source).
+    """(doc_id, source, size, source_size, target, taken, shards, first_place) for each row of docs (doc_id, text, source).
 
-    taken: the words of the row that the mix has, repeats counted; at most MOST times size.  Rows without
-    doc_id or source take part; equal rows have places of their own; empty texts have size and taken 0;
-    an empty table gives an empty table.
+    taken: the words of the row that the mix has, repeats counted; at most MOST times size.  shards: how many output
+    shards have some of them; first_place: the first place, shard * SHARD + slot, null for none.  Rows
+    without doc_id or source take part; equal rows have places of their own; empty texts have size and taken 0; texts count
+    whole, however long; other columns are left out; an empty table gives an empty table.
     """
     mix = Mix(docs)
     keys = ["doc_id", "h", "size", "source", "source_size", "target", "sid", "start"]
-    empty = mix.placed().where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    full = mix.pieces().groupBy(keys).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    out = ["doc_id", "source", "size", "source_size", "target", "taken"]
+    none = {"taken": F.lit(0).cast("long"), "shards": F.lit(0).cast("long"), "first_place": F.lit(None).cast("long")}
+    empty = mix.placed().where("size = 0").withColumns(none)
+    full = mix.pieces().groupBy(keys).agg(F.sum(F.col("words") * F.size("places")).alias("taken"), F.size(F.array_distinct(F.flatten(F.collect_list(F.transform("places", lambda p: F.floor(p / SHARD)))))).cast("long").alias("shards"), F.min(F.array_min("places")).alias("first_place"))
+    out = ["doc_id", "source", "size", "source_size", "target", "taken", "shards", "first_place"]
     return full.select(out).unionByName(empty.select(out))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
+def mixed(docs: DataFrame, with_place: bool = False) -> DataFrame:
     """The mix as documents: the columns of docs, a row for each time that the mix takes some of a document.
 
-    A document taken whole keeps its text; otherwise the words taken stand in order, a space between
-    them, and n_chars, if there is such a column, is counted anew.  Documents that are not taken at all
-    go.  Rows that agree in doc_id, source and text are copies of one document.
+    A document taken whole keeps its text; otherwise the words taken stand in order, a space between them, and n_chars, if
+    there is such a column, is counted anew.  Documents that are not taken at all go.  Rows that agree in doc_id, source and
+    text are copies of one document; texts count whole; other columns are the document's, whatever their names.  With
+    ``with_place`` the rows have (mix_shard, mix_slot), where the mix first has what they hold, in place of such columns.
     """
     mix = Mix(docs)
-    taken = mix.pieces().where("times > 0").groupBy("doc_id", "h", "source", "start", "size").agg(F.array_sort(F.collect_list(F.struct("offset", "words", "times"))).alias("pieces"))
-    taken = taken.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.col("pieces.times")))))
-    taken = taken.withColumn("pieces", F.filter("pieces", lambda p: p["times"] >= F.col("turn")))
+    taken = mix.pieces().where(F.size("places") > 0).groupBy("doc_id", "h", "source", "start", "size").agg(F.array_sort(F.collect_list(F.struct("offset", "words", "places"))).alias("pieces"))
+    taken = taken.withColumn("turn", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("pieces", lambda p: F.size(p["places"]))))))
+    taken = taken.withColumn("pieces", F.filter("pieces", lambda p: F.size(p["places"]) >= F.col("turn")))
     whole = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["words"]) == F.col("size")
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("source").alias("_source"), F.col("pieces").alias("_pieces"), whole.alias("_whole"))
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    some = F.array_join(F.flatten(F.transform("_pieces", lambda p: F.slice(F.col("_words"), (p["offset"] + 1).cast("int"), p["words"].cast("int")))), " ")
-    once = docs.withColumn("_h2", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "_h2"])
-    out = once.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h2") == F.col("_h")) & F.col("source").eqNullSafe(F.col("_source")))
-    out = out.withColumn("_words", F.when(~F.col("_whole"), words)).withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(some))
+    place = F.array_min(F.transform("pieces", lambda p: F.element_at(p["places"], F.col("turn"))))
+    taken = taken.select("doc_id", "h", "source", "pieces", whole.alias("whole"), place.alias("place"))
+    # the columns of docs stay in a struct, so that none of them meets one of these
+    once = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.xxhash64("text").alias("hash"), F.struct(*(F.col(c) for c in docs.columns)).alias("row")).dropDuplicates(["id", "of", "hash"])
+    out = once.join(taken, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")) & F.col("source").eqNullSafe(F.col("of")))
+    words = F.when(~F.col("whole"), F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0)))
+    out = out.select("row", "whole", "pieces", "place", words.alias("words"))
+    some = F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice(F.col("words"), (p["offset"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    out = out.select("row", "place", F.when(F.col("whole"), F.col("row.text")).otherwise(some).alias("text"))
+    columns = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    if with_place:
+        columns |= {"mix_shard": F.floor(F.col("place") / SHARD), "mix_slot": F.pmod("place", F.lit(SHARD))}
+    return out.select(*(v.alias(c) for c, v in columns.items()))
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
