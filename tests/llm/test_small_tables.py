@@ -346,11 +346,24 @@ def test_top_k_equals_brute_force(spark):
     assert len(few) == 4
     twice = spark.createDataFrame([(1, [1, 0], 7), (1, [1, 0], 8), (1, [2, 0], 9), (3, [1, 5], 0)], "id long, v array<long>, score int")
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in top_k.top_k(twice.where("id = 3"), twice, 2).collect()) == [(3, 1, 1, 2), (3, 2, 1, 1)]
-    with pytest.raises(Exception, match="64 bits"):
+    with pytest.raises(Exception, match="62 bits"):
         spark.createDataFrame([(1, [1e300])], "id long, e array<double>").select(top_k.as_integers("e")).collect()
     assert top_k.top_k(df.limit(0), df, 5).count() == 0 and top_k.top_k(df.where("id = 20"), df.limit(0), 5).count() == 0
 
 
+def test_top_k_with_a_long_vector_among_short_ones(spark):
+    """Products of the long vector with itself would not fit into 64 bits, its scores do."""
+    rows = [(i, [float(i % 7), 1.0 - i % 3]) for i in range(50)] + [(60, [4e7, -1.0]), (61, [3e9, 5.0])]
+    df = spark.createDataFrame(rows, "id long, e array<double>").select("id", top_k.as_integers("e").alias("v"))
+    got = top_k.top_k(df.where("id in (0, 20, 60)"), df.where("id <> 61"), 4).collect()
+    whole = {i: [int(64 * x) for x in v] for i, v in rows}
+    for q in (0, 20, 60):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[j])), j) for j in whole if j not in (q, 61))[:4]
+        assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q) == [(n, j, -s) for n, (s, j) in enumerate(best, 1)]
+    with pytest.raises(Exception, match="64 bits"):
+        top_k.top_k(df.where("id = 60"), df, 4).collect()
+
+
 def test_urls(spark):
     urls = ["HTTPS://A.Example.ORG/es/1?x", "http://example.org/en/12", "http://notexample.org/en/12", "x://m.site.com/fr/", "x://com/de/1", "x://org", "nothing", None, "", "http://free-bets.example.net/en/1", "http://ÄB.net#/org/", "http://news.example.net/en/3", "http://news.example.net/en/3", "http://news.example.net/" + "x" * 200_000]
     pages = spark.createDataFrame([(i, u, 5) for i, u in enumerate(urls)], "page_id long, url string, score int")

@@ -21,20 +21,20 @@ from .common import table
 
 #: Rows of a shard, about; queries that meet it at a time; what a vector's components are multiplied with.
 SHARD, QUERIES, SCALE = 16384, 512, 64
-#: Integers up to this size are exact in double precision; the largest sum of a vector's squares, so that every score is a long.
-EXACT, SQUARES = 1 << 53, float(1 << 62)
+#: Integers up to this size are exact in double precision; sums up to this fit into 64 bits whatever their order.
+EXACT, LONG = 1 << 53, 1 << 62
 
 
 def as_integers(column: str) -> Column:
     """floor(SCALE * x) of each component; null for a vector that is null or has a null or non-finite component.
 
-    An error for a vector so long that its products with others may not fit into 64 bits.
+    An error for a component that does not fit into 62 bits.
     """
     x = F.transform(column, lambda x: x.cast("double"))
     bad = F.exists(x, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    squares = F.aggregate(x, F.lit(0.0), lambda s, x: s + F.pow(F.floor(F.lit(float(SCALE)) * x).cast("double"), 2))
+    large = F.exists(x, lambda x: F.abs(x) >= float(LONG // SCALE))
     whole = F.transform(x, lambda x: F.floor(F.lit(float(SCALE)) * x))
-    return F.when(F.col(column).isNotNull() & ~bad, F.when(squares < SQUARES, whole).otherwise(F.raise_error(F.lit("vector too long for scores of 64 bits")).cast("array<bigint>")))
+    return F.when(F.col(column).isNotNull() & ~bad, F.when(~large, whole).otherwise(F.raise_error(F.lit("a component does not fit into 62 bits")).cast("array<bigint>")))
 
 
 def _matrix(rows: list[np.ndarray], width: int) -> np.ndarray:
@@ -51,19 +51,37 @@ class Shard:
 
     def __init__(self, rows: np.ndarray, ids: np.ndarray):
         self.ids, self.width, self.largest = ids, rows.shape[1], int(np.abs(rows).max(initial=0))
+        self.rows = rows
         self.terms = {np.int64: np.ascontiguousarray(rows.T)}
         self.low, self.high = self.terms[np.int64].min(1), self.terms[np.int64].max(1)
 
+    def fits(self, query: np.ndarray, most: int) -> bool:
+        """Whether all partial sums of a query with the rows, and their bounds, are below ``most``."""
+        return 2 * int(np.abs(query).max(initial=0)) * self.largest * max(1, self.width) < most
+
     def postings(self, queries: np.ndarray) -> np.ndarray:
         """In double precision where every sum is exact in it."""
-        kind = np.float64 if int(np.abs(queries).max(initial=0)) * self.largest * max(1, self.width) < EXACT else np.int64
+        kind = np.float64 if self.fits(queries, EXACT) else np.int64
         if kind not in self.terms:
             self.terms[kind] = self.terms[np.int64].astype(kind)
         return self.terms[kind]
 
 
+def _plain(query: np.ndarray, qid: int, shard: Shard, k: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """A query whose sums with a shard may not fit into 64 bits, in whole numbers of any size; an error if one of the k best scores does not."""
+    own = [int(x) for x in query]
+    found = sorted((-sum(a * b for a, b in zip(own, row, strict=True)), i) for i, row in zip(shard.ids.tolist(), shard.rows.tolist(), strict=True) if i != qid)[:k]
+    if any(not -(1 << 63) <= -s < 1 << 63 for s, _ in found):
+        raise ValueError("a score does not fit into 64 bits")
+    return qid, np.array([i for _, i in found], np.int64), np.array([-s for s, _ in found], np.int64)
+
+
 def best(queries: np.ndarray, qids: np.ndarray, shard: Shard, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query, ids and scores of a shard's best k rows other than its own, ties to smaller ids."""
+    short = np.array([shard.fits(q, LONG) for q in queries], bool)
+    for q, qid in zip(queries[~short], qids[~short].tolist(), strict=True):
+        yield _plain(q, qid, shard, k)
+    queries, qids = queries[short], qids[short]
     terms, ids = shard.postings(queries), shard.ids
     kind = terms.dtype
     low, high = shard.low.astype(kind), shard.high.astype(kind)
@@ -111,8 +129,8 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     Each row goes to one shard of about SHARD rows, and the queries to all of them; a task holds one shard and
     lets QUERIES queries at a time pass.  Each shard gives k rows a query, which are merged.  Rows without id or
     vector take no part; rows with one id count each; fewer than k rows give all; vectors of unlike lengths are
-    filled up with zeros; other columns are left out.  Scores have to fit into 64 bits (see ``as_integers``).
-    Empty tables give an empty table.
+    filled up with zeros; other columns are left out.  A score in a shard's k best that does not fit into 64
+    bits is an error.  Empty tables give an empty table.
     """
     queries, rows = (x.where("id is not null and v is not null").select(F.col("id").cast("long"), F.col("v").cast("array<bigint>")) for x in (queries, rows))
     shards = max(1, -(-rows.count() // SHARD))
