@@ -131,8 +131,8 @@ def count_deltas(counts: DataFrame) -> DataFrame:
     A table that is missing on a day after one on which it was counted fell by all it had.
     """
     before = counts.select((F.col("day") + 1).alias("day"), "table_name", F.col("n").alias("_n"))
-    last = counts.agg(F.max("day").alias("_last"))
-    both = counts.join(before, ["day", "table_name"], "right").join(last, F.col("day") <= F.col("_last")).withColumn("n", F.coalesce("n", F.lit(0)))
+    after = counts.agg((F.max("day") + 1).alias("day"))  # nothing is counted yet
+    both = counts.join(before, ["day", "table_name"], "right").join(after, "day", "left_anti").withColumn("n", F.coalesce("n", F.lit(0)))
     return both.select("day", "table_name", (F.col("n") - F.col("_n")).alias("delta"), (F.col("n") >= F.col("_n")).alias("passed"))
 
 

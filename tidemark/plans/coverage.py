@@ -136,7 +136,7 @@ def _published(s: SparkSession, d: str) -> DataFrame:
     sinks.write_generation(rows, path, 2)
     two = rows.select("collector_id").distinct().where("collector_id < 'c4'")
     sinks.publish(s, path, two.select("collector_id", F.lit(2).alias("generation"), F.when(C("collector_id") == "c0", "stale").otherwise("fresh").alias("state")), 2)
-    return sinks.published(s, path).groupBy("collector_id", C("generation").cast("long").alias("generation")).agg(F.count("*").alias("n"))
+    return sinks.published(s, path).select("id", "collector_id", C("generation").cast("long").alias("generation"))
 
 
 LATE = "stable_id LIKE 'heartbeat:%7'"
@@ -191,7 +191,8 @@ ENTRIES = {
     "c12_expected_seconds": (lambda s, d: _round(coverage.expected_seconds(stored(_plans(_fleet(s, d)), "plans"), frame(s, d, "exclusions")), "expected_s"), sql(CTE + FREE + EXP + "SELECT collector_id, round(expected_s, 6) AS expected_s FROM ex", *_ALL)),
     "j7_stab_join": (lambda s, d: _stabbed(stored(_facts(s, d, _fleet(s, d)), "facts")), sql(CTE + "SELECT DISTINCT a.collector_id, a.s AS start_ns, a.s + 1000000000 AS end_ns, b.sid AS stable_id FROM f a JOIN f b ON a.collector_id = b.collector_id AND a.pr = 20 AND b.pr = 30 AND b.s <= a.s AND b.e >= a.s + 1000000000", *_ALL)),
     "l6_winners": (lambda s, d: _facts(s, d, _fleet(s, d)).groupBy("collector_id", F.floor((C("start_ns") - T0) / DAY).alias("day")).agg(F.min_by("stable_id", F.struct(-C("priority"), "stable_id")).alias("winner")), sql(CTE + f"SELECT collector_id, CAST(floor((s - {T0}) / {DAY}) AS BIGINT) AS day, arg_min(sid, (-pr, sid)) AS winner FROM f GROUP BY 1, 2", *_ALL)),
-    "s8_published_generation": (_published, sql("SELECT collector_id, CASE WHEN collector_id < 'c4' THEN 2 ELSE 1 END AS generation, count(*) FILTER (WHERE collector_id < 'c4' OR id % 2 = 0) AS n FROM hb WHERE collector_id <> 'c0' GROUP BY 1", "hb")),
+    "s8_published_rows": (_published, sql("SELECT id, collector_id, CASE WHEN collector_id < 'c4' THEN 2 ELSE 1 END AS generation FROM hb WHERE collector_id <> 'c0' AND (collector_id < 'c4' OR id % 2 = 0)", "hb")),
+    "s8_published_generation": (lambda s, d: _published(s, d).groupBy("collector_id", "generation").agg(F.count("*").alias("n")), sql("SELECT collector_id, CASE WHEN collector_id < 'c4' THEN 2 ELSE 1 END AS generation, count(*) FILTER (WHERE collector_id < 'c4' OR id % 2 = 0) AS n FROM hb WHERE collector_id <> 'c0' GROUP BY 1", "hb")),
     "t7_affected_days": (_late, sql(CTE + AFFECTED, *_ALL)),
     "q8_overlaps": (lambda s, d: intervals.overlaps(frame(s, d, "hb").select("collector_id", "id", C("device_start_ns").alias("start_ns"), C("device_end_ns").alias("end_ns")), "collector_id").select("id", "next_start_ns"), sql("SELECT id, nx AS next_start_ns FROM (SELECT *, lead(device_start_ns) OVER (PARTITION BY collector_id ORDER BY device_start_ns, device_end_ns) AS nx FROM hb) AS x WHERE nx < device_end_ns", "hb")),
     "q8_coverage_has_no_overlap": (lambda s, d: intervals.overlaps(_coverage(s, d)[0], "collector_id").agg(F.count("*").alias("n")), sql(CTE + "SELECT count(*) FILTER (WHERE nx < end_ns) AS n FROM (SELECT end_ns, lead(start_ns) OVER (PARTITION BY collector_id ORDER BY start_ns, end_ns) AS nx FROM cov) AS x", *_ALL)),

@@ -216,6 +216,7 @@ ENTRIES = {
         SELECT b.batch_id, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'EVENT_BATCH_EMPTY' WHEN n > 90 THEN 'EVENT_BATCH_TOO_LARGE' END AS error_code FROM b LEFT JOIN c ON b.batch_id = c.batch_id""", "cand")),
     "f1_time_range": (lambda s, d: _flat(_timeline(s, d).where((C("start_ns") >= _MID) & (C("start_ns") < _MID + DAY))), sql(TIMELINE + f"SELECT * FROM tl WHERE start_ns >= {_MID} AND start_ns < {_MID + DAY}", "cand", "hb", "media")),
     "f2_overlap": (lambda s, d: _flat(_timeline(s, d).where((C("start_ns") < _MID + DAY) & (C("end_ns") > _MID))), sql(TIMELINE + f"SELECT * FROM tl WHERE start_ns < {_MID + DAY} AND end_ns > {_MID}", "cand", "hb", "media")),
+    "f3_positive_rows": (lambda s, d: _c9(s, d).select("stable_id", "start_ns", "end_ns"), sql(f"SELECT stable_id, start_ns, end_ns FROM ({C9}) AS x", "raw", "hb", "media")),
     "f3_positive_intervals": (lambda s, d: _c9(s, d).groupBy("reason_code").agg(F.count("*").alias("n")), sql(f"SELECT reason_code, count(*) AS n FROM ({C9}) AS x GROUP BY 1", "raw", "hb", "media")),
     "f4_activity_payload": (lambda s, d: timeline.with_duration(frame(s, d, "raw").where("event_type = 'activitywatch.event'")).select("id", "seconds"), sql("SELECT id, CASE WHEN id % 5 <> 0 THEN CAST(id % 300 AS DOUBLE) END AS seconds FROM raw WHERE event_type = 'activitywatch.event'", "raw")),
     "f5_incremental_events": (_f5, sql("SELECT id, collector_id, payload FROM raw WHERE id > 200 AND id <= 900 ORDER BY id LIMIT 101", "raw")),

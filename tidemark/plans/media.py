@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import media, reconcile, statelog
 from ..sources import readers
 from ..sources.paths import work_dir
+from ..streaming import jobs
 from .adapters import T0, frame, sql
 from .state import LATEST
 
@@ -98,19 +99,25 @@ UNION ALL SELECT manifest_id, NULL, 'entries' FROM f GROUP BY manifest_id HAVING
 
 
 def _s4(s: SparkSession, d: str) -> DataFrame:
-    """Document texts as files of a folder, each a body, a sidecar or a marker, listed and paired."""
-    docs = _docs(s, d)
+    """Document texts landed as bodies, sidecars and markers in archives, listed and paired."""
     root = work_dir(s, "inbox")
     suffix = F.when(C("doc_id") % 3 == 0, "").when(C("doc_id") % 3 == 1, ".sidecar.json").otherwise(".ready")
-    group = F.floor(C("doc_id") / 3).cast("string")
-    docs.select(F.encode("text", "UTF-8").alias("content"), F.concat(group, suffix).alias("file"), F.octet_length("text").alias("n")).where("n > 0").drop("n").createOrReplaceTempView("_tidemark_inbox")
-    rows = s.table("_tidemark_inbox")
-    rows.select(F.base64("content").alias("value"), "file").write.partitionBy("file").text(root)
-    s.catalog.dropTempView("_tidemark_inbox")
-    listed = readers.drop_folder(s, f"{root}/file=*", bodies=False)
-    name = F.regexp_extract("path", r"file=([^/]+)/", 1)
-    part = F.when(name.endswith(".sidecar.json"), "sidecar").when(name.endswith(".ready"), "ready").otherwise("media")
-    return listed.select(F.regexp_replace(name, r"(\.sidecar\.json|\.ready)$", "").alias("name"), part.alias("part")).groupBy("name").agg(F.count_if(C("part") == "media").alias("media"), F.count_if(C("part") == "sidecar").alias("sidecar"), F.count_if(C("part") == "ready").alias("ready"))
+    landed = _docs(s, d).select(F.concat(F.floor(C("doc_id") / 3).cast("string"), suffix).alias("file"), C("doc_id").alias("modified_ns"), F.encode("text", "UTF-8").alias("content"))
+    landed.where(F.octet_length("content") > 0).write.parquet(root)
+    count = lambda part: F.count_if(C("part") == part).alias(part)
+    return readers.drop_archives(s, root).groupBy("name").agg(count("media"), count("sidecar"), count("ready"))
+
+
+def _l5(s: SparkSession, d: str) -> DataFrame:
+    """Four turns of a stream over all media, two fifths of the keys in each: the fourth has gone round once and goes on."""
+    rows = frame(s, d, "media")
+    ticks, out = work_dir(s, "ticks"), work_dir(s, "scans")
+    for i in range(4):
+        s.range(i, i + 1).coalesce(1).write.mode("append").parquet(ticks)
+    stream = s.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(ticks)
+    n = -(-2 * rows.count() // 5)
+    jobs.fair_scans(stream, lambda: frame(s, d, "media").select("source_key"), "source_key", n, out, f"{out}/checkpoint").awaitTermination()
+    return s.read.schema("source_key string, batch long").parquet(f"{out}/picked")
 
 
 def _s5(s: SparkSession, d: str) -> DataFrame:
@@ -144,6 +151,8 @@ ENTRIES = {
     "m1_decisions": (_m1, M1),
     "m2_verified_bodies": (lambda s, d: media.verified(_docs(s, d).where("doc_id % 8 <> 3").select("name", F.encode("text", "UTF-8").alias("content")), _docs(s, d).select("name", F.octet_length("text").cast("long").alias("size_bytes"), F.when(C("doc_id") % 6 == 1, "bad").otherwise(F.sha2("text", 256)).alias("sha256"))), "SELECT 'n' || CAST(doc_id AS STRING) AS name, doc_id % 8 <> 3 AS size_ok, doc_id % 8 <> 3 AND doc_id % 6 <> 1 AS hash_ok FROM documents"),
     "m3_accepted": (_m3, sql(J3 + ", n1 AS (SELECT *, row_number() OVER (PARTITION BY collector_id, source_key ORDER BY cid) AS a FROM cl WHERE claim = 'new'), n2 AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY cid) AS b FROM n1 WHERE a = 1) SELECT count(*) AS segments, CAST(sum(cid) AS BIGINT) AS cids, count(*) AS ids, count(*) AS states, count(*) AS events FROM n2 WHERE b = 1", "media")),
+    "m3_accepted_rows": (lambda s, d: (lambda seg, st, ev: seg.select("id", "cid", "source_key").join(st.select(C("media_segment_id").alias("id"), C("status").alias("state")), "id").join(ev.select(C("media_segment_id").alias("id"), C("status").alias("event")), "id").drop("id"))(*media.accepted(media.resolve_claims(*_claims(s, d)), 0, C("cid"))),
+        sql(J3 + ", n1 AS (SELECT *, row_number() OVER (PARTITION BY collector_id, source_key ORDER BY cid) AS a FROM cl WHERE claim = 'new'), n2 AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY cid) AS b FROM n1 WHERE a = 1) SELECT cid, source_key, 'accepted' AS state, 'accepted' AS event FROM n2 WHERE b = 1", "media")),
     "m4_confirmed": (lambda s, d: media.confirmed(frame(s, d, "media"), frame(s, d, "media").withColumn("sha256", F.when(C("id") % 5 == 0, "x").otherwise(C("sha256"))), ("collector_id", "source_key", "sha256", "metadata_hash")).select("id"), sql("SELECT id FROM media WHERE id % 5 <> 0", "media")),
     "m5_x10_fingerprints": (lambda s, d: frame(s, d, "media").withColumn("f", media.metadata_hash(C("sha256"), C("size_bytes"), C("metadata_hash"))).agg(F.count_distinct("f").alias("n")), sql("SELECT count(DISTINCT (sha256, size_bytes, metadata_hash)) AS n FROM media", "media")),
     "m6_grown_files": (lambda s, d: media.grown(_docs(s, d).select("name", C("n_chars").alias("size_bytes"), C("doc_id").alias("modified_ns")), _docs(s, d).where("doc_id % 9 <> 2").select("name", (C("n_chars") + (C("doc_id") % 7 == 3).cast("long")).alias("size_bytes"), C("doc_id").alias("modified_ns"))), "SELECT 'n' || CAST(doc_id AS STRING) AS name, CASE WHEN doc_id % 9 = 2 THEN 'missing' WHEN doc_id % 7 = 3 THEN 'growing' ELSE 'stable' END AS state FROM documents"),
@@ -151,6 +160,9 @@ ENTRIES = {
     "a22_backlog": (lambda s, d: media.backlog(frame(s, d, "media"), frame(s, d, "media").where("id % 3 = 0"), ("source_key",)), sql("SELECT count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM media WHERE id % 3 <> 0", "media")),
     "l3_oldest": (lambda s, d: reconcile.oldest(frame(s, d, "media"), T0 + 10**15, 25).select("media_segment_id"), sql(f"SELECT media_segment_id FROM media WHERE created_ns < {T0 + 10**15} ORDER BY created_ns, media_segment_id LIMIT 25", "media")),
     "l4_media_sample": (lambda s, d: reconcile.media_sample(frame(s, d, "media").withColumn("included", C("id") % 2 == 0), 3, "collector_id").select("id"), sql("SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY collector_id ORDER BY sha256, path) AS n FROM media WHERE id % 2 = 0) AS x WHERE n <= 3", "media")),
+    "l5_scan_stream": (_l5, sql("""r AS (SELECT source_key, row_number() OVER (ORDER BY source_key) - 1 AS p, count(*) OVER () AS c FROM media), n AS (SELECT max(c) AS c, (2 * max(c) + 4) // 5 AS n FROM r),
+        t AS (SELECT b.b AS batch, (b.b * n.n + i.i) % n.c AS p FROM n, (SELECT unnest(range(4)) AS b) AS b, (SELECT unnest(range((2 * max(c) + 4) // 5)) AS i FROM r) AS i)
+        SELECT r.source_key, CAST(t.batch AS BIGINT) AS batch FROM t JOIN r ON t.p = r.p""".replace("r AS (", "WITH r AS (", 1), "media")),
     "l5_fair_scan": (lambda s, d: media.fair_scan(frame(s, d, "media"), "source_key", "s150", 60).select("source_key"), sql("SELECT source_key FROM media ORDER BY source_key <= 's150', source_key LIMIT 60", "media")),
     "r1_retention_plan": (lambda s, d: reconcile.retention_plan(frame(s, d, "media"), _status(s, d), _backup(s, d), "critical", T0 + 10**15, 40).select("media_segment_id"), sql(LATEST.format(k="media_segment_id", t="slog") + f"SELECT media.media_segment_id FROM media JOIN cur ON media.media_segment_id = cur.media_segment_id WHERE cur.status IN ('accepted', 'restored') AND media.id % 4 <> 1 AND media.id % 7 <> 2 AND created_ns < {T0 + 10**15} ORDER BY created_ns, media.media_segment_id LIMIT 40", "media", "slog")),
     "r2_retention_fold": (lambda s, d: reconcile.retention_fold(frame(s, d, "retention"), frame(s, d, "media").where("id % 2 = 0").select("path")), sql("WITH cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY media_segment_id, path ORDER BY id DESC) AS rn FROM retention) AS x WHERE rn = 1) SELECT media_segment_id, path, CASE WHEN status = 'planned' AND path NOT IN (SELECT path FROM media WHERE id % 2 = 0) THEN 'deleted' ELSE status END AS status FROM cur", "retention", "media")),

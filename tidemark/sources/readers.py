@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ACTIVITY_PAGE = "bucket_id string, page int, id long, timestamp string, duration double, data string"
@@ -33,15 +33,30 @@ def activity_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ACTIVITY_PAGE).json(path)
 
 
+def _named(file: Column) -> tuple[Column, Column]:
+    """name and part (media, sidecar or ready) of a file of a drop folder."""
+    part = F.when(file.endswith(SUFFIXES[0]), "sidecar").when(file.endswith(SUFFIXES[1]), "ready").otherwise("media")
+    return F.regexp_replace(file, r"(\.sidecar\.json|\.ready)$", "").alias("name"), part.alias("part")
+
+
+def drop_archives(spark: SparkSession, path: str, stream: bool = False, bodies: bool = False) -> DataFrame:
+    """The rows of drop_folder from archives: Parquet files with a row (file, modified_ns, content) for each landed file.
+
+    So very many small bodies are some large files to list; without bodies their column is not read, but for its length.
+    """
+    schema = "file string, modified_ns long, content binary"
+    files = (spark.readStream if stream else spark.read).schema(schema).parquet(path)
+    keep = [F.col("content")] if bodies else []
+    return files.select(*_named(F.col("file")), F.concat(F.col("_metadata.file_path"), F.lit("#"), "file").alias("path"), F.octet_length("content").cast("long").alias("size_bytes"), "modified_ns", *keep)
+
+
 def drop_folder(spark: SparkSession, path: str, stream: bool = False, bodies: bool = False) -> DataFrame:
     """(name, part, path, size_bytes, modified_ns[, content]) of a folder of name, name.sidecar.json, name.ready."""
     reader = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary") if stream else spark.read
     files = reader.format("binaryFile").load(path)
     file = F.regexp_extract("path", r"([^/]+)$", 1)
-    part = F.when(file.endswith(SUFFIXES[0]), "sidecar").when(file.endswith(SUFFIXES[1]), "ready").otherwise("media")
-    name = F.regexp_replace(file, r"(\.sidecar\.json|\.ready)$", "")
     keep = [F.col("content")] if bodies else []
-    return files.select(name.alias("name"), part.alias("part"), "path", F.col("length").alias("size_bytes"), (F.unix_micros("modificationTime") * 1000).alias("modified_ns"), *keep)
+    return files.select(*_named(file), "path", F.col("length").alias("size_bytes"), (F.unix_micros("modificationTime") * 1000).alias("modified_ns"), *keep)
 
 
 def manifests(spark: SparkSession, path: str) -> DataFrame:

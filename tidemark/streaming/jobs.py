@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -210,6 +210,28 @@ def positions(spark: SparkSession, path: str) -> DataFrame:
     return out.select("collector_id", "at.bucket_id", "at.source_time_ns", "at.source_event_id", "error")
 
 
+def fair_scans(ticks: DataFrame, listing: Callable[[], DataFrame], key: str, n: int, path: str, checkpoint: str):
+    """Start a query that picks, in each micro-batch of ticks, the n next keys of a listing, and goes on from there in the next.
+
+    Picks go to ``picked``, then the last of them to ``cursor``, by number of micro-batch; a batch begins at the cursor of the
+    one before, so a replayed one picks the same keys of the same listing.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        found = table_at(spark, f"{path}/cursor", f"{key} string, batch long").where(F.col("batch") == number - 1).first()
+        # behind the cursor, then from the beginning: a flag before the key
+        turn = F.lit(0) if found is None else (F.col(key) <= found[key]).cast("int")
+        picked = listing().select(key, turn.alias("_turn")).orderBy("_turn", key).limit(n)
+        picked.write.mode("overwrite").parquet(f"{path}/scans/batch={number}")
+        picked = spark.read.schema(f"{key} string, _turn int").parquet(f"{path}/scans/batch={number}")
+        picked.select(key).write.mode("overwrite").parquet(f"{path}/picked/batch={number}")
+        last = picked.agg(F.max(F.struct("_turn", key))[key].alias(key)).select(F.coalesce(F.col(key), F.lit(found and found[key])).alias(key))
+        last.coalesce(1).write.mode("overwrite").parquet(f"{path}/cursor/batch={number}")
+
+    return ticks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 class Revisions(StatefulProcessor):
     """For each key the longest duration so far; gives out base, revision, duplicate or error for each row."""
 
