@@ -47,13 +47,15 @@ def _t6(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{out}/results").select("id", "status", "fact_id")
 
 
-def _positions(s: SparkSession, d: str) -> DataFrame:
-    return frame(s, d, "raw").select("id", "collector_id", F.when(C("collector_id") == "c3", F.concat(F.lit("b"), F.floor(C("id") / 300).cast("string"))).otherwise("b").alias("bucket_id"), C("device_ns").alias("source_time_ns"), C("id").alias("source_event_id"))
+def _positions(s: SparkSession, d: str, changed: bool = False) -> DataFrame:
+    """Positions of all events; if changed, collector c3 goes on to other buckets."""
+    bucket = F.when(C("collector_id") == "c3", F.concat(F.lit("b"), F.floor(C("id") / 300).cast("string"))).otherwise("b") if changed else F.lit("b")
+    return frame(s, d, "raw").select("id", "collector_id", bucket.alias("bucket_id"), C("device_ns").alias("source_time_ns"), C("id").alias("source_event_id"))
 
 
 def _t2(s: SparkSession, d: str) -> DataFrame:
     """The last checkpoint of a stream, for collectors that keep their bucket."""
-    stream, _ = _landed(_positions(s, d).where("collector_id <> 'c3'"), "positions")
+    stream, _ = _landed(_positions(s, d), "positions")
     out = work_dir(s, "positions")
     jobs.checkpointed(stream, f"{out}/table", f"{out}/checkpoint").awaitTermination()
     t = s.read.parquet(f"{out}/table")
@@ -62,7 +64,7 @@ def _t2(s: SparkSession, d: str) -> DataFrame:
 
 
 def _t2_batch(s: SparkSession, d: str) -> DataFrame:
-    p = _positions(s, d)
+    p = _positions(s, d, changed=True)
     old = activity.advance_checkpoint(p.limit(0), p.where("id < 250")).drop("error")
     return activity.advance_checkpoint(old, p.where("id >= 250"))
 
@@ -155,7 +157,7 @@ ENTRIES = {
     "w11_t4_revisions": (lambda s, d: activity.revisions(frame(s, d, "revs")).select("seq", "status", C("idempotency_key").isNotNull().alias("has_key")), sql(REVS + "SELECT seq, status, status IN ('base', 'revision') AS has_key FROM st", "revs")),
     "w12_t1_stable_prefix": (lambda s, d: activity.stable_prefix(frame(s, d, "hb"), "collector_id", ("device_start_ns", "id"), "device_end_ns", CUT).select("id"), sql(f"WITH w AS (SELECT id, max(CASE WHEN device_end_ns >= {CUT} THEN 1 ELSE 0 END) OVER (PARTITION BY collector_id ORDER BY device_start_ns, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS late FROM hb) SELECT id FROM w WHERE late = 0", "hb")),
     "t1_released_stream": (_t1, sql("SELECT id FROM raw WHERE event_type = 'activitywatch.event' AND device_ns // 1000 < (SELECT max(device_ns) // 1000 - 7200000000 FROM raw WHERE event_type = 'activitywatch.event')", "raw")),
-    "t2_checkpoint_stream": (_t2, sql("SELECT collector_id, 'b' AS bucket_id, max(device_ns) AS source_time_ns, arg_max(id, (device_ns, id)) AS source_event_id, CAST(NULL AS VARCHAR) AS error FROM raw WHERE collector_id <> 'c3' GROUP BY 1", "raw")),
+    "t2_checkpoint_stream": (_t2, sql("SELECT collector_id, 'b' AS bucket_id, max(device_ns) AS source_time_ns, arg_max(id, (device_ns, id)) AS source_event_id, CAST(NULL AS VARCHAR) AS error FROM raw GROUP BY 1", "raw")),
     "t1_released_rows": (lambda s, d: _deferred(s, d)[0].select("id", "collector_id", "state", F.concat_ws(",", "quality_flags").alias("quality_flags")), sql(STABLE + "SELECT id, collector_id, state, array_to_string(quality_flags, ',') AS quality_flags FROM w WHERE late = 0", "hb")),
     "t2_deferred_stream": (lambda s, d: _deferred(s, d)[1], sql(STABLE + "SELECT o.collector_id, any_value(own) FILTER (WHERE id IS NOT NULL) AS bucket_id, max(device_start_ns) AS source_time_ns, arg_max(id, (device_start_ns, id)) AS source_event_id, any_value(error) AS error FROM o LEFT JOIN (SELECT * FROM w WHERE late = 0) AS r ON o.collector_id = r.collector_id GROUP BY 1", "hb")),
     "t2_checkpoint_batch": (_t2_batch, sql("WITH p AS (SELECT * FROM raw WHERE collector_id <> 'c3' OR id < 250) SELECT collector_id, CASE WHEN collector_id = 'c3' THEN 'b0' ELSE 'b' END AS bucket_id, max(device_ns) AS source_time_ns, arg_max(id, (device_ns, id)) AS source_event_id, CASE WHEN collector_id = 'c3' THEN 'ACTIVITY_BUCKET_CHANGED' END AS error FROM p GROUP BY 1", "raw")),

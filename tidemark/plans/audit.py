@@ -65,27 +65,12 @@ def _a20(s: SparkSession, d: str) -> DataFrame:
     return audit.rollup(days, ("crashes", "restarts"), PEAKS, ("free_bytes",))
 
 
-def _backups(s: SparkSession, d: str) -> DataFrame:
-    return _samples(s, d).where("id % 37 = 5").select("host_id", C("at_ns").alias("created_ns"))
-
-
 def _counts(s: SparkSession, d: str) -> DataFrame:
     x = _samples(s, d)
     return x.groupBy("day", C("host_id").alias("table_name")).agg(F.count("*").alias("n"))
 
 
-def _records(s: SparkSession, d: str) -> DataFrame:
-    n = s.read.parquet(f"{d}/nation.parquet")
-    return n.select(F.get(F.array(*(F.lit(k) for k in ("process", "reboot", "activity", "media", "restore"))), (C("n_nationkey") % 7).cast("int")).alias("kind"), F.when(C("n_nationkey") % 4 == 3, "failed").otherwise("passed").alias("status"), F.when(C("n_nationkey") % 5 < 4, C("n_nationkey") * 10.0).alias("duration_s"), F.lit(90.0).alias("rto_s"), C("n_nationkey").alias("id")).where("id < 9")
-
-
 KINDS = ("process", "reboot", "activity", "media", "restore", "rollback")
-REC = "WITH rc AS (SELECT n_nationkey AS id, CASE n_nationkey % 7 WHEN 0 THEN 'process' WHEN 1 THEN 'reboot' WHEN 2 THEN 'activity' WHEN 3 THEN 'media' WHEN 4 THEN 'restore' END AS kind, CASE WHEN n_nationkey % 4 = 3 THEN 'failed' ELSE 'passed' END AS status, CASE WHEN n_nationkey % 5 < 4 THEN n_nationkey * 10.0 END AS duration_s FROM nation WHERE n_nationkey < 9)"
-
-
-def _runs(s: SparkSession, d: str) -> DataFrame:
-    x = _samples(s, d).where("id % 41 = 3")
-    return x.select("day", F.when(C("id") % 3 == 0, "failed").otherwise("passed").alias("status"), (5 + (C("id") % 4 == 1).cast("int")).alias("segments"), (C("id") % 5 != 2).alias("in_window"))
 
 
 def _verdict(s: SparkSession, d: str) -> DataFrame:
@@ -94,10 +79,6 @@ def _verdict(s: SparkSession, d: str) -> DataFrame:
     return audit.daily_verdict(resources, health)
 
 
-def _hands(s: SparkSession, d: str) -> DataFrame:
-    return frame(s, d, "modes").where("mode = 'exam' and id % 50 = 7").select("host_id", "id")
-
-
 def _all_hands(s: SparkSession, d: str) -> DataFrame:
     return frame(s, d, "modes").where("mode = 'exam'").select("host_id", "id")
 
@@ -135,19 +116,12 @@ ENTRIES = {
     "a23_tree_sizes": (lambda s, d: audit.tree_sizes(frame(s, d, "media").withColumn("length", C("size_bytes")), C("collector_id")), sql("SELECT collector_id AS root, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM media GROUP BY 1", "media")),
     "w6_cpu_percent": (lambda s, d: audit.cpu_percent(_samples(s, d)).select("id", F.round("cpu_percent", 6).alias("cpu_percent")), sql("SELECT id, round(CASE WHEN lag(pid) OVER o = pid AND at_ns > lag(at_ns) OVER o THEN greatest(0, 100 * (cpu_s - lag(cpu_s) OVER o) / ((at_ns - lag(at_ns) OVER o) / 1e9)) END, 6) AS cpu_percent FROM samples WINDOW o AS (PARTITION BY host_id ORDER BY at_ns, id)", "samples")),
     "w7_largest_gap": (lambda s, d: audit.largest_gap(_samples(s, d), frame(s, d, "exclusions")).withColumn("gap_s", F.round("gap_s", 6)), sql(GAP + "SELECT host_id, day, round(gap_s, 6) AS gap_s FROM ga", "samples", "exclusions")),
-    "w9_backup_gaps": (lambda s, d: audit.backup_gaps(_backups(s, d), 86700).select("created_ns", F.round("gap_s", 6).alias("gap_s"), "rpo_met"), sql("WITH b AS (SELECT at_ns AS created_ns, (at_ns - lag(at_ns) OVER (PARTITION BY host_id ORDER BY at_ns)) / 1e9 AS g FROM samples WHERE id % 37 = 5) SELECT created_ns, round(g, 6) AS gap_s, g <= 86700 AS rpo_met FROM b", "samples")),
     "j8_outside_windows": (lambda s, d: intervals.outside(_samples(s, d), "at_ns", frame(s, d, "exclusions")).select("id"), sql("SELECT id FROM samples WHERE NOT EXISTS (SELECT 1 FROM exclusions x WHERE x.start_ns <= at_ns AND at_ns < x.end_ns)", "samples", "exclusions")),
     "j10_count_deltas": (lambda s, d: audit.count_deltas(_counts(s, d)), sql("WITH c AS (SELECT day, host_id AS table_name, count(*) AS n FROM samples GROUP BY 1, 2) SELECT a.day, a.table_name, a.n - b.n AS delta, a.n >= b.n AS passed FROM c a JOIN c b ON a.day = b.day + 1 AND a.table_name = b.table_name", "samples")),
     "q2_resource_gate": (lambda s, d: audit.resource_gate(_peaks(s, d), LIMITS, FLOORS), sql(PEAK + f" SELECT host_id, day, {RES_GATE} AS passed FROM pk", "samples")),
     "q3_sample_gate": (lambda s, d: audit.sample_gate(_samples(s, d), frame(s, d, "exclusions"), 7200).withColumn("gap_s", F.round("gap_s", 6)), sql(GAP + HEALTH + "SELECT host_id, day, samples, unhealthy, round(gap_s, 6) AS gap_s, passed FROM sg", "samples", "exclusions")),
-    "q6_exercise_gate": (lambda s, d: audit.exercise_gate(_records(s, d), KINDS), REC + ", k AS (SELECT unnest(['process', 'reboot', 'activity', 'media', 'restore', 'rollback']) AS kind), g AS (SELECT kind, count(*) AS n, count(*) FILTER (WHERE status = 'passed' AND duration_s <= 90) AS p FROM rc GROUP BY 1) SELECT k.kind, coalesce(n, 0) AS n, coalesce(n = 1 AND p = 1, false) AS passed FROM k LEFT JOIN g ON k.kind = g.kind"),
-    "q6_exercise_results": (lambda s, d: audit.exercise_results(_records(s, d)).select("id", "result", "error_code"), REC + " SELECT id, CASE WHEN status = 'passed' AND duration_s <= 90 THEN 'passed' ELSE 'failed' END AS result, CASE WHEN status = 'passed' AND NOT coalesce(duration_s <= 90, false) THEN 'EXERCISE_RTO_MISSED' END AS error_code FROM rc"),
-    "q7_publisher_gate": (lambda s, d: audit.publisher_gate(_runs(s, d), 5), sql("WITH r AS (SELECT day, id % 3 <> 0 AS ok, id % 3 <> 0 AND id % 4 <> 1 AND id % 5 <> 2 AS good FROM samples WHERE id % 41 = 3) SELECT day, count(*) FILTER (WHERE ok) AS runs, count(*) FILTER (WHERE ok) = 1 AND count(*) FILTER (WHERE good) = 1 AS passed FROM r GROUP BY 1", "samples")),
     "q9_daily_verdict": (_verdict, sql(VERDICT + " SELECT * FROM dv", "samples", "exclusions")),
-    "q10_final_verdict": (lambda s, d: audit.final_verdict(_verdict(s, d), DAY0 + 1, 14, _hands(s, d)), sql(VERDICT + f", hs AS (SELECT host_id, count(*) AS n FROM modes WHERE mode = 'exam' AND id % 50 = 7 GROUP BY 1), fv AS (SELECT host_id, count(*) AS present, count(*) FILTER (WHERE passed) AS passing FROM dv WHERE day BETWEEN {DAY0 + 1} AND {DAY0 + 14} GROUP BY 1) SELECT h.host_id, coalesce(present, 0) AS present, coalesce(passing, 0) AS passing, coalesce(n, 0) AS interventions, coalesce(passing, 0) = 14 AND coalesce(n, 0) = 0 AS passed FROM (SELECT DISTINCT host_id FROM samples) h LEFT JOIN fv ON h.host_id = fv.host_id LEFT JOIN hs ON h.host_id = hs.host_id", "samples", "exclusions", "modes")),
-    "q11_interventions": (lambda s, d: _hands(s, d), sql("SELECT host_id, id FROM modes WHERE mode = 'exam' AND id % 50 = 7", "modes")),
     "q13_media_sample_gate": (lambda s, d: audit.rehash_gate(_sampled(s, d), _bodies(s, d)), sql("WITH f AS (SELECT *, row_number() OVER (PARTITION BY id % 5 ORDER BY sha256, path) AS n FROM media WHERE id % 2 = 0) SELECT id % 5 AS day, count(*) AS n, bool_and(id % 14 <> 4) AS passed FROM f WHERE n <= 4 GROUP BY 1", "media")),
-    # the same over all rows of the table; the queries above keep the rows that their SQL names
     "w9_backup_gaps_all": (lambda s, d: audit.backup_gaps(_samples(s, d).select("host_id", C("at_ns").alias("created_ns")), 86700).select("created_ns", F.round("gap_s", 6).alias("gap_s"), "rpo_met"), sql("WITH b AS (SELECT at_ns AS created_ns, (at_ns - lag(at_ns) OVER (PARTITION BY host_id ORDER BY at_ns)) / 1e9 AS g FROM samples) SELECT created_ns, round(g, 6) AS gap_s, g <= 86700 AS rpo_met FROM b", "samples")),
     "q6_exercise_gate_all": (lambda s, d: audit.exercise_gate(_all_records(s, d), KINDS), sql(ALL_REC + ", k AS (SELECT unnest(['process', 'reboot', 'activity', 'media', 'restore', 'rollback']) AS kind), g AS (SELECT kind, count(*) AS n, count(*) FILTER (WHERE status = 'passed' AND duration_s <= 90) AS p FROM rc GROUP BY 1) SELECT k.kind, coalesce(n, 0) AS n, coalesce(n = 1 AND p = 1, false) AS passed FROM k LEFT JOIN g ON k.kind = g.kind", "samples")),
     "q6_exercise_results_all": (lambda s, d: audit.exercise_results(_all_records(s, d)).select("id", "result", "error_code"), sql(ALL_REC + " SELECT id, CASE WHEN status = 'passed' AND duration_s <= 90 THEN 'passed' ELSE 'failed' END AS result, CASE WHEN status = 'passed' AND NOT coalesce(duration_s <= 90, false) THEN 'EXERCISE_RTO_MISSED' END AS error_code FROM rc", "samples")),
@@ -155,3 +129,4 @@ ENTRIES = {
     "q10_final_verdict_all": (lambda s, d: audit.final_verdict(_verdict(s, d), DAY0 + 1, 14, _all_hands(s, d)), sql(VERDICT + f", hs AS (SELECT host_id, count(*) AS n FROM modes WHERE mode = 'exam' GROUP BY 1), fv AS (SELECT host_id, count(*) AS present, count(*) FILTER (WHERE passed) AS passing FROM dv WHERE day BETWEEN {DAY0 + 1} AND {DAY0 + 14} GROUP BY 1) SELECT h.host_id, coalesce(present, 0) AS present, coalesce(passing, 0) AS passing, coalesce(n, 0) AS interventions, coalesce(passing, 0) = 14 AND coalesce(n, 0) = 0 AS passed FROM (SELECT DISTINCT host_id FROM samples) h LEFT JOIN fv ON h.host_id = fv.host_id LEFT JOIN hs ON h.host_id = hs.host_id", "samples", "exclusions", "modes")),
     "q11_interventions_all": (lambda s, d: _all_hands(s, d), sql("SELECT host_id, id FROM modes WHERE mode = 'exam'", "modes")),
 }
+ENTRIES |= {name: ENTRIES[f"{name}_all"] for name in ("w9_backup_gaps", "q6_exercise_gate", "q6_exercise_results", "q7_publisher_gate", "q10_final_verdict", "q11_interventions")}  # names of earlier forms, which took some rows only

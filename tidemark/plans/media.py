@@ -147,7 +147,6 @@ ENTRIES = {
     "j4_pairs": (lambda s, d: media.paired(*_parts(s, d)).select("doc_id", C("s_raw").isNotNull().alias("has_sidecar"), C("b_sha256").isNotNull().alias("has_body")), "SELECT doc_id, doc_id % 13 <> 1 AS has_sidecar, doc_id % 13 <> 6 AS has_body FROM documents"),
     "j5_backed_up": (lambda s, d: reconcile.backed_up(frame(s, d, "media"), _backup(s, d)).select("id"), sql("SELECT id FROM media WHERE id % 4 <> 1 AND id % 7 <> 2", "media")),
     "j6_three_way": (_j6, sql(J6, "media")),
-    "j9_orphans": (lambda s, d: reconcile.orphans(_docs(s, d).select(F.concat(F.lit("staging/"), C("doc_id").cast("string")).alias("path"), C("doc_id").alias("modified_ns")), frame(s, d, "ilog"), ("pending", "validated"), 150), sql(LATEST.format(k="ingest_key", t="ilog") + "SELECT 'staging/' || CAST(doc_id AS STRING) AS path, doc_id AS modified_ns FROM documents WHERE doc_id < 150 AND 'staging/' || CAST(doc_id AS STRING) NOT IN (SELECT path FROM cur WHERE status IN ('pending', 'validated'))", "ilog")),
     "m1_decisions": (_m1, M1),
     "m2_verified_bodies": (lambda s, d: media.verified(_docs(s, d).where("doc_id % 8 <> 3").select("name", F.encode("text", "UTF-8").alias("content")), _docs(s, d).select("name", F.octet_length("text").cast("long").alias("size_bytes"), F.when(C("doc_id") % 6 == 1, "bad").otherwise(F.sha2("text", 256)).alias("sha256"))), "SELECT 'n' || CAST(doc_id AS STRING) AS name, doc_id % 8 <> 3 AS size_ok, doc_id % 8 <> 3 AND doc_id % 6 <> 1 AS hash_ok FROM documents"),
     "m3_accepted": (_m3, sql(J3 + ", n1 AS (SELECT *, row_number() OVER (PARTITION BY collector_id, source_key ORDER BY cid) AS a FROM cl WHERE claim = 'new'), n2 AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY cid) AS b FROM n1 WHERE a = 1) SELECT count(*) AS segments, CAST(sum(cid) AS BIGINT) AS cids, count(*) AS ids, count(*) AS states, count(*) AS events FROM n2 WHERE b = 1", "media")),
@@ -158,13 +157,11 @@ ENTRIES = {
     "m6_grown_files": (lambda s, d: media.grown(_docs(s, d).select("name", C("n_chars").alias("size_bytes"), C("doc_id").alias("modified_ns")), _docs(s, d).where("doc_id % 9 <> 2").select("name", (C("n_chars") + (C("doc_id") % 7 == 3).cast("long")).alias("size_bytes"), C("doc_id").alias("modified_ns"))), "SELECT 'n' || CAST(doc_id AS STRING) AS name, CASE WHEN doc_id % 9 = 2 THEN 'missing' WHEN doc_id % 7 = 3 THEN 'growing' ELSE 'stable' END AS state FROM documents"),
     "m7_unchanged_skipped": (lambda s, d: (lambda x: media.unchanged_skipped(x, x.where("doc_id % 3 = 0")).select("doc_id"))(_docs(s, d).select("doc_id", C("name").alias("ingest_key"), F.lit("terminal").alias("kind"), F.sha2("text", 256).alias("signature"))), "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0"),
     "a22_backlog": (lambda s, d: media.backlog(frame(s, d, "media"), frame(s, d, "media").where("id % 3 = 0"), ("source_key",)), sql("SELECT count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM media WHERE id % 3 <> 0", "media")),
-    "l3_oldest": (lambda s, d: reconcile.oldest(frame(s, d, "media"), T0 + 10**15, 25).select("media_segment_id"), sql(f"SELECT media_segment_id FROM media WHERE created_ns < {T0 + 10**15} ORDER BY created_ns, media_segment_id LIMIT 25", "media")),
     "l4_media_sample": (lambda s, d: reconcile.media_sample(frame(s, d, "media").withColumn("included", C("id") % 2 == 0), 3, "collector_id").select("id"), sql("SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY collector_id ORDER BY sha256, path) AS n FROM media WHERE id % 2 = 0) AS x WHERE n <= 3", "media")),
     "l5_scan_stream": (_l5, sql("""r AS (SELECT source_key, row_number() OVER (ORDER BY source_key) - 1 AS p, count(*) OVER () AS c FROM media), n AS (SELECT max(c) AS c, (2 * max(c) + 4) // 5 AS n FROM r),
         t AS (SELECT b.b AS batch, (b.b * n.n + i.i) % n.c AS p FROM n, (SELECT unnest(range(4)) AS b) AS b, (SELECT unnest(range((2 * max(c) + 4) // 5)) AS i FROM r) AS i)
         SELECT r.source_key, CAST(t.batch AS BIGINT) AS batch FROM t JOIN r ON t.p = r.p""".replace("r AS (", "WITH r AS (", 1), "media")),
     "l5_fair_scan": (lambda s, d: media.fair_scan(frame(s, d, "media"), "source_key", "s150", 60).select("source_key"), sql("SELECT source_key FROM media ORDER BY source_key <= 's150', source_key LIMIT 60", "media")),
-    "r1_retention_plan": (lambda s, d: reconcile.retention_plan(frame(s, d, "media"), _status(s, d), _backup(s, d), "critical", T0 + 10**15, 40).select("media_segment_id"), sql(LATEST.format(k="media_segment_id", t="slog") + f"SELECT media.media_segment_id FROM media JOIN cur ON media.media_segment_id = cur.media_segment_id WHERE cur.status IN ('accepted', 'restored') AND media.id % 4 <> 1 AND media.id % 7 <> 2 AND created_ns < {T0 + 10**15} ORDER BY created_ns, media.media_segment_id LIMIT 40", "media", "slog")),
     "r2_retention_fold": (lambda s, d: reconcile.retention_fold(frame(s, d, "retention"), frame(s, d, "media").where("id % 2 = 0").select("path")), sql("WITH cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY media_segment_id, path ORDER BY id DESC) AS rn FROM retention) AS x WHERE rn = 1) SELECT media_segment_id, path, CASE WHEN status = 'planned' AND path NOT IN (SELECT path FROM media WHERE id % 2 = 0) THEN 'deleted' ELSE status END AS status FROM cur", "retention", "media")),
     "r3_manifest_errors": (_r3, R3),
     # the same with cutoffs that follow the table; the queries above keep the cutoffs that their SQL names
@@ -172,3 +169,4 @@ ENTRIES = {
     "l3_oldest_all": (lambda s, d: reconcile.oldest(frame(s, d, "media"), _middle(frame(s, d, "media"), "created_ns"), 25).select("media_segment_id"), sql(f"SELECT media_segment_id FROM media WHERE created_ns < {HALF} ORDER BY created_ns, media_segment_id LIMIT 25", "media")),
     "r1_retention_plan_all": (lambda s, d: reconcile.retention_plan(frame(s, d, "media"), _status(s, d), _backup(s, d), "critical", _middle(frame(s, d, "media"), "created_ns"), 40).select("media_segment_id"), sql(LATEST.format(k="media_segment_id", t="slog") + f"SELECT media.media_segment_id FROM media JOIN cur ON media.media_segment_id = cur.media_segment_id WHERE cur.status IN ('accepted', 'restored') AND media.id % 4 <> 1 AND media.id % 7 <> 2 AND created_ns < {HALF} ORDER BY created_ns, media.media_segment_id LIMIT 40", "media", "slog")),
 }
+ENTRIES |= {name: ENTRIES[f"{name}_all"] for name in ("j9_orphans", "l3_oldest", "r1_retention_plan")}  # names of earlier forms, which took some rows only
