@@ -159,7 +159,7 @@ def train(docs: DataFrame, most: int = 400) -> Model | None:
     for lang, n in of.items():
         share = F.when(F.col("lang") == lang, min(1.0, most / n)).otherwise(share)
     pick = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text"))
-    rows = rows.where(F.pmod(pick, F.lit(1 << 20)) < share * (1 << 20))
+    rows = rows.where(F.pmod(pick, F.lit(1 << 40)) < share * (1 << 40))  # fine enough for some 10**14 rows of a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
