@@ -1,10 +1,13 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for each operator."""
 
 import hashlib
+import re
+import struct
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tidemark.llm import bpe, fingerprint, language, license_scan, mix, near_dup, top_k, toxicity, url_filter, warc
 from tidemark.llm.common import held_out
@@ -214,6 +217,25 @@ def test_shards_are_full_and_their_counts_are_drawn(spark, monkeypatch):
         assert 0.3 < spread / (mean * (1 - source.slots / own.total)) < 2  # as of a multinomial draw
 
 
+def test_words_taken_equal_a_count_of_places(spark):
+    """Each word of a source by its place, each block by the places of the mix that have it."""
+    rng = np.random.default_rng(3)
+    rows = [(i, _prose(int(rng.integers(0, 400)), i), [None, "a", "b", "c"][i % 4]) for i in range(90)] + [(7, _prose(50, 7), "a")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    own = mix.Mix(docs)
+    length = {r.sid: r.length for r in own.sources.collect()}
+    times = {}
+    for r in own.slots().collect():
+        times[r.sid, r.block] = times.get((r.sid, r.block), 0) + 1
+    placed = own.placed().collect()
+    ends = {}
+    for r in sorted(placed, key=lambda r: (r.sid, r.start, r.size)):  # documents follow each other without gaps
+        assert r.start == ends.get(r.sid, 0)
+        ends[r.sid] = r.start + r.size
+    want = sorted((r.doc_id, r.size, sum(times.get((r.sid, w // length[r.sid]), 0) for w in range(r.start, r.start + r.size))) for r in placed)
+    assert sorted((r.doc_id, r.size, r.taken) for r in mix.mix_counts(docs).collect()) == want and len(want) == len(rows)
+
+
 def test_another_draw_gives_another_mix(spark, monkeypatch):
     rows = [(i, _prose(900, i), f"s{i % 3}") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -308,6 +330,41 @@ def test_fingerprints_equal_brute_force(spark):
     assert got[70].near_edited > got[70].near_next
 
 
+def _hashed(*values) -> int:
+    """XXH64 of values one after the other, each with the last hash as seed: text, 64-bit and (as a tuple) 32-bit numbers."""
+    h = 42
+    for v in values:
+        data = v.encode() if isinstance(v, str) else struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v)
+        h = xxhash.xxh64_intdigest(data, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _plain_fingerprint(text):
+    """Order MinHash by its definition: k-mers with their number among equal ones, dealt to bins by a hash, the two least in text order."""
+    words = [_hashed(w) for w in re.findall(r"[^\x20\x09-\x0D]{1,16}", text or "")]
+    high = lambda h: h & ~((1 << 26) - 1)
+    kmers = [_hashed(*words[i : i + 3]) for i in range(len(words) - 2)] or ([_hashed(*words)] if words else [])
+    seen, dealt = {}, []
+    for place, k in enumerate(map(high, kmers)):
+        seen[k] = seen.get(k, 0) + 1
+        dealt.append((high(_hashed(k, (seen[k],))), place))
+    out = []
+    for b in range(-16, 16):
+        least = sorted(x for x in dealt if x[0] >> 59 == b)[:2]
+        if least:
+            value = _hashed(*(h for h, _ in sorted(least, key=lambda x: x[1])))
+            out.append(f"{b + 16:02x}{value & (1 << 64) - 1:016x}"[:10])
+    return out
+
+
+def test_fingerprints_equal_their_definition(spark):
+    rng = np.random.default_rng(12)
+    texts = ["", None, "one", "one two", "a b c", "a b c " * 40, "x" * 100, "漢字 " * 50, " \t\n"] + [" ".join(f"w{k}" for k in rng.integers(0, int(rng.integers(2, 60)), int(rng.integers(1, 300)))) for _ in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(3)
+    got = df.select("i", fingerprint.fingerprint(F.coalesce("t", F.lit(""))).alias("f"), F.lit(None).alias("x")).collect()
+    assert {r.i: r.f for r in got} == {i: _plain_fingerprint(t) for i, t in enumerate(texts)}
+
+
 def test_fingerprints_of_far_and_missing_ids(spark):
     ids = [-(1 << 63), -9 * 10**18, 9 * 10**18, (1 << 63) - 1, 0, 5, None, None, 5]
     texts = [_prose(30, i) for i in range(len(ids))]
