@@ -29,12 +29,16 @@ HEARTBEAT_CODES = {
 
 
 def within_depth(raw: Column, most: int) -> Column:
-    """Whether objects and arrays nest at most so deep in a JSON text: brackets outside of quoted text, taken off pair by pair from inside."""
+    """Whether objects and arrays nest at most so deep in a JSON text: brackets outside of quoted text, taken off pair by pair from inside.
+
+    Texts with no more opening brackets than that, as most are, are not looked at.
+    """
+    opened = F.length(raw) - F.length(F.translate(raw, "[{", ""))
     left = F.regexp_replace(F.regexp_replace(raw, r"(?s)\\.", ""), '"[^"]*"', "")
     left = F.regexp_replace(left, r"[^\[\]{}]", "")
     for _ in range(most):
         left = F.regexp_replace(left, r"\[\]|\{\}", "")
-    return left == ""
+    return F.when(opened <= most, F.lit(True)).otherwise(left == "")
 
 
 def strict_object(raw: Column, fields: tuple[str, ...], required: bool = False, parsed: Column | None = None) -> Column:
