@@ -136,9 +136,13 @@ class Scanner:
             for w in few:
                 self.anchored.setdefault(w, []).append(i)
         self.anchors = re.compile(b"|".join(sorted(map(re.escape, self.anchored), key=len, reverse=True)))
-        self.reach = max(len(w) + m for w, m in zip(self.words, self.most, strict=True))
+        span = [len(w) + m for w, m in zip(self.words, self.most, strict=True)]
+        self.reach = max(span)
+        self.near = {w: max(span[i] for i in of) for w, of in self.anchored.items()}  # how far from its anchor a template's run goes
         self.sizes = [len(self.compressed(b" ".join(w))) for w in self.words]
         self.dictionaries = [zs.ZstdCompressionDict(b" ".join(w), dict_type=zs.DICT_TYPE_RAWCONTENT) for w in self.words]
+        for d in self.dictionaries:
+            d.precompute_compress(compression_params=PARAMETERS)
         self.given = [zs.ZstdCompressor(compression_params=PARAMETERS, dict_data=d).compress for d in self.dictionaries]
 
     def compressed(self, block: bytes, template: int | None = None) -> bytes:
@@ -165,13 +169,13 @@ class Scanner:
             yield from self._runs(i, words[:a], low)
             yield from self._runs(i, words[b:], low + b)
 
-    def _blocks(self, places: list[int], n: int) -> Iterator[tuple[int, int]]:
-        """Ranges of words round places where a template may be: whole runs are in one of them, however long they go on."""
+    def _blocks(self, places: list[tuple[int, int]], n: int) -> Iterator[tuple[int, int]]:
+        """Ranges of words round places (of a word, and how far runs go from it): whole runs are in one of them, however long these go on."""
         joined: list[list[int]] = []
-        for at in places:
-            low, high = max(0, at - self.reach), min(n, at + self.reach + 1)
+        for at, near in places:
+            low, high = max(0, at - near), min(n, at + near + 1)
             if joined and low <= joined[-1][1]:
-                joined[-1][1] = high
+                joined[-1] = [min(low, joined[-1][0]), max(high, joined[-1][1])]
             else:
                 joined.append([low, high])
         step = BLOCK * self.reach
@@ -191,7 +195,7 @@ class Scanner:
         tokens = [(m.start(), m.end(), word) for m in _TOKEN.finditer(text) if (word := normal(m.group()))]  # marks that stand alone are none
         starts = np.array([t[0] for t in tokens])
         places = sorted({int(np.searchsorted(starts, a, "right")) - 1 for a in anchors} - {-1})
-        places = [at for at in places if tokens[at][2] in self.anchored]
+        places = [(at, self.near[tokens[at][2]]) for at in places if tokens[at][2] in self.anchored]
         found = set()
         for low, high in self._blocks(places, len(tokens)):
             words = [t[2] for t in tokens[low:high]]
