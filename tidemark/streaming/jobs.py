@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+import tempfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import chain, islice
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -108,65 +111,78 @@ def checkpointed(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Rows of a collector that a worker holds at once.
+CHUNK = 1000
+
+
 class Release(StatefulProcessor):
     """Of each collector the rows that may still change, in list state, and its checkpoint: both move together.
 
-    Rows are in the order of their position (source_time_ns, source_event_id).  Those before the first one that ends at
-    the watermark or later are given out, as they came, and the checkpoint becomes the position of the last of them, so
-    it never passes a row that is kept back.  One timer waits for the end of the first kept row.
+    Rows have a position (source_time_ns, source_event_id).  Those before the first one, by position, that ends at the
+    watermark or later are given out, in no order, and the checkpoint becomes the position of the last of them, so it never
+    passes a row that is kept back.  One timer waits for the end of the first kept row.  Which row that is shows when all have
+    been seen, so a call's rows go through a file of its task, and a worker holds CHUNK of them only.
     """
 
     def __init__(self, schema: StructType):
         self.schema, self.names = schema, schema.names
+        self.time, self.event, self.end, self.bucket = (schema.names.index(c) for c in ("source_time_ns", "source_event_id", "end_ns", "bucket_id"))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.kept = handle.getListState("kept", self.schema)
         self.at = handle.getValueState("checkpoint", "bucket_id string, source_time_ns long, source_event_id long")
 
-    def _place(self, row: Row) -> tuple[int, int]:
-        return row["source_time_ns"], row["source_event_id"]
-
-    def _out(self, kind: str, error: str | None, values: dict) -> Row:
-        return Row(kind=kind, error=error, **{c: values.get(c) for c in self.names})
-
-    def _given(self, key, kept: list[Row], cutoff_ns: int, at: tuple | None) -> Iterator:
-        n = next((i for i, row in enumerate(kept) if row["end_ns"] >= cutoff_ns), len(kept))
-        for row in kept[:n]:
-            yield self._out("row", None, row.asDict())
-        if n:
-            bucket = kept[0]["bucket_id"]
-            place = self._place(kept[n - 1])
-            now = (bucket, *(max(place, at[1:]) if at and at[1] is not None else place))
+    def _place(self, row: tuple) -> tuple[int, int]:
+        return row[self.time], row[self.event]
+
+    def _given(self, key, rows: Iterator, cutoff_ns: int) -> Iterator:
+        at, out = self.at.get(), Row("kind", "error", *self.names)
+        least, firsts = None, {}  # the first row; of each bucket the first one that ends at the cutoff or later
+        with tempfile.TemporaryFile() as file:
+            came, size = chain(self.kept.get(), rows), 0
+            while chunk := [tuple(row) for row in islice(came, CHUNK)]:
+                for row in chunk:
+                    place = self._place(row)
+                    if least is None or place < least[0]:
+                        least = (place, row[self.bucket])
+                    if row[self.end] >= cutoff_ns and (at is None or row[self.bucket] == at[0]):
+                        firsts[row[self.bucket]] = min((*place, row[self.end]), firsts.get(row[self.bucket], (*place, row[self.end])))
+                pickle.dump(chunk, file)
+                size += 1
+            self.kept.clear()
+            if at is None:
+                at = (least[1], None, None)
+                self.at.update(at)
+            bucket, last, first = at[0], None, firsts.get(at[0])
+            file.seek(0)
+            for _ in range(size):
+                chunk = []
+                for row in pickle.load(file):
+                    if row[self.bucket] != bucket:
+                        yield out("error", "ACTIVITY_BUCKET_CHANGED", *row)
+                    elif first is None or self._place(row) < first[:2]:
+                        last = self._place(row) if last is None else max(last, self._place(row))
+                        yield out("row", None, *row)
+                    else:
+                        chunk.append(row)
+                if chunk:
+                    self.kept.appendList(chunk)
+        if last is not None:
+            now = (bucket, *(max(last, at[1:]) if at[1] is not None else last))
             self.at.update(now)
-            yield self._out("checkpoint", None, {"collector_id": key[0], "bucket_id": bucket, "source_time_ns": now[1], "source_event_id": now[2]})
+            values = {"collector_id": key[0], "bucket_id": bucket, "source_time_ns": now[1], "source_event_id": now[2]}
+            yield out("checkpoint", None, *(values.get(c) for c in self.names))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if kept[n:]:
-            self.kept.put([tuple(row) for row in kept[n:]])
-            self.handle.registerTimer(kept[n]["end_ns"] // 1_000_000 + 1)
-        else:
-            self.kept.clear()
-
-    def _held(self) -> list[Row]:
-        make = Row(*self.names)
-        return [make(*row) for row in self.kept.get()]
+        if first is not None:
+            self.handle.registerTimer(first[2] // 1_000_000 + 1)
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
-        at, held = self.at.get(), self._held()
-        came = sorted(rows, key=self._place)
-        bucket = at[0] if at else came[0]["bucket_id"]
-        for row in came:
-            if row["bucket_id"] != bucket:
-                yield self._out("error", "ACTIVITY_BUCKET_CHANGED", row.asDict())
-        if at is None:
-            at = (bucket, None, None)
-            self.at.update(at)
-        kept = sorted(held + [row for row in came if row["bucket_id"] == bucket], key=self._place)
-        yield from self._given(key, kept, timerValues.getCurrentWatermarkInMs() * 1_000_000, at)
+        yield from self._given(key, rows, timerValues.getCurrentWatermarkInMs() * 1_000_000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        yield from self._given(key, self._held(), timerValues.getCurrentWatermarkInMs() * 1_000_000, self.at.get())
+        yield from self._given(key, iter(()), timerValues.getCurrentWatermarkInMs() * 1_000_000)
 
     def close(self) -> None:
         pass
