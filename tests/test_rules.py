@@ -35,6 +35,27 @@ def test_known_offsets(spark):
     assert [r[0] for r in df.orderBy("i").select(X.known_offset_ns(F.col("t"))).collect()] == [base, base, None, None, None, None, None, base + 123456789, None]
 
 
+def test_times_with_line_breaks_and_broken_zones(spark):
+    texts = ["2026-07-18T02:00:00Z\n", "2026-07-18T02:00:00+08:00\n", "2026-07-18T02:00:00.5Z", "2026-07-18T02:00:00.25-01:30", "2026-07-18T02:00:00+0100", "2026-07-18T02:00:00.Z", "Z", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    base = 1784340000 * 10**9
+    assert [r[0] for r in df.orderBy("i").select(X.known_offset_ns(F.col("t"))).collect()] == [None, None, base + 5 * 10**8, base + 5400 * 10**9 + 25 * 10**7, None, None, None, None]
+
+
+def test_identifiers_and_numbers(spark):
+    texts = ["c1", "a b", " a", "a\n", "\u00a0a", "\u00e9", "a\x7f", "", "x" * 9, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    assert [r[0] for r in df.select(X.valid_identifier(F.col("t"), 8)).collect()] == [True, True, False, False, False, True, False, False, False, False]
+    numbers = ["1", "1.0", "1e2", "0.25", '"1"', "true", "null", "9007199254740993", "123456789012345678901234567890"]
+    df = spark.createDataFrame([(i, '{"n":%s}' % t) for i, t in enumerate(numbers)], "i int, t string").orderBy("i")
+    assert [r[0] for r in df.select(X.json_number(F.try_parse_json("t"), "$.n")).collect()] == [1.0, 1.0, 100.0, 0.25, None, None, None, 9007199254740992.0, 123456789012345678901234567890.0]
+
+
+def test_strict_look_reads_a_text_twice_only(spark):
+    """Once as an element, once as a field; an expression that is named again in a rule is computed again."""
+    assert str(validate.strict_object(F.col("raw"), ("a", "b"), required=True)).count("from_json") == 2
+
+
 def test_fixed_width_time(spark):
     df = spark.createDataFrame([(0,), (-1,), (1784340000123456789,)], "n long")
     assert [r[0] for r in df.select(X.fixed_utc(F.col("n"))).collect()] == ["1970-01-01T00:00:00.000000000Z", "1969-12-31T23:59:59.999999999Z", "2026-07-18T02:00:00.123456789Z"]
