@@ -42,6 +42,27 @@ def test_ingest_of_twenty_batches_equals_the_batch_and_reads_only_its_own_keys(s
     assert facts.count() == got.where("status = 'accepted'").count() == facts.select("collector_id", "idempotency_key").distinct().count()
 
 
+def test_keys_of_a_bucket_share_a_value_of_the_state(spark):
+    """2,000 keys in 16 buckets: outcomes are those of a batch, names with signs that JSON quotes too, and the state is read and written by bucket."""
+    rng = random.Random(4)
+    names = [f'k"\\{i}é' for i in range(2000)]
+    rows = [(i, f"c{i % 2}", names[i % 2000] if i < 2400 else rng.choice(names), f"h{rng.randrange(2)}", None) for i in range(3000)]
+    known = spark.createDataFrame([(90000 + i, "c1", names[2 * i + 1], "h0" if i % 3 else None, None) for i in range(50)], CANDIDATES).drop("error_code")
+    src, out = work_dir(spark, "in"), work_dir(spark, "out")
+    numbers = []
+    for part in range(2):
+        _land(spark, rows[part * 1500 : part * 1500 + 1500], CANDIDATES, src)
+        with jobs.rocksdb(spark):
+            outcomes = jobs.outcomes(_stream(spark, CANDIDATES, src), existing=known, buckets=16)
+            query = outcomes.writeStream.format("parquet").option("path", f"{out}/results").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+        numbers += [(p["stateOperators"][0]["customMetrics"]["rocksdbPutCount"], p["stateOperators"][0]["numRowsTotal"]) for p in query.recentProgress if p["numInputRows"]]
+    got = spark.read.parquet(f"{out}/results").select("id", "status", "fact_id", "error_code")
+    want = resolve_idempotent(spark.createDataFrame(rows, CANDIDATES), "id", known).select("id", "status", "fact_id", "error_code")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert len(numbers) == 2 and all(puts <= 64 and total == 16 for puts, total in numbers)
+
+
 ROWS = "collector_id string, bucket_id string, source_time_ns long, source_event_id long, end_ns long, seen_ts timestamp_ltz, payload string"
 S, HOUR = 10**9, 3600
 

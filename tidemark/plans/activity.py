@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import activity, facts
 from ..sources import pages, readers
-from ..sources.paths import work_dir
+from ..sources.paths import stored, work_dir
 from ..streaming import jobs
 from .adapters import DAY, T0, frame, sql
 from .ingest import RES
@@ -41,7 +41,7 @@ def _collected(stream: DataFrame, what: str, mode: str = "append") -> DataFrame:
 
 def _t6(s: SparkSession, d: str) -> DataFrame:
     cols = ["id", "collector_id", "idempotency_key", "content_hash", "error_code"]
-    stream, path = _landed(frame(s, d, "cand").select(cols), "candidates")
+    stream, path = _landed(stored(frame(s, d, "cand").select(cols), "candidates"), "candidates")  # a join, and landed in parts
     out = work_dir(s, "ingest")
     jobs.ingest(stream, f"{out}/facts", f"{out}/results", f"{out}/checkpoint").awaitTermination()
     return s.read.parquet(f"{out}/results").select("id", "status", "fact_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import pickle
 import tempfile
 from collections.abc import Callable, Iterator
@@ -32,31 +33,41 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+#: Buckets of keys; as the state is kept by them, their number stays for the life of a query's checkpoint.
+BUCKETS = 1 << 16
+
+
 class FirstOfKey(StatefulProcessor):
-    """For each key the id and hash of its first valid row, for ever; gives out each row's outcome.
+    """For each key of a bucket the id and hash of its first valid row, for ever; gives out each row's outcome.
 
-    A micro-batch reads and writes the state of its own keys only, whatever the number of facts.
+    A call into the state store takes a Python worker far longer than a row does, so a bucket's keys are one value, the text of a JSON
+    array of [collector_id, idempotency_key, id, content_hash]; a micro-batch has at most one call each way for a bucket.
+    It reads and writes the buckets of its own keys only, whatever the number of facts.
     """
 
     def __init__(self, order: str, conflict: str):
         self.order, self.conflict = order, conflict
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "id long, hash string")
+        self.first = handle.getValueState("first", "facts string")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.first.update((initialState.id, initialState.content_hash))
+        self.first.update((initialState.facts,))
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
-        known = self.first.get()
+        held = self.first.get()
+        known = {(collector, name): (int(number), content) for collector, name, number, content in json.loads(held[0])} if held else {}
+        before, out = len(known), Row(*CANDIDATE, "status", "fact_id", "error_code")
         for row in sorted(rows, key=lambda r: r[self.order]):
-            if known is None:
-                known = (row.id, row.content_hash)
-                self.first.update(known)
+            first = known.get((row.collector_id, row.idempotency_key))
+            if first is None:
+                first = known[row.collector_id, row.idempotency_key] = (row.id, row.content_hash)
                 status = "accepted"
             else:
-                status = "duplicate" if row.content_hash == known[1] else "conflict"
-            yield Row(**{c: row[c] for c in CANDIDATE}, status=status, fact_id=known[0], error_code=self.conflict if status == "conflict" else None)
+                status = "duplicate" if row.content_hash == first[1] else "conflict"
+            yield out(row.id, row.collector_id, row.idempotency_key, row.content_hash, status, first[0], self.conflict if status == "conflict" else None)
+        if len(known) > before:
+            self.first.update((json.dumps([(*k, *v) for k, v in known.items()], ensure_ascii=False, separators=(",", ":")),))
 
     def close(self) -> None:
         pass
@@ -66,16 +77,21 @@ CANDIDATE = ("id", "collector_id", "idempotency_key", "content_hash")
 OUTCOME = "id long, collector_id string, idempotency_key string, content_hash string, status string, fact_id long, error_code string"
 
 
-def outcomes(stream: DataFrame, order: str = "id", existing: DataFrame | None = None, conflict: str = "EVENT_IDEMPOTENCY_CONFLICT") -> DataFrame:
+def outcomes(stream: DataFrame, order: str = "id", existing: DataFrame | None = None, conflict: str = "EVENT_IDEMPOTENCY_CONFLICT", buckets: int = BUCKETS) -> DataFrame:
     """OUTCOME of each row of a stream (CANDIDATE, error_code, order): what resolve_idempotent says of the same rows in a batch.
 
     Rows with an error code are rejected and touch no state.  Among rows of a micro-batch the least ``order`` is
     first; earlier micro-batches, and before them ``existing`` facts (collector_id, idempotency_key, id, content_hash;
-    one row a key, looked at when the query starts for the first time), come before.  Needs the RocksDB state store.
+    one row a key, looked at when the query starts for the first time), come before.  State is kept by bucket of keys (see FirstOfKey).
+    Needs the RocksDB state store.
     """
     valid = stream.where("error_code is null").select(*CANDIDATE, *([] if order in CANDIDATE else [order]))
-    start = None if existing is None else existing.select("collector_id", "idempotency_key", F.col("id").cast("long"), "content_hash").groupBy("collector_id", "idempotency_key")
-    valid = valid.withColumn("id", F.col("id").cast("long")).groupBy("collector_id", "idempotency_key")
+    bucket = F.pmod(F.xxhash64("collector_id", "idempotency_key"), F.lit(buckets)).alias("_bucket")
+    start = None
+    if existing is not None:
+        fact = F.array(F.col("collector_id"), F.col("idempotency_key"), F.col("id").cast("string"), F.col("content_hash"))
+        start = existing.select(bucket, fact.alias("_fact")).groupBy("_bucket").agg(F.to_json(F.collect_list("_fact")).alias("facts")).groupBy("_bucket")
+    valid = valid.withColumn("id", F.col("id").cast("long")).select("*", bucket).groupBy("_bucket")
     resolved = valid.transformWithState(FirstOfKey(order, conflict), OUTCOME, "Append", "None", start)
     bad = stream.where("error_code is not null").select(F.col("id").cast("long").alias("id"), *CANDIDATE[1:], F.lit("rejected").alias("status"), F.lit(None).cast("long").alias("fact_id"), "error_code")
     return resolved.unionByName(bad)
