@@ -56,6 +56,18 @@ def test_strict_look_reads_a_text_twice_only(spark):
     assert str(validate.strict_object(F.col("raw"), ("a", "b"), required=True)).count("from_json") == 2
 
 
+def test_payload_is_parsed_once_below_a_filter(spark):
+    """Facts are those with a positive end; each use of the seconds in that filter must not parse the payload anew."""
+    good = '{"bucket_id":"b","bucket_type":"afkstatus","source_event_id":1,"duration_seconds":%s,"data":{"status":"afk"}}'
+    rows = [(1, "activitywatch.event", good % 5), (2, "activitywatch.event", good % 0), (3, "activitywatch.event", good % "2.5"), (4, "activitywatch.event", "{"), (5, "activitywatch.event", None), (6, "view", good % 5)]
+    events = spark.createDataFrame(rows, "id long, event_type string, payload string").selectExpr("*", "'c' as collector_id", "id * 10 as device_ns", "0L as clock_offset_ms", "0L as clock_error_ms", "0L as received_ns")
+    entries = timeline.project_events(events)
+    assert [(r.source_id, r.end_ns) for r in entries.orderBy("source_id").collect()] == [(1, 5_000_000_010), (2, 20), (3, 2_500_000_030), (4, None), (5, None), (6, None)]
+    out = timeline.coverage_facts(entries)
+    assert [(r.stable_id, r.end_ns, r.reason_code) for r in out.orderBy("stable_id").collect()] == [("event:1", 5_000_000_010, "ACTIVITYWATCH_AFK"), ("event:3", 2_500_000_030, "ACTIVITYWATCH_AFK")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 2  # the seconds, and the texts of the facts
+
+
 def test_fixed_width_time(spark):
     df = spark.createDataFrame([(0,), (-1,), (1784340000123456789,)], "n long")
     assert [r[0] for r in df.select(X.fixed_utc(F.col("n"))).collect()] == ["1970-01-01T00:00:00.000000000Z", "1969-12-31T23:59:59.999999999Z", "2026-07-18T02:00:00.123456789Z"]
