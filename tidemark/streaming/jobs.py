@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.activity import advance_checkpoint
-from ..sources.paths import table_at
+from ..sources.paths import removed, table_at
 
 
 @contextmanager
@@ -215,23 +215,78 @@ def released(stream: DataFrame, seen_ts: str, lateness: str) -> DataFrame:
     """
     schema = StructType([StructField(f.name, f.dataType) for f in stream.schema])  # without metadata, all nullable
     out = StructType([StructField("kind", StringType()), StructField("error", StringType()), *schema])
-    return stream.withWatermark(seen_ts, lateness).groupBy("collector_id").transformWithState(Release(schema), out, "Append", "EventTime")
+    # by the mark that withWatermark leaves on its column, Spark would leave out rows that come late; the alias takes it off
+    rows = stream.withWatermark(seen_ts, lateness).withColumn(seen_ts, F.col(seen_ts).alias(seen_ts, metadata={"clock": True}))
+    return rows.groupBy("collector_id").transformWithState(Release(schema), out, "Append", "EventTime")
+
+
+def _held(spark: SparkSession, path: str, schema: StructType | str, number: int, what: str) -> DataFrame:
+    """What the micro-batch before this one has left; none before the first, and an error if its folder is missing."""
+    return spark.read.schema(schema).parquet(f"{path}/batch={number - 1}/{what}") if number else spark.createDataFrame([], schema)
+
+
+def _limits(rows: DataFrame, before: DataFrame, cutoff_ns: int) -> DataFrame:
+    """(collector_id, bucket_id, at, first) of all collectors so far: the bucket is that of the first row of a collector's first micro-batch,
+    at is its checkpoint, and first the place of the bucket's first row that ends at the cutoff or later."""
+    place = F.struct("source_time_ns", "source_event_id")
+    groups = rows.groupBy("collector_id", "bucket_id").agg(F.min(place).alias("_least"), F.min(F.when(F.col("end_ns") >= cutoff_ns, place)).alias("_first"))
+    known = before.select(F.col("collector_id").alias("_c"), F.col("bucket_id").alias("_own"), F.col("at").alias("_at"), F.lit(True).alias("_known"))
+    both = groups.join(known, F.col("collector_id").eqNullSafe(F.col("_c")), "full_outer").withColumn("collector_id", F.coalesce("collector_id", "_c"))
+    begun = F.min(F.struct("_least", "bucket_id", "_first"))
+    of_own = F.min(F.when(F.col("bucket_id").eqNullSafe(F.col("_own")), F.col("_first")))
+    out = both.groupBy("collector_id").agg(begun.alias("_b"), of_own.alias("_f"), F.max("_own").alias("_own"), F.max("_at").alias("at"), F.max("_known").alias("_known"))
+    return out.select("collector_id", F.when(F.col("_known"), F.col("_own")).otherwise(F.col("_b.bucket_id")).alias("bucket_id"), "at", F.when(F.col("_known"), F.col("_f")).otherwise(F.col("_b._first")).alias("first"))
 
 
 def imported(stream: DataFrame, seen_ts: str, lateness: str, rows_path: str, positions_path: str, checkpoint: str):
-    """Start a query that writes the rows released (see released), and after them the checkpoints, by number of micro-batch."""
+    """Start a query that writes the rows that no longer change, and after them the checkpoints, by number of micro-batch.
+
+    stream is that of released, and so are the rows: a collector's rows before the first one, by position, that ends at the cutoff or later.
+    The cutoff is the latest seen_ts so far, this micro-batch's too, less the lateness; rows that come late are rows like others.
+    Nothing goes through Python, and a collector's rows are dealt over all tasks.  Below rows_path, rows has what is
+    released, all/batch=../kind=error the rows of another bucket than their collector's, and held/batch=.. what the next micro-batch begins
+    with: rows kept back, and of each collector its bucket and checkpoint.  A micro-batch reads what the one before has left and
+    overwrites its own folders, so one that is replayed writes the same.
+    """
     names = ["collector_id", "bucket_id", "source_time_ns", "source_event_id", "error"]
-    columns = stream.columns
+    columns, schema = stream.columns, StructType([StructField(f.name, f.dataType) for f in stream.schema])
+    kinds = {f.name: f.dataType.simpleString() for f in schema}
+    at = f"struct<source_time_ns: {kinds['source_time_ns']}, source_event_id: {kinds['source_event_id']}>"
+    limit = f"collector_id {kinds['collector_id']}, bucket_id {kinds['bucket_id']}, at {at}, first {at}"
+    state = f"collector_id {kinds['collector_id']}, bucket_id {kinds['bucket_id']}, at {at}, clock_ms long"
+    epoch = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+    wait_ms = stream.sparkSession.range(1).select(F.expr(f"timestampdiff(MILLISECOND, {epoch}, {epoch} + INTERVAL '{lateness}')")).first()[0]
 
     def batch(df: DataFrame, number: int) -> None:
-        at = f"{rows_path}/all/batch={number}"
-        df.write.mode("overwrite").partitionBy("kind").parquet(at)
-        given = df.sparkSession.read.schema(df.schema).parquet(at)
-        given.where("kind = 'row'").select(columns).write.mode("overwrite").parquet(f"{rows_path}/rows/batch={number}")
-        given.where("kind <> 'row'").select("kind", *names).write.mode("overwrite").parquet(f"{positions_path}/batch={number}")
-
-    with rocksdb(stream.sparkSession):
-        return released(stream, seen_ts, lateness).writeStream.outputMode("append").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        spark, held = df.sparkSession, f"{rows_path}/held"
+        own = f"{held}/batch={number}"
+        removed(spark, f"{held}/batch={number - 2}")  # the one before is whole, so a replay does not go back behind it
+
+        def written(out: DataFrame, path: str, schema: StructType | str) -> DataFrame:
+            out.write.mode("overwrite").parquet(path)
+            return spark.read.schema(schema).parquet(path)
+
+        came = written(df, f"{own}/came", schema)  # the stream's own plan runs once
+        before = _held(spark, held, state, number, "collectors")
+        seen = came.select(F.unix_millis(seen_ts).alias("clock_ms")).unionByName(before.select("clock_ms"))
+        clock_ms = seen.agg(F.max("clock_ms")).first()[0] or 0
+        rows = _held(spark, held, schema, number, "kept").unionByName(came)
+        limits = written(_limits(rows, before, max(0, clock_ms - wait_ms) * 1_000_000), f"{own}/limits", limit)
+        to = limits.select(F.col("collector_id").alias("_c"), F.col("bucket_id").alias("_own"), F.col("first").alias("_first"))
+        rows = rows.join(to, F.col("collector_id").eqNullSafe(F.col("_c")))
+        same = F.col("bucket_id").eqNullSafe(F.col("_own"))
+        stable = F.col("_first").isNull() | (F.struct("source_time_ns", "source_event_id") < F.col("_first"))
+        given = written(rows.where(same & stable).select(columns), f"{rows_path}/rows/batch={number}", schema)
+        rows.where(same & ~stable).select(columns).write.mode("overwrite").parquet(f"{own}/kept")
+        wrong = rows.where(~same).select(F.lit("ACTIVITY_BUCKET_CHANGED").alias("error"), *columns)
+        wrong = written(wrong, f"{rows_path}/all/batch={number}/kind=error", StructType([StructField("error", StringType()), *schema]))
+        last = given.groupBy(F.col("collector_id").alias("_c")).agg(F.max(F.struct("source_time_ns", "source_event_id")).alias("_last"))
+        now = limits.join(last, F.col("collector_id").eqNullSafe(F.col("_c")), "left").withColumn("at", F.greatest("at", "_last"))
+        now.select("collector_id", "bucket_id", "at", F.lit(clock_ms).cast("long").alias("clock_ms")).write.mode("overwrite").parquet(f"{own}/collectors")
+        moved = now.where("_last is not null").select(F.lit("checkpoint").alias("kind"), "collector_id", "bucket_id", "at.source_time_ns", "at.source_event_id", F.lit(None).cast("string").alias("error"))
+        moved.unionByName(wrong.select(F.lit("error").alias("kind"), *names)).write.mode("overwrite").parquet(f"{positions_path}/batch={number}")
+
+    return stream.writeStream.outputMode("append").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def positions(spark: SparkSession, path: str) -> DataFrame:
