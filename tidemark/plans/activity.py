@@ -16,14 +16,25 @@ C = F.col
 CUT = T0 + 20 * DAY
 
 
+#: Rows of a landed file, about: a larger part is dealt to more files, all of one micro-batch.
+FILE_ROWS = 250_000
+
+
 def _landed(df: DataFrame, what: str, parts: int = 4, order: str = "id") -> tuple[DataFrame, str]:
-    """A file stream of df's rows, landed in a few files that come in order, one a micro-batch."""
+    """A file stream of df's rows, landed in parts that come in order, one a micro-batch.
+
+    All parts have as many files, as a micro-batch takes a number of files; that goes by the smallest part, so that none is empty.
+    """
     spark = df.sparkSession
     path = work_dir(spark, what)
     top = df.agg(F.max(order)).first()[0] or 0
-    for i in range(parts):
-        df.where((C(order) >= i * (top + 1) // parts) & (C(order) < (i + 1) * (top + 1) // parts)).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path), path
+    within = [(C(order) >= i * (top + 1) // parts) & (C(order) < (i + 1) * (top + 1) // parts) for i in range(parts)]
+    files = max(1, min(df.agg(*(F.count_if(part) for part in within)).first()) // FILE_ROWS)
+    for part in within:
+        rows = df.where(part)
+        rows = rows.repartition(files, order) if files > 1 else rows.coalesce(1)
+        rows.write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path), path
 
 
 def _collected(stream: DataFrame, what: str, mode: str = "append") -> DataFrame:
